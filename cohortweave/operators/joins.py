@@ -99,6 +99,7 @@ def lookup_join(
     spread: Sequence[str],
     key_rows: DataFrame | None = None,
     combine: Callable[[DataFrame], DataFrame] | None = None,
+    fits: bool | None = None,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Join to a lookup table without moving the fact rows if possible.
@@ -109,9 +110,10 @@ def lookup_join(
        (given by callers for which copies do not matter).
 
     ``key_rows`` may name a cheaper frame holding the fact's keys (such as the
-    raw scan of that column) for steps 2 and 3.
+    raw scan of that column) for steps 2 and 3.  ``fits`` passes on a
+    measurement already made of ``dim`` or of a table that contains it.
     """
-    if fits_broadcast(dim, limit_bytes):
+    if fits_broadcast(dim, limit_bytes) if fits is None else fits:
         return fact.join(F.broadcast(dim), key, how)
     keys = (fact if key_rows is None else key_rows).select(key)
     used = dim.join(keys.distinct(), key, "left_semi")

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.operators.joins import BROADCAST_LIMIT_BYTES, lookup_join, skew_join
+from cohortweave.operators.joins import (
+    BROADCAST_LIMIT_BYTES,
+    fits_broadcast,
+    lookup_join,
+    skew_join,
+)
 from cohortweave.operators.stacking import stack_rows, stack_splits
 from cohortweave.operators.vocabulary import codeset_members
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
@@ -134,6 +139,7 @@ def drug_sums(
     flags = settings.drug_codesets
     meds = [n for n in flags.values() if n != settings.vaccine_flag]
     table = flag_table(members, flags)
+    fits = fits_broadcast(table, limit_bytes)
     narrow = ["drug_era_id", "person_id", "drug_concept_id", "drug_era_start_date"]
     flagged = [
         lookup_join(
@@ -143,6 +149,7 @@ def drug_sums(
             "inner",
             spread=["drug_era_id"],
             combine=DataFrame.distinct,
+            fits=fits,
             limit_bytes=limit_bytes,
         )
         for part in (drug_era.train, drug_era.test)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.operators.joins import (
     BROADCAST_LIMIT_BYTES,
+    fits_broadcast,
     hot_keys,
     lookup_join,
     skew_join,
@@ -56,22 +57,23 @@ def events_since_index(
     )
 
 
-def events_in_codeset(
+def events_in_codesets(
     events: DataFrame,
     members: DataFrame,
-    codeset: int,
+    codesets: Sequence[int],
     *,
+    fits: bool | None = None,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Events whose concept belongs to the codeset; equal copies may merge."""
-    concepts = codeset_concepts(members, codeset, "concept_id")
+    """Events whose concept is in any of the codesets; equal copies may merge."""
     return lookup_join(
         events,
-        concepts,
+        codeset_concepts(members, codesets, "concept_id"),
         "concept_id",
         "left_semi",
         spread=["source", "event_id"],
         combine=DataFrame.distinct,
+        fits=fits,
         limit_bytes=limit_bytes,
     ).select(*events.columns)
 
@@ -82,22 +84,29 @@ def codeset_events(
     members: DataFrame,
     codeset: int,
     settings: CohortSettings = DEFAULT_SETTINGS,
+    *,
+    limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Events of several tables in one codeset since the look-back start.
 
     The codeset filter runs first, on the raw scans, because it keeps little;
     only the remaining rows are made unique by id and joined to persons.
     """
-    parts = []
+    fits = fits_broadcast(codeset_concepts(members, [codeset], "concept_id"), limit_bytes)
+    events = None
     for columns, split in tables:
         hits = [
-            events_in_codeset(common_columns(part, columns), members, codeset)
+            events_in_codesets(
+                common_columns(part, columns),
+                members,
+                [codeset],
+                fits=fits,
+                limit_bytes=limit_bytes,
+            )
             for part in (split.train, split.test)
         ]
-        parts.append(stack_splits(*hits, key="event_id"))
-    events = parts[0]
-    for part in parts[1:]:
-        events = events.unionByName(part)
+        unique = stack_splits(*hits, key="event_id")
+        events = unique if events is None else events.unionByName(unique)
     return events_since_index(events, index, settings)
 
 
@@ -140,19 +149,25 @@ def severe_persons(
     Only the latest matching date of a person decides, so events shrink to one
     row per person before they move, however many rows one person has.  Copies
     of an event cannot change a maximum, hence no shuffle by event id either.
+    Each event table is scanned once for all codesets that apply to it.
     """
-    latest = None
+    wanted: dict[EventColumns, tuple[Split, list[int]]] = {}
     for tables, codeset in (
         (ventilation, settings.ventilation_codeset),
         (ecmo, settings.ecmo_codeset),
     ):
         for columns, split in tables:
-            rows = common_columns(stack_rows(split.train, split.test), columns)
-            hits = events_in_codeset(rows, members, codeset, limit_bytes=limit_bytes).select(
-                "person_id", "event_date"
-            )
-            latest = hits if latest is None else latest.unionByName(hits)
-    latest = latest.groupBy("person_id").agg(F.max("event_date").alias("_latest"))
+            wanted.setdefault(columns, (split, []))[1].append(codeset)
+    every = sorted({c for _, codesets in wanted.values() for c in codesets})
+    fits = fits_broadcast(codeset_concepts(members, every, "concept_id"), limit_bytes)
+    hits = None
+    for columns, (split, codesets) in wanted.items():
+        rows = common_columns(stack_rows(split.train, split.test), columns)
+        part = events_in_codesets(
+            rows, members, codesets, fits=fits, limit_bytes=limit_bytes
+        ).select("person_id", "event_date")
+        hits = part if hits is None else hits.unionByName(part)
+    latest = hits.groupBy("person_id").agg(F.max("event_date").alias("_latest"))
     return (
         latest.join(index, "person_id")
         .filter(

@@ -16,11 +16,9 @@ def codeset_members(members: DataFrame, codesets: Sequence[int]) -> DataFrame:
     return members.filter(F.col("codeset_id").isin(*codesets))
 
 
-def codeset_concepts(members: DataFrame, codeset: int, id_col: str) -> DataFrame:
-    """Distinct concept ids of one codeset under the name ``id_col``."""
-    return (
-        codeset_members(members, [codeset]).select(F.col("concept_id").alias(id_col)).distinct()
-    )
+def codeset_concepts(members: DataFrame, codesets: Sequence[int], id_col: str) -> DataFrame:
+    """Distinct concept ids of some codesets under the name ``id_col``."""
+    return codeset_members(members, codesets).select(F.col("concept_id").alias(id_col)).distinct()
 
 
 def maps_to(relationship: DataFrame) -> DataFrame:

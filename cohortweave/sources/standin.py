@@ -6,6 +6,9 @@ and parts play the vocabulary.  Every table grows with the given data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,15 +178,19 @@ def _visits(orders: DataFrame) -> DataFrame:
 
 
 def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    @cache
     def given(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    customer, part, orders = given("customer"), given("part"), given("orders")
-    lines = _event_lines(given("lineitem"), orders)
+    @cache
+    def lines() -> DataFrame:
+        return _event_lines(given("lineitem"), given("orders"))
 
-    def events(rows: DataFrame, prefix: str, id_col: str, date_col: str) -> Split:
-        return halves(
-            rows.select(
+    def events(kept: str, prefix: str, id_col: str, date_col: str) -> Callable[[], Split]:
+        return lambda: halves(
+            lines()
+            .filter(kept)
+            .select(
                 F.col("id").alias(id_col),
                 "person_id",
                 F.col("concept_id").alias(f"{prefix}_concept_id"),
@@ -191,30 +198,24 @@ def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
             )
         )
 
-    kind = F.col("kind")
     return Tables(
-        concept=_concept(part),
-        concept_relationship=_relationship(part),
-        grouper=_grouper(part),
-        concept_set_members=_codesets(part),
+        concept=lambda: _concept(given("part")),
+        concept_relationship=lambda: _relationship(given("part")),
+        grouper=lambda: _grouper(given("part")),
+        concept_set_members=lambda: _codesets(given("part")),
         condition_era=events(
-            lines.filter((F.col("flag") == "A") & (F.col("person_id") % 20 != 3)),
+            "flag = 'A' AND person_id % 20 <> 3",
             "condition", "condition_era_id", "condition_era_start_date",
         ),
         drug_era=events(
-            lines.filter((F.col("flag") == "R") | (F.col("id") % 4 == 0)),
-            "drug", "drug_era_id", "drug_era_start_date",
-        ),
-        procedure=events(
-            lines.filter(kind == 0), "procedure", "procedure_occurrence_id", "procedure_date"
-        ),
-        observation=events(
-            lines.filter(kind == 1), "observation", "observation_id", "observation_date"
+            "flag = 'R' OR id % 4 = 0", "drug", "drug_era_id", "drug_era_start_date"
         ),
+        procedure=events("kind = 0", "procedure", "procedure_occurrence_id", "procedure_date"),
+        observation=events("kind = 1", "observation", "observation_id", "observation_date"),
         condition=events(
-            lines.filter(kind == 2), "condition", "condition_occurrence_id", "condition_start_date"
+            "kind = 2", "condition", "condition_occurrence_id", "condition_start_date"
         ),
-        visit=halves(_visits(orders)),
-        person=halves(_person(customer)),
-        outcome=_outcome(customer),
+        visit=lambda: halves(_visits(given("orders"))),
+        person=lambda: halves(_person(given("customer"))),
+        outcome=lambda: _outcome(given("customer")),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -22,20 +22,23 @@ class Split:
     test: DataFrame
 
 
-@dataclass(frozen=True)
 class Tables:
-    concept: DataFrame
-    concept_relationship: DataFrame
-    grouper: DataFrame
-    concept_set_members: DataFrame
-    condition_era: Split
-    drug_era: Split
-    procedure: Split
-    observation: Split
-    condition: Split
-    visit: Split
-    person: Split
-    outcome: Split
+    """The tables of one run, each loaded when it is first used.
+
+    Plain tables: concept, concept_relationship, grouper, concept_set_members.
+    Tables in two parts (``Split``): condition_era, drug_era, procedure,
+    observation, condition, visit, person, outcome.
+    """
+
+    def __init__(self, **loaders: Callable[[], DataFrame | Split]):
+        self._loaders = loaders
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or name not in self._loaders:
+            raise AttributeError(name)
+        table = self._loaders[name]()
+        setattr(self, name, table)
+        return table
 
 
 def read_table(
@@ -117,47 +120,42 @@ def load_release(spark: SparkSession, root: str, fmt: str = "csv") -> Tables:
     """
     ending = f".{fmt}"
 
-    def shared(name: str, schema: T.StructType) -> DataFrame:
-        return read_table(spark, f"{root}/{name}{ending}", schema, fmt)
-
-    concept = shared("concept", S.CONCEPT)
+    def shared(name: str, schema: T.StructType) -> Callable[[], DataFrame]:
+        return lambda: read_table(spark, f"{root}/{name}{ending}", schema, fmt)
 
     def parts(
         name: str,
         schema: T.StructType,
-        names: dict[str, str] | None = None,
+        *named: str,
         test_schema: T.StructType | None = None,
-    ) -> Split:
-        train = read_table(spark, f"{root}/training/{name}{ending}", schema, fmt)
-        test = read_table(spark, f"{root}/testing/{name}{ending}", test_schema or schema, fmt)
-        if names:
-            train = add_concept_names(train, concept, names)
-            test = add_concept_names(test, concept, names)
-        return Split(train, test)
-
-    def one(column: str) -> dict[str, str]:
-        return {f"{column}_id": f"{column}_name"}
-
-    return Tables(
-        concept=concept,
+    ) -> Callable[[], Split]:
+        names = {f"{column}_id": f"{column}_name" for column in named}
+
+        def part(folder: str, columns: T.StructType) -> DataFrame:
+            rows = read_table(spark, f"{root}/{folder}/{name}{ending}", columns, fmt)
+            return add_concept_names(rows, tables.concept, names)
+
+        return lambda: Split(part("training", schema), part("testing", test_schema or schema))
+
+    tables = Tables(
+        concept=shared("concept", S.CONCEPT),
         concept_relationship=shared("concept_relationship", S.CONCEPT_RELATIONSHIP),
         grouper=shared("DXCCSR_v2021", S.GROUPER),
         concept_set_members=shared("concept_set_members", S.CONCEPT_SET_MEMBERS),
-        condition_era=parts("condition_era", S.CONDITION_ERA, one("condition_concept")),
-        drug_era=parts("drug_era", S.DRUG_ERA, one("drug_concept")),
-        procedure=parts("procedure_occurrence", S.PROCEDURE_OCCURRENCE, one("procedure_concept")),
-        observation=parts("observation", S.OBSERVATION, one("observation_concept")),
-        condition=parts("condition_occurrence", S.CONDITION_OCCURRENCE, one("condition_concept")),
-        visit=parts("microvisits_to_macrovisits", S.VISIT, one("visit_concept")),
+        condition_era=parts("condition_era", S.CONDITION_ERA, "condition_concept"),
+        drug_era=parts("drug_era", S.DRUG_ERA, "drug_concept"),
+        procedure=parts("procedure_occurrence", S.PROCEDURE_OCCURRENCE, "procedure_concept"),
+        observation=parts("observation", S.OBSERVATION, "observation_concept"),
+        condition=parts("condition_occurrence", S.CONDITION_OCCURRENCE, "condition_concept"),
+        visit=parts("microvisits_to_macrovisits", S.VISIT, "visit_concept"),
         person=parts(
-            "person",
-            S.PERSON,
-            {**one("race_concept"), **one("ethnicity_concept"), **one("gender_concept")},
+            "person", S.PERSON, "race_concept", "ethnicity_concept", "gender_concept"
         ),
         outcome=parts(
             "long_covid_silver_standard", S.OUTCOME_TRAIN, test_schema=S.OUTCOME_TEST
         ),
     )
+    return tables
 
 
 def stored_or(spark: SparkSession, path: str | None, build) -> DataFrame:
