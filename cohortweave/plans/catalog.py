@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortweave.operators import boosting, cohort, comorbidity, eras, labels
 from cohortweave.operators import medications, metrics, persons, severity, vocabulary
@@ -14,13 +13,14 @@ from cohortweave.operators.stacking import stack_splits
 from cohortweave.plans.build import CohortBuild
 from cohortweave.session import materialize
 from cohortweave.settings import STANDIN_SETTINGS as SETTINGS
+from cohortweave.sources.schemas import schema_of
 from cohortweave.sources.standin import standin_tables
 from cohortweave.sources.tables import add_concept_name, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
-LABELS_SCHEMA = T.StructType.fromDDL("doc_id bigint, quality int, toxic int")
+LABELS_SCHEMA = schema_of("doc_id bigint, quality int, toxic int")
 TRIAL_TREES = 5
 
 
