@@ -5,13 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.operators.joins import (
-    BROADCAST_LIMIT_BYTES,
-    fits_broadcast,
-    lookup_join,
-    skew_join,
-)
-from cohortweave.operators.stacking import stack_rows, stack_splits
+from cohortweave.operators.joins import BROADCAST_LIMIT_BYTES, lookup_join, skew_join
+from cohortweave.operators.stacking import stack_rows
 from cohortweave.operators.vocabulary import codeset_members
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 from cohortweave.sources.tables import Split
@@ -116,11 +111,6 @@ def vaccine_pre_post(
     return with_index_split(joined.select(*flagged.columns, "covid_index"), settings)
 
 
-def _sum_columns(settings: CohortSettings) -> list[str]:
-    meds = [n for n in settings.drug_codesets.values() if n != settings.vaccine_flag]
-    return [*meds, PRE, POST]
-
-
 def drug_sums(
     drug_era: Split,
     index: DataFrame,
@@ -131,53 +121,45 @@ def drug_sums(
 ) -> DataFrame:
     """Sums per person of every medication flag and the two vaccine columns.
 
-    Few eras carry a flag.  Only those are made unique by era id and summed
-    per person and vaccination day, which bounds one person's rows by the
-    calendar before they meet the index date.  Everyone else only contributes
-    a person id, combined map-side, and gets zeros.
+    One scan.  Few eras carry a flag: those are made unique by era id, while
+    all other eras of a person merge map-side into one row that only says the
+    person is there.  Sums per person and vaccination day come next, so one
+    person's rows are bounded by the calendar before they meet the index date.
+    All aggregates are of fixed width and run as hash aggregates.
     """
-    flags = settings.drug_codesets
-    meds = [n for n in flags.values() if n != settings.vaccine_flag]
-    table = flag_table(members, flags)
-    fits = fits_broadcast(table, limit_bytes)
+    flags = list(settings.drug_codesets.values())
+    meds = [n for n in flags if n != settings.vaccine_flag]
     narrow = ["drug_era_id", "person_id", "drug_concept_id", "drug_era_start_date"]
-    flagged = [
-        lookup_join(
-            part.select(*narrow),
-            table,
-            "drug_concept_id",
-            "inner",
-            spread=["drug_era_id"],
-            combine=DataFrame.distinct,
-            fits=fits,
-            limit_bytes=limit_bytes,
-        )
-        for part in (drug_era.train, drug_era.test)
-    ]
-    unique = stack_splits(*flagged, key="drug_era_id")
-    vaccine = F.col(settings.vaccine_flag)
-    by_day = (
-        unique.withColumn(
-            "drug_era_start_date", F.when(vaccine == 1, F.col("drug_era_start_date"))
-        )
-        .groupBy("person_id", "drug_era_start_date")
-        .agg(*[F.sum(n).alias(n) for n in meds], F.sum(vaccine).alias("_doses"))
+    eras = stack_rows(drug_era.train.select(*narrow), drug_era.test.select(*narrow))
+    flagged = lookup_join(
+        eras,
+        flag_table(members, settings.drug_codesets),
+        "drug_concept_id",
+        "left",
+        spread=["drug_era_id"],
+        combine=DataFrame.distinct,
+        limit_bytes=limit_bytes,
     )
-    day, index_date = F.col("drug_era_start_date"), F.col("covid_index")
+    # a concept of the flag table has at least one flag set
+    marked = F.col(flags[0]).isNotNull()
+    unique = flagged.groupBy(
+        "person_id", F.when(marked, F.col("drug_era_id")).alias("_era")
+    ).agg(
+        F.max(F.when(F.col(settings.vaccine_flag) == 1, F.col("drug_era_start_date"))).alias(
+            "_day"
+        ),
+        *[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in flags],
+    )
+    by_day = unique.groupBy("person_id", "_day").agg(*[F.sum(n).alias(n) for n in flags])
+    doses, index_date = F.col(settings.vaccine_flag), F.col("covid_index")
     dosed = by_day.join(index, "person_id", "left").withColumns(
         {
-            PRE: F.when(day < index_date, F.col("_doses")).otherwise(0),
-            POST: F.when(day >= index_date, F.col("_doses")).otherwise(0),
+            PRE: F.when(F.col("_day") < index_date, doses).otherwise(0),
+            POST: F.when(F.col("_day") >= index_date, doses).otherwise(0),
         }
     )
-    sums = dosed.groupBy("person_id").agg(
-        *[F.sum(n).alias(f"{n}_sum") for n in _sum_columns(settings)]
-    )
-    everyone = stack_rows(
-        drug_era.train.select("person_id"), drug_era.test.select("person_id")
-    ).distinct()
-    return everyone.join(sums, "person_id", "left").fillna(
-        0, subset=[f"{n}_sum" for n in _sum_columns(settings)]
+    return dosed.groupBy("person_id").agg(
+        *[F.sum(n).alias(f"{n}_sum") for n in [*meds, PRE, POST]]
     )
 
 

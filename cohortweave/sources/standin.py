@@ -142,11 +142,15 @@ def _codesets(part: DataFrame) -> DataFrame:
 
 
 def _event_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """One event per (order, line number); repeated lines are merged."""
+    """One event per (order, line number); repeated lines are merged.
+
+    The one-letter flag is compared by its character code, which keeps the
+    aggregate on fixed-width values (hash aggregation instead of sorting).
+    """
     lines = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("concept_id"),
         F.min("l_shipdate").alias("shipped"),
-        F.min("l_returnflag").alias("flag"),
+        F.min(F.ascii("l_returnflag")).alias("flag"),
         F.min("l_suppkey").alias("supplier"),
     )
     by_order = orders.groupBy("o_orderkey").agg(F.min("o_custkey").alias("person_id"))
@@ -155,7 +159,7 @@ def _event_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         "person_id",
         "concept_id",
         F.to_date("shipped").alias("event_date"),
-        "flag",
+        F.char("flag").alias("flag"),
         (F.col("supplier") % 3).alias("kind"),
     )
 
