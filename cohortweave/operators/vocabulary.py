@@ -66,7 +66,14 @@ def mapped_concepts(
     codes = source_codes(concept).select(
         F.col("concept_id").alias("concept_id_1"), "concept_name", "concept_code_clean"
     )
-    concept_map = links.join(codes, "concept_id_1").select(
+    concept_map = lookup_join(
+        links,
+        codes,
+        "concept_id_1",
+        "inner",
+        spread=["concept_id_1", "concept_id_2"],
+        limit_bytes=limit_bytes,
+    ).select(
         F.col("concept_id_1").alias("concept_id"),
         "concept_name",
         "concept_code_clean",
