@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 HOT_KEY_ROWS = 1_000_000
 HOT_KEY_LIST = 10_000
-SALTS = 64
+NULL_KEY_SALTS = 1 << 20
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -38,7 +38,8 @@ def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> b
 def hot_keys(
     rows: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS, keep: int = HOT_KEY_LIST
 ) -> DataFrame:
-    """Keys with at least ``min_rows`` rows, heaviest first, at most ``keep``.
+    """Keys with more than ``min_rows`` rows and over how many tasks to spread
+    them (``_copies``, about ``min_rows`` rows each); the ``keep`` heaviest.
 
     The bound makes the list safe to broadcast.  Keys beyond it are not lost:
     they merely take the ordinary unsalted way through ``skew_join``.  The list
@@ -48,10 +49,10 @@ def hot_keys(
         rows.filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_rows)
+        .filter(F.col("_n") > min_rows)
         .orderBy(F.col("_n").desc(), F.col(key))
         .limit(keep)
-        .select(key, F.lit(True).alias("_hot"))
+        .select(key, F.ceil(F.col("_n") / F.lit(min_rows)).cast("int").alias("_copies"))
     )
 
 
@@ -63,13 +64,14 @@ def skew_join(
     *,
     spread: Sequence[str],
     hot: DataFrame | None = None,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Shuffle join in which hot fact keys are spread over ``salts`` tasks.
+    """Shuffle join in which each hot fact key is spread over several tasks.
 
-    The salt is a hash of the ``spread`` columns (a row id), not a random
-    number: a task that runs again after an executor is lost sends each row
-    to the same place.  Only the dimension rows of hot keys are replicated.
+    The number of tasks grows with the rows of the key, so its share of a task
+    stays the same at any size.  The salt is a hash of the ``spread`` columns
+    (a row id), not a random number: a task that runs again after an executor
+    is lost sends each row to the same place.  Only the dimension rows of hot
+    keys are replicated, together at most once per ``min_rows`` fact rows.
     ``how`` is inner, left, left_semi or left_anti.
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
@@ -77,16 +79,21 @@ def skew_join(
     if hot is None:
         hot = hot_keys(fact.select(key), key)
     hot = F.broadcast(hot)
-    # null keys match nothing but may be many: they are spread as well
-    salt = F.when(
-        F.col("_hot").isNotNull() | F.col(key).isNull(),
-        F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"),
-    ).otherwise(F.lit(0))
-    copies = F.when(
-        F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))
-    ).otherwise(F.array(F.lit(0)))
-    salted_fact = fact.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
-    salted_dim = dim.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    row_hash = F.xxhash64(*spread)
+    salt = (
+        F.when(F.col("_copies").isNotNull(), F.pmod(row_hash, F.col("_copies")))
+        # null keys match nothing but may be many: spread without any copies
+        .when(F.col(key).isNull(), F.pmod(row_hash, F.lit(NULL_KEY_SALTS)))
+        .otherwise(F.lit(0))
+        .cast("int")
+    )
+    last_copy = F.coalesce(F.col("_copies") - 1, F.lit(0))
+    salted_fact = fact.join(hot, key, "left").withColumn("_salt", salt).drop("_copies")
+    salted_dim = (
+        dim.join(hot, key, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last_copy)))
+        .drop("_copies")
+    )
     return salted_fact.join(salted_dim, [key, "_salt"], how).drop("_salt")
 
 

@@ -20,30 +20,37 @@ def sides(frame):
 def test_skew_join_equals_plain_join(sides, how, min_rows):
     fact, dim = sides
     hot = joins.hot_keys(fact, "k", min_rows=min_rows)
-    salted = joins.skew_join(fact, dim, "k", how, spread=["id"], hot=hot, salts=5)
+    salted = joins.skew_join(fact, dim, "k", how, spread=["id"], hot=hot)
     plain = fact.join(dim, "k", how)
     assert rows_of(salted, *plain.columns) == rows_of(plain)
 
 
 def test_hot_keys_keep_the_heaviest(sides):
     fact, _ = sides
-    assert [r["k"] for r in joins.hot_keys(fact, "k", min_rows=3, keep=2).collect()] == [1, 2]
+    hot = joins.hot_keys(fact, "k", min_rows=2, keep=2).collect()
+    assert [tuple(r) for r in hot] == [(1, 20), (2, 3)]  # 40 and 5 rows, 2 per copy
+    assert [r["k"] for r in joins.hot_keys(fact, "k", min_rows=5).collect()] == [1]
 
 
 def test_keys_beyond_the_hot_list_are_joined_too(sides):
     fact, dim = sides
     hot = joins.hot_keys(fact, "k", min_rows=2, keep=1)
-    joined = joins.skew_join(fact, dim, "k", "left", spread=["id"], hot=hot, salts=3)
+    joined = joins.skew_join(fact, dim, "k", "left", spread=["id"], hot=hot)
     plain = fact.join(dim, "k", "left")
     assert rows_of(joined, *plain.columns) == rows_of(plain)
 
 
-def test_hot_key_is_spread_over_salts(sides, spark):
-    fact, dim = sides
-    hot = joins.hot_keys(fact, "k", min_rows=20)
-    plan = joins.skew_join(fact, dim, "k", "inner", spread=["id"], hot=hot, salts=8)
-    text = plan._jdf.queryExecution().toString()
-    assert "_salt" in text and "CartesianProduct" not in text
+def test_a_hot_key_is_spread_evenly(frame):
+    """With a third of all rows on one key, no (key, salt) group stays large."""
+    rows = [(i, 1 if i % 3 == 0 else i + 5_000) for i in range(3_000)]
+    fact = frame("id bigint, k bigint", rows)
+    hot = joins.hot_keys(fact, "k", min_rows=100)
+    salted = fact.join(hot, "k").selectExpr("pmod(xxhash64(id), _copies) AS salt")
+    sizes = [r["count"] for r in salted.groupBy("salt").count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 1_000 and max(sizes) < 150
+    dim = frame("k bigint, v string", [(1, "hot"), (5_007, "rare")])
+    joined = joins.skew_join(fact, dim, "k", "inner", spread=["id"], hot=hot)
+    assert rows_of(joined.groupBy("v").count()) == [("hot", 1_000), ("rare", 1)]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
