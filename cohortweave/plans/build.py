@@ -128,9 +128,14 @@ class CohortBuild:
 
     @cached_property
     def conditions_only(self) -> DataFrame:
-        return labels.conditions_only(
-            self.person_labels, comorbidity.history_counts(self.history), self.kept_labels
+        counts = comorbidity.person_counts(
+            self.history,
+            self.tables.condition_era,
+            self.mapped_concepts,
+            self.tables.concept_set_members,
+            self.settings,
         )
+        return labels.conditions_only(self.person_labels, counts, self.kept_labels)
 
     @cached_property
     def cohort(self) -> DataFrame:

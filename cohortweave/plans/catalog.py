@@ -245,14 +245,21 @@ def ecmo_events(b: CohortBuild) -> DataFrame:
     return _ecmo(b)
 
 
+def _both(b: CohortBuild, report: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    vent = report(_vent(b)).withColumn("codeset", F.lit("ventilation"))
+    return vent.unionByName(report(_ecmo(b)).withColumn("codeset", F.lit("ecmo")))
+
+
 @query
 def codeset_usage(b: CohortBuild) -> DataFrame:
-    return severity.codeset_usage(_vent(b), b.tables.concept)
+    """Rows per codeset, source and concept name."""
+    return _both(b, lambda events: severity.codeset_usage(events, b.tables.concept))
 
 
 @query
 def codeset_persons(b: CohortBuild) -> DataFrame:
-    return severity.codeset_persons(_vent(b))
+    """Distinct persons per codeset and source."""
+    return _both(b, severity.codeset_persons)
 
 
 def _severe(b: CohortBuild) -> DataFrame:

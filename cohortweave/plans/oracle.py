@@ -226,6 +226,8 @@ _VIEWS: dict[str, str] = {
     "v_ecmo": f"""
         SELECT * FROM v_event WHERE source <> 'condition' AND concept_id IN
           (SELECT concept_id FROM fx_codeset WHERE codeset_id = {ECMO_CODESET})""",
+    "v_hits": """
+        SELECT 'ventilation' AS codeset, * FROM v_vent UNION ALL SELECT 'ecmo', * FROM v_ecmo""",
     "v_severe": """
         SELECT person_id, 'Severe' AS who_severity FROM v_vent
         UNION SELECT person_id, 'Severe' FROM v_ecmo""",
@@ -372,11 +374,13 @@ _FINAL: dict[str, str] = {
     "vent_events": "SELECT * FROM v_vent",
     "ecmo_events": "SELECT * FROM v_ecmo",
     "codeset_usage": """
-        SELECT source, concept_name, count(*) AS n_rows FROM v_vent
-        LEFT JOIN fx_concept USING (concept_id) GROUP BY source, concept_name""",
+        SELECT codeset, source, concept_name, count(*) AS n_rows FROM v_hits
+        LEFT JOIN fx_concept USING (concept_id) GROUP BY codeset, source, concept_name""",
     "codeset_persons": """
-        SELECT source, count(DISTINCT person_id) AS n_persons FROM v_vent GROUP BY source
-        UNION ALL SELECT 'all', count(DISTINCT person_id) FROM v_vent""",
+        SELECT codeset, source, count(DISTINCT person_id) AS n_persons FROM v_hits
+        GROUP BY codeset, source
+        UNION ALL SELECT codeset, 'all', count(DISTINCT person_id) FROM v_hits
+        GROUP BY codeset""",
     "severe_persons": "SELECT * FROM v_severe",
     "visits_not_severe": """
         SELECT * FROM fx_visit WHERE person_id NOT IN (SELECT person_id FROM v_severe)""",

@@ -29,6 +29,28 @@ def build_session(
     return builder.getOrCreate()
 
 
+def size_shuffles(
+    spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20, most: int = 50_000
+) -> int:
+    """Set the number of shuffle partitions for inputs of a given size.
+
+    Meant for a cluster run over large tables: enough partitions that each fits
+    in memory even if nothing is reduced before the shuffle, and adaptive
+    execution to merge the small ones that the reductions leave.
+    """
+    wanted = -(-input_bytes // target_bytes)
+    partitions = max(spark.sparkContext.defaultParallelism, min(wanted, most))
+    for name, value in {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_bytes),
+    }.items():
+        spark.conf.set(name, value)
+    return partitions
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """Folder every executor can reach, or None when the cluster names none.
 

@@ -138,10 +138,14 @@ def _random_release(frame, seed, n_names=4):
     return split, members, index
 
 
-@pytest.mark.parametrize("seed, n_names, limit", [(1, 4, 1 << 20), (2, 4, 0), (3, 150, 1 << 20)])
+@pytest.mark.parametrize(
+    "seed, n_names, limit, max_names",
+    [(1, 4, 1 << 20, 620), (2, 4, 0, 620), (3, 150, 1 << 20, 620), (4, 150, 1 << 20, 100)],
+)
 def test_history_gives_labels_and_counts_of_single_eras(
-    vocabulary_tables, frame, seed, n_names, limit
+    vocabulary_tables, frame, monkeypatch, seed, n_names, limit, max_names
 ):
+    monkeypatch.setattr(comorbidity, "MAX_NAMES", max_names)
     split, members, index = _random_release(frame, seed, n_names)
     mapped = vocabulary.mapped_concepts(*vocabulary_tables)
     matched = eras.icd_match(
@@ -152,7 +156,9 @@ def test_history_gives_labels_and_counts_of_single_eras(
     assert rows_of(comorbidity.history_labels(history, index)) == rows_of(
         rows.select("person_id", comorbidity.LABEL).distinct()
     )
-    assert rows_of(comorbidity.history_counts(history)) == rows_of(
+    assert ("cci_mask_0" in history.columns) == (n_names < max_names)
+    counts = comorbidity.person_counts(history, split, mapped, members, SETTINGS)
+    assert rows_of(counts) == rows_of(
         rows.select("person_id", "cci_count").distinct()
     )
 
