@@ -122,7 +122,8 @@ def fit_boosted_trees(
         seed=params.seed,
     )
     if holdout is not None:
-        trees = trees.setValidationIndicatorCol(holdout)
+        # stop as soon as the hold-out loss no longer falls
+        trees = trees.setValidationIndicatorCol(holdout).setParams(validationTol=0.0)
     return trees.fit(class_weight(rows, "label", params.scale_pos_weight))
 
 

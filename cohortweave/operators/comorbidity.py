@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.functions.clinical import pre_or_post
 from cohortweave.operators.eras import CATEGORY, best_mapping, with_category
-from cohortweave.operators.joins import BROADCAST_LIMIT_BYTES, lookup_join, skew_join
+from cohortweave.operators.joins import lookup_join, skew_join
 from cohortweave.operators.stacking import stack_rows
 from cohortweave.operators.vocabulary import codeset_members
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
@@ -25,7 +25,7 @@ def comorbidity_count(
     members: DataFrame,
     settings: CohortSettings = DEFAULT_SETTINGS,
     *,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Number of distinct comorbidity sets per person (none: no row)."""
     sets = (
@@ -119,7 +119,7 @@ def condition_history(
     members: DataFrame,
     settings: CohortSettings = DEFAULT_SETTINGS,
     *,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """All that later steps need of the eras: one row per person and category.
 

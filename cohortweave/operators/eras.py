@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.functions.clinical import recoded_category, usable_category
-from cohortweave.operators.joins import BROADCAST_LIMIT_BYTES, lookup_join
+from cohortweave.operators.joins import lookup_join
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 
 CATEGORY = "default_ccsr_category_op_clean"
@@ -95,7 +95,7 @@ def with_category(
     key_rows: DataFrame | None = None,
     combine: Callable[[DataFrame], DataFrame] | None = None,
     spread: Sequence[str] = ("condition_era_id",),
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Eras whose concept has a usable category, with that category.
 
@@ -125,7 +125,7 @@ def icd_match(
     settings: CohortSettings = DEFAULT_SETTINGS,
     *,
     key_rows: DataFrame | None = None,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """One row per era that has a usable category (eras unique by id)."""
     matched = with_category(

@@ -31,12 +31,14 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(row_bytes)).first()[0] or 0
 
 
-def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, limit_bytes: int | None = None) -> bool:
+    if limit_bytes is None:
+        limit_bytes = BROADCAST_LIMIT_BYTES
     return limit_bytes > 0 and measured_bytes(df) <= limit_bytes
 
 
 def hot_keys(
-    rows: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS, keep: int = HOT_KEY_LIST
+    rows: DataFrame, key: str, min_rows: int | None = None, keep: int = HOT_KEY_LIST
 ) -> DataFrame:
     """Keys with more than ``min_rows`` rows and over how many tasks to spread
     them (``_copies``, about ``min_rows`` rows each); the ``keep`` heaviest.
@@ -45,6 +47,8 @@ def hot_keys(
     they merely take the ordinary unsalted way through ``skew_join``.  The list
     is exact and ordered totally, so every evaluation of it agrees.
     """
+    if min_rows is None:
+        min_rows = HOT_KEY_ROWS
     return (
         rows.filter(F.col(key).isNotNull())
         .groupBy(key)
@@ -107,7 +111,7 @@ def lookup_join(
     key_rows: DataFrame | None = None,
     combine: Callable[[DataFrame], DataFrame] | None = None,
     fits: bool | None = None,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Join to a lookup table without moving the fact rows if possible.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.operators.comorbidity import LABEL
-from cohortweave.operators.joins import BROADCAST_LIMIT_BYTES, lookup_join
+from cohortweave.operators.joins import lookup_join
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 
 MAX_LABELS = 10_000  # Spark's own default bound on pivot columns
@@ -57,7 +57,7 @@ def drop_rare_labels(
     min_persons: int,
     *,
     spread: Sequence[str],
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Rows whose label is not rare."""
     rare = frequency.filter(F.col("condition_count") < min_persons).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.operators.joins import BROADCAST_LIMIT_BYTES, lookup_join, skew_join
+from cohortweave.operators.joins import lookup_join, skew_join
 from cohortweave.operators.stacking import stack_rows
 from cohortweave.operators.vocabulary import codeset_members
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
@@ -34,7 +34,7 @@ def codeset_flags(
     settings: CohortSettings = DEFAULT_SETTINGS,
     *,
     key_rows: DataFrame | None = None,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """All flags in one lookup; an empty codeset or unknown concept gives 0."""
     flags = settings.drug_codesets
@@ -117,7 +117,7 @@ def drug_sums(
     members: DataFrame,
     settings: CohortSettings = DEFAULT_SETTINGS,
     *,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Sums per person of every medication flag and the two vaccine columns.
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.operators.joins import (
-    BROADCAST_LIMIT_BYTES,
     fits_broadcast,
     hot_keys,
     lookup_join,
@@ -63,7 +62,7 @@ def events_in_codesets(
     codesets: Sequence[int],
     *,
     fits: bool | None = None,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Events whose concept is in any of the codesets; equal copies may merge."""
     return lookup_join(
@@ -85,7 +84,7 @@ def codeset_events(
     codeset: int,
     settings: CohortSettings = DEFAULT_SETTINGS,
     *,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Events of several tables in one codeset since the look-back start.
 
@@ -142,7 +141,7 @@ def severe_persons(
     members: DataFrame,
     settings: CohortSettings = DEFAULT_SETTINGS,
     *,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Persons with ventilation or ECMO since the look-back start.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.functions.text import without_dots, without_quotes
-from cohortweave.operators.joins import BROADCAST_LIMIT_BYTES, lookup_join
+from cohortweave.operators.joins import lookup_join
 
 
 def codeset_members(members: DataFrame, codesets: Sequence[int]) -> DataFrame:
@@ -54,7 +54,7 @@ def mapped_concepts(
     concept: DataFrame,
     grouper: DataFrame,
     *,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Full outer join of mapped source codes with the category grouper.
 
@@ -98,7 +98,7 @@ def mapped_concepts(
 
 
 def map_conditions(
-    eras: DataFrame, mapped: DataFrame, *, limit_bytes: int = BROADCAST_LIMIT_BYTES
+    eras: DataFrame, mapped: DataFrame, *, limit_bytes: int | None = None
 ) -> DataFrame:
     """Every era with every mapping of its concept (left, many to many)."""
     by_concept = mapped.filter(F.col("concept_id_2").isNotNull()).withColumn(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -13,9 +14,22 @@ from cohortweave.operators.stacking import stack_splits
 from cohortweave.session import materialize
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 from cohortweave.sources.schemas import CONDITIONS, OBSERVATIONS, PROCEDURES
-from cohortweave.sources.tables import Tables, stored_or
+from cohortweave.sources.tables import Tables, stored_or, write_table
 
 SEVERITIES = (severity.MILD, severity.MODERATE, severity.SEVERE)
+STEPS = (
+    "mapped_concepts",
+    "condition_mapped",
+    "icd_match",
+    "person_all",
+    "covid_severity",
+    "medications_vaccinations",
+    "cci_count",
+    "label_frequency",
+    "conditions_only",
+    "cohort",
+    "model_matrix",
+)
 
 
 @dataclass(frozen=True)
@@ -95,6 +109,17 @@ class CohortBuild:
             self.tables.drug_era, self.index, self.tables.concept_set_members, self.settings
         )
 
+    @cached_property
+    def cci_count(self) -> DataFrame:
+        """Every matched era with label and comorbidity count (row level)."""
+        return comorbidity.cci_rows(
+            self.icd_match,
+            self.tables.concept_set_members,
+            self.index,
+            self.settings,
+            hot=severity.person_hot_keys(self.tables.condition_era),
+        )
+
     @cached_property
     def history(self) -> DataFrame:
         """Condition history per person and category, written once.
@@ -157,6 +182,18 @@ class CohortBuild:
             self.cohort, known={"who_severity": SEVERITIES, "gender_cats": genders}
         )
 
+    def save(self, folder: str, steps: Sequence[str] = STEPS, mode: str = "errorifexists") -> None:
+        """Write the named steps below ``folder``, one table each.
+
+        Later steps go on from the written tables instead of computing the
+        earlier ones again.
+        """
+        for step in steps:
+            plan = getattr(self, step)
+            path = f"{folder.rstrip('/')}/{step}"
+            write_table(plan, path, mode=mode)
+            self.__dict__[step] = plan.sparkSession.read.schema(plan.schema).parquet(path)
+
     def predict(self, grid: list[boosting.TreeParams] | None = None) -> Predictions:
         """Search, refit on all labelled training persons and score the rest."""
         if grid is None:

@@ -372,19 +372,9 @@ def pre_post_condition(b: CohortBuild) -> DataFrame:
     )
 
 
-def _cci_rows(b: CohortBuild) -> DataFrame:
-    return comorbidity.cci_rows(
-        b.icd_match,
-        b.tables.concept_set_members,
-        b.index,
-        SETTINGS,
-        hot=severity.person_hot_keys(b.tables.condition_era),
-    )
-
-
 @query
 def cci_count(b: CohortBuild) -> DataFrame:
-    return _cci_rows(b)
+    return b.cci_count
 
 
 @query
@@ -399,7 +389,7 @@ def label_frequency_unpivot(b: CohortBuild) -> DataFrame:
 
 @query
 def drop_rare_labels(b: CohortBuild) -> DataFrame:
-    rows = _cci_rows(b).select("condition_era_id", "person_id", comorbidity.LABEL)
+    rows = b.cci_count.select("condition_era_id", "person_id", comorbidity.LABEL)
     return labels.drop_rare_labels(
         rows, b.label_frequency, b.minimum_persons, spread=["condition_era_id"]
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortweave.operators.joins import BROADCAST_LIMIT_BYTES, lookup_join
+from cohortweave.operators.joins import lookup_join
 from cohortweave.sources import schemas as S
 
 
@@ -90,7 +90,7 @@ def add_concept_name(
     out_col: str,
     *,
     spread: Sequence[str] | None = None,
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
+    limit_bytes: int | None = None,
 ) -> DataFrame:
     """Add the name of the concept in ``id_col`` (null when it is unknown).
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from cohortweave.operators import joins
 from cohortweave.operators.cohort import PERSON_COLUMNS
 from cohortweave.plans.build import CohortBuild
 from cohortweave.settings import STANDIN_SETTINGS
@@ -59,6 +60,19 @@ def test_query_equals_sql(spark, duck, name):
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == expected
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["condition_mapped", "icd_match", "enrich_concept_name", "events_since_index",
+     "codeset_usage", "visits_not_severe", "visit_name_list", "covid_severity",
+     "vaccine_pre_post", "drug_sums", "cci_count", "label_frequency"],
+)
+def test_query_equals_sql_when_nothing_is_broadcast(spark, duck, monkeypatch, name):
+    """Tables too large for a broadcast and hot keys give the same results."""
+    monkeypatch.setattr(joins, "BROADCAST_LIMIT_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_KEY_ROWS", 5)
+    test_query_equals_sql(spark, duck, name)
+
+
 @pytest.fixture(scope="module")
 def build(spark):
     return CohortBuild(standin_tables(spark, SMALL), STANDIN_SETTINGS)

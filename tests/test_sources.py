@@ -5,6 +5,7 @@ import pytest
 from conftest import rows_of
 from pyspark.errors import PySparkException
 
+from cohortweave.__main__ import main
 from cohortweave.operators.persons import age_at_index
 from cohortweave.plans.build import CohortBuild
 from cohortweave.settings import CohortSettings
@@ -186,3 +187,13 @@ def test_release_to_cohort(spark, release):
 def test_unknown_table_is_an_attribute_error(spark, release):
     with pytest.raises(AttributeError):
         load_release(spark, release).nothing
+
+
+def test_command_writes_the_chosen_steps(spark, release, tmp_path):
+    out = str(tmp_path / "out")
+    steps = ["icd_match", "covid_severity", "cohort", "model_matrix"]
+    main([release, out, "--features-only", "--steps", *steps])
+    assert sorted(os.listdir(out)) == sorted(steps)
+    cohort = spark.read.parquet(f"{out}/cohort")
+    # default codesets are unknown to this release
+    assert rows_of(cohort, "person_id", "who_severity") == [(1, "Mild"), (2, "Moderate"), (3, "Mild")]
