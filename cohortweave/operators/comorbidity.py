@@ -131,7 +131,7 @@ def condition_history(
     """
     masks, mask_columns = comorbidity_masks(members, settings)
     best = best_mapping(mapped, settings).drop("icd_length", "icd10cm_clean")
-    lookup = best if masks is None else best.join(masks, "condition_concept_id", "full")
+    lookup = best if masks is None else best.join(masks, "condition_concept_id", "left")
     narrow = ["person_id", "condition_concept_id", "condition_era_start_date"]
     eras = stack_rows(condition_era.train.select(*narrow), condition_era.test.select(*narrow))
     day = F.col("condition_era_start_date")
@@ -145,7 +145,6 @@ def condition_history(
     usable = with_category(
         dated,
         lookup,
-        settings,
         spread=["person_id"],
         combine=lambda rows: _merged_dates(rows, "person_id", "condition_concept_id"),
         limit_bytes=limit_bytes,
@@ -208,9 +207,7 @@ def person_counts(
         return history_counts(history)
     narrow = ["condition_era_id", "person_id", "condition_concept_id"]
     eras = stack_rows(condition_era.train.select(*narrow), condition_era.test.select(*narrow))
-    usable = with_category(
-        eras, best_mapping(mapped, settings), settings, combine=DataFrame.distinct
-    )
+    usable = with_category(eras, best_mapping(mapped, settings), combine=DataFrame.distinct)
     counts = comorbidity_count(usable, members, settings)
     persons = history.select("person_id").distinct()
     return persons.join(counts, "person_id", "left").fillna(0, subset=["cci_count"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.functions.clinical import recoded_category, usable_category
@@ -40,19 +40,6 @@ def drop_unusable(conditions: DataFrame, settings: CohortSettings = DEFAULT_SETT
     return conditions.filter(usable_category(F.col(CATEGORY), settings))
 
 
-def _preference() -> Column:
-    """Shorter codes are broader and come first; a missing code precedes all.
-
-    Structs compare field by field with nulls first, which makes this a total
-    order over the mappings of one concept.
-    """
-    return F.struct(
-        F.length("icd10cm_clean").alias("icd_length"),
-        F.col("icd10cm_clean"),
-        F.col(CATEGORY),
-    )
-
-
 def distinct_era_categories(conditions: DataFrame) -> DataFrame:
     """The preferred row of every (era, category) pair.
 
@@ -71,52 +58,69 @@ def distinct_era_categories(conditions: DataFrame) -> DataFrame:
     return best.select("condition_era_id", CATEGORY, "_best.*")
 
 
-def best_mapping(mapped: DataFrame, settings: CohortSettings = DEFAULT_SETTINGS) -> DataFrame:
-    """The winning code and category of every mapped concept that has one."""
-    recoded = recode_categories(
-        mapped.filter(F.col("concept_id_2").isNotNull()).select(
-            F.col("concept_id_2").alias("condition_concept_id"), "icd10cm_clean", CATEGORY
-        ),
-        settings,
+def best_mapping(
+    mapped: DataFrame,
+    settings: CohortSettings = DEFAULT_SETTINGS,
+    concept: DataFrame | None = None,
+) -> DataFrame:
+    """The winning code and category of every concept that has a usable one.
+
+    Shorter codes are broader and come first; a missing code precedes all.
+    Structs compare field by field with nulls first, which makes this a total
+    order over the mappings of a concept.  A manually recoded concept without
+    any mapping counts too, with no code.  ``concept`` adds the names.
+    """
+    mappings = mapped.filter(F.col("concept_id_2").isNotNull()).select(
+        F.col("concept_id_2").alias("condition_concept_id"),
+        "icd10cm_clean",
+        CATEGORY,
+        F.lit(0).alias("_manual"),
+    )
+    if settings.category_by_concept:
+        manual = mapped.sparkSession.createDataFrame(
+            [(c, None, None, 1) for c in settings.category_by_concept],
+            f"condition_concept_id bigint, icd10cm_clean string, {CATEGORY} string, _manual int",
+        )
+        mappings = mappings.unionByName(manual)
+    usable = drop_unusable(recode_categories(mappings, settings), settings)
+    preference = F.struct(
+        "_manual", F.length("icd10cm_clean").alias("icd_length"), "icd10cm_clean", CATEGORY
+    )
+    best = (
+        usable.groupBy("condition_concept_id")
+        .agg(F.min(preference).alias("_best"))
+        .select("condition_concept_id", "_best.*")
+        .drop("_manual")
     )
-    return (
-        drop_unusable(recoded, settings)
-        .groupBy("condition_concept_id")
-        .agg(F.min(_preference()).alias("_best"))
-        .select("condition_concept_id", "_best.icd_length", "_best.icd10cm_clean", f"_best.{CATEGORY}")
+    if concept is None:
+        return best
+    names = concept.select(
+        F.col("concept_id").alias("condition_concept_id"),
+        F.col("concept_name").alias("condition_concept_name"),
     )
+    return best.join(names, "condition_concept_id", "left")
 
 
 def with_category(
     eras: DataFrame,
     best: DataFrame,
-    settings: CohortSettings = DEFAULT_SETTINGS,
     *,
     key_rows: DataFrame | None = None,
     combine: Callable[[DataFrame], DataFrame] | None = None,
     spread: Sequence[str] = ("condition_era_id",),
     limit_bytes: int | None = None,
 ) -> DataFrame:
-    """Eras whose concept has a usable category, with that category.
-
-    A concept without any mapping may still be named by a manual recode.
-    """
-    joined = lookup_join(
+    """Eras whose concept has a usable category, with that category."""
+    return lookup_join(
         eras,
         best,
         "condition_concept_id",
-        "left",
+        "inner",
         spread=spread,
         key_rows=key_rows,
         combine=combine,
         limit_bytes=limit_bytes,
     )
-    manual = recoded_category(
-        F.lit(None).cast("string"), F.col("condition_concept_id"), settings
-    )
-    return drop_unusable(
-        joined.withColumn(CATEGORY, F.coalesce(F.col(CATEGORY), manual)), settings
-    )
 
 
 def icd_match(
@@ -124,11 +128,17 @@ def icd_match(
     mapped: DataFrame,
     settings: CohortSettings = DEFAULT_SETTINGS,
     *,
+    concept: DataFrame | None = None,
     key_rows: DataFrame | None = None,
     limit_bytes: int | None = None,
 ) -> DataFrame:
-    """One row per era that has a usable category (eras unique by id)."""
-    matched = with_category(
-        eras, best_mapping(mapped, settings), settings, key_rows=key_rows, limit_bytes=limit_bytes
-    )
+    """One row per era that has a usable category (eras unique by id).
+
+    Concept names come along with the lookup when ``concept`` is given and the
+    eras do not hold them already.
+    """
+    if "condition_concept_name" in eras.columns:
+        concept = None
+    best = best_mapping(mapped, settings, concept)
+    matched = with_category(eras, best, key_rows=key_rows, limit_bytes=limit_bytes)
     return matched.select(*[c for c in ERA_COLUMNS if c in matched.columns], "icd_length")

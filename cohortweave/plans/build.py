@@ -82,7 +82,12 @@ class CohortBuild:
 
     @cached_property
     def icd_match(self) -> DataFrame:
-        return eras.icd_match(self.condition_eras, self.mapped_concepts, self.settings)
+        return eras.icd_match(
+            self.condition_eras,
+            self.mapped_concepts,
+            self.settings,
+            concept=self.tables.concept,
+        )
 
     @cached_property
     def person_all(self) -> DataFrame:

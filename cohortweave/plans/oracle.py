@@ -208,8 +208,9 @@ _VIEWS: dict[str, str] = {
     "v_icd": """
         SELECT person_id, condition_era_id, condition_era_start_date, icd10cm_clean,
           default_ccsr_category_op_clean, condition_concept_id,
+          concept_name AS condition_concept_name,
           CAST(length(icd10cm_clean) AS INT) AS icd_length
-        FROM v_usable
+        FROM v_usable LEFT JOIN fx_concept ON condition_concept_id = concept_id
         QUALIFY row_number() OVER (PARTITION BY condition_era_id
           ORDER BY length(icd10cm_clean) NULLS FIRST, icd10cm_clean NULLS FIRST,
                    default_ccsr_category_op_clean, condition_concept_id) = 1""",

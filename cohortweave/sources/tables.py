@@ -112,11 +112,15 @@ def add_concept_names(df: DataFrame, concept: DataFrame, ids: dict[str, str]) ->
     return df
 
 
-def load_release(spark: SparkSession, root: str, fmt: str = "csv") -> Tables:
+def load_release(
+    spark: SparkSession, root: str, fmt: str = "csv", event_names: bool = False
+) -> Tables:
     """Load a release folder: shared tables in ``root``, parts below it.
 
-    The parts are ``root/training`` and ``root/testing``.  Concept names are
-    added as on the hosted tables, so every step finds the columns it needs.
+    The parts are ``root/training`` and ``root/testing``.  Persons and visits
+    get the concept names that later steps read.  Eras, procedures,
+    observations and conditions get theirs only with ``event_names``: no step
+    needs them on every row, and reports look them up on their results.
     """
     ending = f".{fmt}"
 
@@ -127,9 +131,10 @@ def load_release(spark: SparkSession, root: str, fmt: str = "csv") -> Tables:
         name: str,
         schema: T.StructType,
         *named: str,
+        wanted: bool = True,
         test_schema: T.StructType | None = None,
     ) -> Callable[[], Split]:
-        names = {f"{column}_id": f"{column}_name" for column in named}
+        names = {f"{column}_id": f"{column}_name" for column in named if wanted}
 
         def part(folder: str, columns: T.StructType) -> DataFrame:
             rows = read_table(spark, f"{root}/{folder}/{name}{ending}", columns, fmt)
@@ -137,16 +142,19 @@ def load_release(spark: SparkSession, root: str, fmt: str = "csv") -> Tables:
 
         return lambda: Split(part("training", schema), part("testing", test_schema or schema))
 
+    def events(name: str, schema: T.StructType, named: str) -> Callable[[], Split]:
+        return parts(name, schema, named, wanted=event_names)
+
     tables = Tables(
         concept=shared("concept", S.CONCEPT),
         concept_relationship=shared("concept_relationship", S.CONCEPT_RELATIONSHIP),
         grouper=shared("DXCCSR_v2021", S.GROUPER),
         concept_set_members=shared("concept_set_members", S.CONCEPT_SET_MEMBERS),
-        condition_era=parts("condition_era", S.CONDITION_ERA, "condition_concept"),
-        drug_era=parts("drug_era", S.DRUG_ERA, "drug_concept"),
-        procedure=parts("procedure_occurrence", S.PROCEDURE_OCCURRENCE, "procedure_concept"),
-        observation=parts("observation", S.OBSERVATION, "observation_concept"),
-        condition=parts("condition_occurrence", S.CONDITION_OCCURRENCE, "condition_concept"),
+        condition_era=events("condition_era", S.CONDITION_ERA, "condition_concept"),
+        drug_era=events("drug_era", S.DRUG_ERA, "drug_concept"),
+        procedure=events("procedure_occurrence", S.PROCEDURE_OCCURRENCE, "procedure_concept"),
+        observation=events("observation", S.OBSERVATION, "observation_concept"),
+        condition=events("condition_occurrence", S.CONDITION_OCCURRENCE, "condition_concept"),
         visit=parts("microvisits_to_macrovisits", S.VISIT, "visit_concept"),
         person=parts(
             "person", S.PERSON, "race_concept", "ethnicity_concept", "gender_concept"

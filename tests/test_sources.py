@@ -164,10 +164,12 @@ def test_concept_names(frame, limit):
     assert rows_of(got) == [(1, 3, "name 3"), (2, 99, None), (3, None, None), (4, 3, "name 3")]
 
 
-def test_release_to_cohort(spark, release):
-    tables = load_release(spark, release)
+@pytest.mark.parametrize("event_names", [True, False])
+def test_release_to_cohort(spark, release, event_names):
+    tables = load_release(spark, release, event_names=event_names)
     assert rows_of(tables.visit.train, "visit_concept_name") == [("Inpatient Visit",)]
-    assert rows_of(tables.condition_era.test, "condition_concept_name") == [("flu",)]
+    if event_names:
+        assert rows_of(tables.condition_era.test, "condition_concept_name") == [("flu",)]
     build = CohortBuild(tables, SETTINGS)
     assert rows_of(build.icd_match, "person_id", "icd10cm_clean", "condition_concept_name") == [
         (1, "J101", "flu"), (2, "J101", "flu"), (3, "J101", "flu")
