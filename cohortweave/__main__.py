@@ -1,4 +1,4 @@
-"""Run the whole build: ``spark-submit ... -m cohortweave RELEASE OUTPUT``."""
+"""Run the whole build: ``python -m cohortweave RELEASE OUTPUT``."""
 
 from __future__ import annotations
 

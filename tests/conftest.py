@@ -1,7 +1,10 @@
 import os
 import sys
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -10,7 +13,7 @@ from cohortweave.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", 4, shuffle_partitions=4)
+    session = build_session("tests", 8, shuffle_partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
@@ -18,8 +21,19 @@ def spark():
 
 @pytest.fixture
 def frame(spark):
-    """frame("a int, b string", rows) -> DataFrame"""
-    return lambda schema, rows: spark.createDataFrame(rows, schema)
+    """frame("a int, b string", rows) -> DataFrame over a local table.
+
+    Going through Arrow avoids a job of several tasks per tiny table.
+    """
+
+    def make(schema, rows):
+        declared = T.StructType.fromDDL(schema)
+        arrow = to_arrow_schema(declared)
+        columns = list(zip(*rows)) or [[] for _ in declared]
+        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
+        return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), declared)
+
+    return make
 
 
 def rows_of(df, *columns):

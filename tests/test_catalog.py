@@ -103,7 +103,7 @@ def test_result_does_not_depend_on_partitioning(spark, name):
     try:
         assert sorted(map(repr, QUERIES[name](spark, SMALL).collect())) == first
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
 
 
 def test_scans_read_only_needed_columns(spark):

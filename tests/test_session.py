@@ -14,7 +14,7 @@ def sql_settings(spark):
 
 
 def test_shuffles_grow_with_the_input(sql_settings):
-    assert session.size_shuffles(sql_settings, 1) == 4  # the session's cores
+    assert session.size_shuffles(sql_settings, 1) == 8  # the session's cores
     assert session.size_shuffles(sql_settings, 100 << 30) == 800
     assert session.size_shuffles(sql_settings, 100 << 40) == 50_000
     assert sql_settings.conf.get("spark.sql.shuffle.partitions") == "50000"
