@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import quality_ledger
-from cohortweave.llm.common import read_table
+from cohortweave.llm import bpe, language_id, packing, quality_ledger, secret_scan
+from cohortweave.llm.common import pick, read_table
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,54 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
+    docs = pick(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    model = secret_scan.train(secret_scan.labelled_samples(docs))
+    spans = F.col("spans")
+    fixed = secret_scan.KINDS[:3]
+    return secret_scan.find_spans(docs, model).select(
+        "doc_id",
+        *[secret_scan.count_kind(spans, kind).alias(f"n_{kind}") for kind in fixed],
+        F.sha2(secret_scan.span_text(spans, fixed).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_text(spans).alias("spans"),
+    )
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes that they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(ids, ranks, public_tokenizers.PATTERN).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece with its sequence and offset; the ids stay in the written pieces."""
+    return packing.pack(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside fold 0."""
+    docs = pick(read_table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    fold = language_id.fold()
+    profiles = language_id.learn(docs.filter(fold != 0))
+    return language_id.predict(docs.drop("lang"), profiles).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+
     "op5_quality_rules": op5_quality_rules,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_language_id": op10_language_id,
 }
