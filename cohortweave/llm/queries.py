@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import bpe, language_id, packing, quality_ledger, secret_scan
+from cohortweave.llm import bpe, language_id, packing, quality_ledger, secret_scan, url_reputation
 from cohortweave.llm.common import pick, read_table
 
 
@@ -26,6 +26,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page; a label of a page's id says whether the page is bad."""
+    labels = pick(read_table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic").filter(
+        "quality IS NOT NULL OR toxic IS NOT NULL"
+    )
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("is_bad"))
+    return url_reputation.judge(read_table(spark, sf_dir, "pages"), outcomes)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of secrets in every document."""
     docs = pick(read_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -70,6 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_reputation": op1_url_reputation,
     "op2_secret_scan": op2_secret_scan,
 
     "op5_quality_rules": op5_quality_rules,

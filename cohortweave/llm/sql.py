@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cohortweave.llm.url_reputation import DOUBLE_SUFFIXES, LOWER, RULES, UPPER
+
 QUALITY_SQL = r"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
@@ -42,4 +44,69 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-ORACLES = {"op5_quality_rules": QUALITY_SQL}
+def _shrunk(name: str, groups: str, n: str, bad: str, parent: str) -> str:
+    """Two steps: the fitted strength of a level's prior, and its groups shrunk by it."""
+    return f"""
+{name}_m AS (
+  SELECT sum(pow({bad} - {n} * {parent}, 2) / {n}) AS spread, sum({parent} * (1 - {parent})) AS alone,
+    sum({parent} * (1 - {parent}) * ({n} - 1)) AS together
+  FROM {groups} WHERE {n} > 0
+), {name}_k AS (
+  SELECT round(1 / CASE WHEN coalesce(together, 0) = 0 THEN 0.5
+    ELSE least(greatest((spread - alone) / together, 0.001), 0.5) END - 1, 6) AS k FROM {name}_m
+), {name} AS (
+  SELECT *, ({bad} + k * {parent}) / ({n} + k) AS mean, {n} + k AS weight FROM {groups}, {name}_k
+)"""
+
+
+_DOUBLE = ", ".join(f"'{s}'" for s in DOUBLE_SUFFIXES)
+_RULE_ROWS = ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)
+
+URL_SQL = f"""
+WITH r AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), s AS (
+  SELECT row_number() OVER () AS rid, page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM r
+), o AS (
+  SELECT doc_id, coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS is_bad
+  FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL
+), h0 AS (
+  SELECT host, CAST(count(is_bad) AS DOUBLE) AS n, CAST(count(*) FILTER (is_bad) AS DOUBLE) AS bad
+  FROM s LEFT JOIN o ON page_id = doc_id GROUP BY host
+), h1 AS (
+  SELECT *, string_split(regexp_extract(host, '^[^:]*'), '.') AS l FROM h0
+), h2 AS (
+  SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ({_DOUBLE}) THEN 2 ELSE 1 END AS w FROM h1
+), h AS (
+  SELECT host, n, bad, array_to_string(l[-(w + 1):], '.') AS domain,
+    CASE WHEN len(l) > w THEN array_to_string(l[-w:], '.') ELSE '' END AS suffix
+  FROM h2
+), d AS (
+  SELECT domain, suffix, sum(n) AS n_d, sum(bad) AS bad_d FROM h GROUP BY domain, suffix
+), f AS (
+  SELECT suffix, sum(n_d) AS n_s, sum(bad_d) AS bad_s, (sum(sum(bad_d)) OVER () + 1) / (sum(sum(n_d)) OVER () + 2) AS mean_0
+  FROM d GROUP BY suffix
+),{_shrunk("f1", "f", "n_s", "bad_s", "mean_0")}, d0 AS (
+  SELECT d.*, f1.mean AS mean_s FROM d JOIN f1 USING (suffix)
+),{_shrunk("d1", "d0", "n_d", "bad_d", "mean_s")}, g0 AS (
+  SELECT h.host, h.n, h.bad, d1.mean AS mean_d FROM h JOIN d1 ON h.domain = d1.domain AND h.suffix = d1.suffix
+),{_shrunk("g1", "g0", "n", "bad", "mean_d")}, blocked AS (
+  SELECT host FROM g1 WHERE host <> '' AND mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.5
+), rules(rule, rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_ROWS}
+), best AS (
+  SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
+  FROM s JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY rid
+)
+SELECT page_id, host, path, rule,
+  coalesce(rule_verdict, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+FROM s LEFT JOIN best USING (rid)
+"""
+
+ORACLES = {
+    "op1_url_reputation": URL_SQL,
+    "op5_quality_rules": QUALITY_SQL,
+}
