@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import bpe, language_id, packing, quality_ledger, secret_scan, url_reputation
+from cohortweave.llm import bpe, language_id, packing, probminhash, quality_ledger, secret_scan, url_reputation
 from cohortweave.llm.common import pick, read_table
 
 
@@ -62,6 +62,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document; the least id of a class is kept."""
+    return probminhash.near_duplicates(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece with its sequence and offset; the ids stay in the written pieces."""
     return packing.pack(
@@ -85,6 +92,7 @@ QUERIES = {
 
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_probminhash_dedup": op7_probminhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
