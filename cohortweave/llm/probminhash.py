@@ -301,18 +301,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` (its columns as they are) with one row of each class: the one with the least id."""
-    found = near_duplicates(docs)
-    # how many rows hold the least id of a class: more than one only where rows repeat
+    found = materialize(near_duplicates(docs).filter("root IS NOT NULL"), "classed")
+    is_first = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    # an id may repeat with equal texts (then one row stays) or other texts (then one text stays)
     firsts = (
-        found.filter(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
+        found.filter(is_first)
         .groupBy("root", "doc_id")
         .agg(F.min("key").alias("_key"), F.count(F.lit(1)).alias("_n"))
     )
     firsts = materialize(firsts.select(F.col("doc_id").alias("_first"), "_key", "_n"), "class-firsts")
+    same = found["doc_id"].eqNullSafe(firsts["_first"]) & (found["key"] == firsts["_key"])
+    dropped = found.join(firsts, same, "left_anti").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    dropped = materialize(dropped.distinct(), "dropped")
     key = free_name(docs, "class_key")
     keyed = docs.withColumn(key, class_key(F.col("text")))
-    fits = keyed["doc_id"].eqNullSafe(firsts["_first"]) & (keyed[key] == firsts["_key"])
-    single = keyed.join(firsts.filter("_n = 1"), fits, "left_semi")
-    repeated = keyed.join(firsts.filter("_n > 1"), fits, "left_semi").dropDuplicates([key])
-    blank = keyed.filter(F.col(key).isNull())
-    return single.unionByName(repeated).unionByName(blank).drop(key)
+
+    def among(ids: DataFrame, id_: str) -> Column:
+        return keyed["doc_id"].eqNullSafe(ids[id_]) & (keyed[key] == ids["_key"])
+
+    repeated = firsts.filter("_n > 1")
+    kept = keyed.join(dropped, among(dropped, "_id"), "left_anti").join(
+        repeated, among(repeated, "_first"), "left_anti"
+    )
+    once = keyed.join(repeated, among(repeated, "_first"), "left_semi").dropDuplicates([key])
+    return kept.unionByName(once).drop(key)
