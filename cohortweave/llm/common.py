@@ -54,3 +54,13 @@ def bound_batches(spark: SparkSession) -> None:
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order."""
     return F.array_remove(F.split(text, SPACE_CLASS + "+"), "")
+
+
+def digest_key(text: Column) -> Column:
+    """120 bits of the md5 of a text, as a number that hash aggregates can hold."""
+    digest = F.md5(text.cast("binary"))
+
+    def bits(start: int) -> Column:
+        return F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)")
+
+    return (bits(1) * F.lit(1 << 60).cast("decimal(19,0)") + bits(16)).cast("decimal(38,0)")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.llm.common import bound_batches, free_name, pick, words
+from cohortweave.llm.common import bound_batches, digest_key, free_name, pick, words
 from cohortweave.llm.components import connected_components
 from cohortweave.session import materialize
 
@@ -122,13 +122,7 @@ def bands_of(registers: np.ndarray) -> np.ndarray:
 def class_key(text: Column) -> Column:
     """The same number for the same words: 120 bits of their md5; null without words."""
     joined = F.array_join(words(text), " ")
-    digest = F.md5(joined.cast("binary"))
-
-    def bits(start: int) -> Column:
-        return F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)")
-
-    number = bits(1) * F.lit(1 << 60).cast("decimal(19,0)") + bits(16)
-    return F.when(F.length(joined) > 0, number.cast("decimal(38,0)"))
+    return F.when(F.length(joined) > 0, digest_key(joined))
 
 
 def sketches(docs: DataFrame) -> DataFrame:

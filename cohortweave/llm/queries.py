@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import bpe, language_id, packing, probminhash, quality_ledger, secret_scan, url_reputation
+from cohortweave.llm import bpe, embedding_dedup, language_id, packing, probminhash, quality_ledger, secret_scan, url_reputation
 from cohortweave.llm.common import pick, read_table
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding_dedup.linked(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of the default policy."""
     failed = F.col("failed")
@@ -90,6 +95,7 @@ QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_secret_scan": op2_secret_scan,
 
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_probminhash_dedup": op7_probminhash_dedup,
