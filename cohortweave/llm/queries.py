@@ -6,10 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.llm import bpe, embedding_dedup, language_id, packing, probminhash, quality_ledger, secret_scan, url_reputation
+from cohortweave.llm import (
+    bpe,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    packing,
+    pii,
+    probminhash,
+    quality_ledger,
+    secret_scan,
+    url_reputation,
+)
 from cohortweave.llm.common import pick, read_table
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document and the known sentences that it holds."""
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("sentences", ",").alias("sentences"),
+    )
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return embedding_dedup.linked(read_table(spark, sf_dir, "embeddings"))
@@ -74,6 +94,20 @@ def op7_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Stands for a key from the user's own store of secrets.
+DEMONSTRATION_KEY = b"a key for the registered query"
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms in place of personal data, and how many of each kind."""
+    found = pii.pseudonymise(read_table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+    kinds = F.transform("found", lambda f: f["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS
+    ]
+    return found.select("doc_id", "text", *counts)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece with its sequence and offset; the ids stay in the written pieces."""
     return packing.pack(
@@ -95,10 +129,12 @@ QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_secret_scan": op2_secret_scan,
 
+    "op3_license_scan": op3_license_scan,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_probminhash_dedup": op7_probminhash_dedup,
+    "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cohortweave.llm import license_scan
 from cohortweave.llm.url_reputation import DOUBLE_SUFFIXES, LOWER, RULES, UPPER
 
 QUALITY_SQL = r"""
@@ -106,7 +107,48 @@ SELECT page_id, host, path, rule,
 FROM s LEFT JOIN best USING (rid)
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_KNOWN = ", ".join(f"{_quoted(s)}: {_quoted(i)}" for s, i in license_scan.known_sentences())
+
+
+def _sentence_ids(line_end: str) -> str:
+    return rf"""list_filter(list_transform(string_split(regexp_replace(
+      regexp_replace(text, '\s*\n\s*', {line_end}, 'g'), '([.!?;])\s+', '\1' || chr(10), 'g'), chr(10)),
+      lambda s: MAP {{{_KNOWN}}}[regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g'), '(^[. ]+|[. ]+$)', '', 'g')]),
+      lambda i: i IS NOT NULL)"""
+
+
+def _license_steps() -> str:
+    """One step per rule: whether it matches what the earlier rules left, and what it leaves."""
+    steps = []
+    for i, rule in enumerate(license_scan.RULES):
+        pattern = _quoted(license_scan.rule_pattern(rule))
+        steps.append(
+            f"r{i + 1} AS (SELECT rid, doc_id, ids, regexp_replace(seq, {pattern}, '', 'g') AS seq, "
+            f"CASE WHEN regexp_matches(seq, {pattern}) THEN list_append(names, '{rule.license}') ELSE names END AS names "
+            f"FROM r{i})"
+        )
+    return ", ".join(steps)
+
+
+LICENSE_SQL = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), b AS (
+  SELECT rid, doc_id, {_sentence_ids("chr(10)")} AS by_line, {_sentence_ids("' '")} AS across FROM t
+), r0 AS (
+  SELECT rid, doc_id, ids, '<' || array_to_string(ids, '><') || '>' AS seq, CAST([] AS VARCHAR[]) AS names
+  FROM (SELECT rid, doc_id, CASE WHEN len(by_line) >= len(across) THEN by_line ELSE across END AS ids FROM b)
+), {_license_steps()}
+SELECT doc_id, array_to_string(list_sort(list_distinct(names)), ',') AS licenses, array_to_string(ids, ',') AS sentences
+FROM r{len(license_scan.RULES)}
+"""
+
 ORACLES = {
     "op1_url_reputation": URL_SQL,
+    "op3_license_scan": LICENSE_SQL,
     "op5_quality_rules": QUALITY_SQL,
 }
