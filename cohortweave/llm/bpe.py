@@ -35,7 +35,7 @@ NONE = np.iinfo(np.int32).max
 #: Bytes of the longest piece that goes into a padded matrix.
 MATRIX_WIDTH = 256
 
-_MATRIX_CELLS = 1 << 20
+_MATRIX_CELLS = 1 << 18
 _OUT_BYTES = 8 << 20
 _DECODE_IDS = 1 << 20
 _loaded: dict[tuple[int, str], tuple[PairMerger, ChunkEncoder]] = {}

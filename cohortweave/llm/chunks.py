@@ -22,7 +22,7 @@ class ChunkEncoder:
     is remembered is bounded by ``remembered`` chunks; texts are read in blocks.
     """
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], remembered: int = 400_000):
+    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], remembered: int = 200_000):
         self._encode = encode_chunks
         self._remembered = remembered
         self._spaced: dict[str, bytes] = {}

@@ -35,6 +35,8 @@ DOCUMENT_PLACES = 300
 #: More labels than this are taken for an error in the label column.
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
+#: What ``keep_known`` asks for: far below prose and even broken text of a known language.
+LEAST_SCORE = 0.2
 
 _BLOCK = 1 << 20
 _FLUSH = 1 << 20
@@ -183,6 +185,15 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     )
 
 
+def keep_known(docs: DataFrame, profiles: Profiles, least_score: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` (its columns as they are) without texts of no language or too far from all profiles."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
+    kept = predict(rows, profiles, "_text").filter(
+        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)
+    )
+    return kept.select("_row.*")
+
+
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5; fold 0 is held out from learning."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

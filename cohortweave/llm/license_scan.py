@@ -62,7 +62,7 @@ SENTENCES = {
     "free-software": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "lgpl-3-name": "Licensed under the GNU Lesser General Public License, version 3",
     "agpl-3-name": "Licensed under the GNU Affero General Public License, version 3",
-    "mpl-2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "mpl-2-name": "Licensed under the Mozilla Public License, version 2.0",
     "cc-by-name": "Licensed under CC BY 4.0",
     "cc-by-name-2": "This work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -138,11 +138,13 @@ def normal(sentence: str) -> str:
 
 
 def known_sentences() -> list[tuple[str, str]]:
-    """(normal form, identifier) of the known sentences, cut like texts."""
+    """(normal form, identifier) of the known sentences, each a sentence to the columns below too."""
     known = {}
     for identifier, sentence in SENTENCES.items():
         if not re.search(ANCHOR, sentence):
             raise ValueError(f"sentence {identifier} has no anchor word")
+        if re.search(SENTENCE_END, sentence):
+            raise ValueError(f"sentence {identifier} would be cut")
         known[normal(sentence)] = identifier
     return sorted(known.items())
 

@@ -184,7 +184,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs whose shingle sets have the similarity; texts move only for classes in pairs."""
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     keyed = docs.select(class_key(F.col("text")).alias("key"), "text")
-    texts = keyed.join(materialize(wanted, "candidate-keys"), "key", "left_semi")
+    texts = keyed.join(wanted, "key", "left_semi")
     texts = materialize(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
 
     @F.pandas_udf("boolean")
@@ -282,9 +282,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(_verified(likely, docs), "star-links")
     roots = materialize(connected_components(links), "star-components")
     rest = materialize(_rest_pairs(banded, shared, classes, roots), "rest-pairs")
-    more = _verified(rest, docs)
-    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))
-    final = materialize(connected_components(edges), "components")
+    more = materialize(_verified(rest, docs), "rest-links")
+    if more.isEmpty():
+        final = roots
+    else:
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))
+        final = materialize(connected_components(edges), "components")
     members = sketched.select("doc_id", "key").join(final.select(F.col("node").alias("key"), "root"), "key", "left")
     members = materialize(members.select("doc_id", "key", F.coalesce("root", "key").alias("root")), "members")
     least = materialize(members.groupBy("root").agg(F.min("doc_id").alias("_least")), "class-ids")

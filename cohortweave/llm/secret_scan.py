@@ -48,6 +48,8 @@ TRAINING_DOCUMENTS = 20_000
 #: A candidate is a secret if its ratio is at least this, in nats, in all and per pair.
 LEAST_RATIO = 8.0
 LEAST_PER_PAIR = 0.4
+#: Pairs that the smoothing adds to each first character.
+SMOOTHING = 8
 
 _MARK = "\x01"
 _PLAIN = "\x02"
@@ -97,12 +99,19 @@ class PairModel:
 
 
 def pair_ratios(random: dict[str, int], ordinary: dict[str, int]) -> PairModel:
-    """Ratios from pair counts of both classes, each with one added to every pair."""
+    """Ratios from pair counts of both classes.
+
+    A pair's chance after its first character is smoothed toward the chance of its
+    second character anywhere (which has one added to every count), so pairs never seen weigh by
+    the characters that they consist of.
+    """
 
     def logs(counts: dict[str, int]) -> list[float]:
+        single = [sum(counts.get(a + b, 0) for a in ALPHABET) + 1 for b in ALPHABET]
+        total = sum(single)
         out = []
         for a in ALPHABET:
-            row = [counts.get(a + b, 0) + 1 for b in ALPHABET]
+            row = [counts.get(a + b, 0) + SMOOTHING * n / total for b, n in zip(ALPHABET, single)]
             out += [math.log(n / sum(row)) for n in row]
         return out
 
@@ -278,3 +287,20 @@ def redact(text: Column, spans: Column, with_: str = "[SECRET]") -> Column:
         lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["end"] + 1, F.length(text))),
     )
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def hide(docs: DataFrame, model: PairModel) -> DataFrame:
+    """``docs`` (its columns as they are) with secrets in ``text`` replaced and ``n_chars`` corrected."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_given"))
+    found = find_spans(rows, model, "_given", "_spans")
+    changed = F.size("_spans") > 0
+    hidden = found.withColumn("_hidden", redact(F.col("_given"), F.col("_spans")))
+    columns = []
+    for name in docs.columns:
+        old = F.col("_row").getField(name)
+        if name.lower() == "text":
+            old = F.col("_hidden")
+        elif name.lower() == "n_chars":
+            old = F.when(changed, F.length("_hidden").cast(docs.schema[name].dataType)).otherwise(old)
+        columns.append(old.alias(name))
+    return hidden.select(*columns)
