@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from cohortweave.operators.boosting import N_TREES, sample_param_grid
 from cohortweave.plans.build import STEPS, CohortBuild
-from cohortweave.session import size_shuffles
+from cohortweave.session import drop_materialized, folder_bytes, size_shuffles, use_folder
 from cohortweave.settings import DEFAULT_SETTINGS
 from cohortweave.sources.tables import load_release, write_table
 
@@ -24,12 +24,12 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--trials", type=int, default=DEFAULT_SETTINGS.trials)
     parser.add_argument("--trees", type=int, default=N_TREES)
     parser.add_argument("--features-only", action="store_true", help="fit no model")
-    parser.add_argument("--input-bytes", type=int, help="input size, to size the shuffles")
+    parser.add_argument("--input-bytes", type=int, help="input size for the shuffles (default: measured)")
     options = parser.parse_args(arguments)
 
     spark = SparkSession.builder.getOrCreate()
-    if options.input_bytes:
-        size_shuffles(spark, options.input_bytes)
+    size_shuffles(spark, options.input_bytes or folder_bytes(spark, options.release))
+    use_folder(spark, f"{options.output.rstrip('/')}/_work")
     settings = dataclasses.replace(
         DEFAULT_SETTINGS, rare_min_persons=options.rare_persons, trials=options.trials
     )
@@ -39,6 +39,7 @@ def main(arguments: list[str] | None = None) -> None:
         result = build.predict(sample_param_grid(options.trials, n_estimators=options.trees))
         for name in ("trials", "scores", "importance"):
             write_table(getattr(result, name), f"{options.output.rstrip('/')}/{name}")
+    drop_materialized(spark)
 
 
 if __name__ == "__main__":

@@ -34,6 +34,7 @@ MIN_CHILD_WEIGHT = (0, 10)
 POS_WEIGHTS = (4, 5, 6, 7, 8)
 N_TREES = 180
 MODEL_SEED = 0
+DEEPEST = 30  # levels that Spark can number the nodes of
 # --- end of fixed values ---
 
 
@@ -101,6 +102,8 @@ def fit_boosted_trees(
     ``gamma`` bounds the summed gain of a split while Spark bounds the gain per
     row, hence the division by the number of rows.
     """
+    if params.max_depth > DEEPEST:
+        raise ValueError(f"max_depth {params.max_depth} is beyond Spark's {DEEPEST}")
     if n_rows is None:
         n_rows = rows.count()
     checkpointed = ensure_checkpoint_dir(rows.sparkSession)
@@ -108,10 +111,11 @@ def fit_boosted_trees(
         featuresCol="features",
         labelCol="label",
         weightCol="class_weight",
-        maxDepth=min(params.max_depth, 30),
+        maxDepth=params.max_depth,
         maxIter=params.n_estimators,
         minInfoGain=params.gamma / max(n_rows, 1),
-        minInstancesPerNode=max(params.min_child_weight, 1),
+        # 0 and 1 mean the same: a node always holds a row
+        minInstancesPerNode=params.min_child_weight or 1,
         featureSubsetStrategy=(
             "all" if params.colsample_bytree >= 1 else f"{params.colsample_bytree:.4f}"
         ),

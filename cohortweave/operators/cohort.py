@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 OUTCOME = "pasc_code_after_four_weeks"
 PRIOR_OUTCOME = "pasc_code_prior_four_weeks"
+# --- Fixed values: the columns of a person in the cohort ---
 PERSON_COLUMNS = [
     "person_id",
     OUTCOME,
@@ -18,7 +19,7 @@ PERSON_COLUMNS = [
     "race_cats",
     "ethnicity_cats",
 ]
-MAX_CATEGORIES = 1_000
+# --- end of fixed values ---
 
 
 def assemble_cohort(
@@ -45,12 +46,14 @@ def exclude_early_outcome(cohort: DataFrame) -> DataFrame:
 
 
 def categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct values of a category column (they name columns)."""
-    found = (
-        df.filter(F.col(column).isNotNull()).select(column).distinct().limit(MAX_CATEGORIES + 1)
-    ).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories")
+    """Sorted distinct values of a category column.
+
+    They name columns, hence the bound that Spark sets its own pivots.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = df.filter(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more values than spark.sql.pivotMaxValues = {most}")
     return sorted(row[0] for row in found)
 
 

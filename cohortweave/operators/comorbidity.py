@@ -17,7 +17,6 @@ from cohortweave.sources.tables import Split
 
 LABEL = "pre_post_condition"
 BITS = 62  # names per bigint mask
-MAX_NAMES = 10 * BITS  # beyond this many set names, counts come from distinct pairs
 
 
 def comorbidity_count(
@@ -81,20 +80,17 @@ def cci_rows(
 
 def comorbidity_masks(
     members: DataFrame, settings: CohortSettings
-) -> tuple[DataFrame | None, list[str]]:
+) -> tuple[DataFrame, list[str]]:
     """Per concept, the set names it belongs to as bits of bigint columns.
 
-    A codeset normally has one name, so one column serves.  With more than
-    ``MAX_NAMES`` names no masks are made and ``person_counts`` takes its
-    other way.
+    A codeset normally has one name, so one column serves; any number of names
+    takes as many columns as it needs.  The names of the codesets in the
+    settings are collected to number them.
     """
     sets = codeset_members(members, settings.comorbidity_codesets).filter(
         F.col("concept_set_name").isNotNull()
     )
-    found = sets.select("concept_set_name").distinct().limit(MAX_NAMES + 1).collect()
-    if len(found) > MAX_NAMES:
-        return None, []
-    names = sorted(row[0] for row in found)
+    names = sorted(row[0] for row in sets.select("concept_set_name").distinct().collect())
     columns = [f"cci_mask_{i}" for i in range(-(-len(names) // BITS) or 1)]
     bit_of = sets.sparkSession.createDataFrame(
         [(name, i // BITS, 1 << (i % BITS)) for i, name in enumerate(names)],
@@ -131,7 +127,7 @@ def condition_history(
     """
     masks, mask_columns = comorbidity_masks(members, settings)
     best = best_mapping(mapped, settings).drop("icd_length", "icd10cm_clean")
-    lookup = best if masks is None else best.join(masks, "condition_concept_id", "left")
+    lookup = best.join(masks, "condition_concept_id", "left")
     narrow = ["person_id", "condition_concept_id", "condition_era_start_date"]
     eras = stack_rows(condition_era.train.select(*narrow), condition_era.test.select(*narrow))
     day = F.col("condition_era_start_date")
@@ -190,24 +186,3 @@ def history_counts(history: DataFrame) -> DataFrame:
     for c in masks:
         total = total + F.bit_count(c)
     return merged.select("person_id", total.alias("cci_count"))
-
-
-def person_counts(
-    history: DataFrame,
-    condition_era: Split,
-    mapped: DataFrame,
-    members: DataFrame,
-    settings: CohortSettings = DEFAULT_SETTINGS,
-) -> DataFrame:
-    """Comorbidity count of every person in ``history``.
-
-    Read from the bits if there are any, else counted over the eras again.
-    """
-    if any(c.startswith("cci_mask_") for c in history.columns):
-        return history_counts(history)
-    narrow = ["condition_era_id", "person_id", "condition_concept_id"]
-    eras = stack_rows(condition_era.train.select(*narrow), condition_era.test.select(*narrow))
-    usable = with_category(eras, best_mapping(mapped, settings), combine=DataFrame.distinct)
-    counts = comorbidity_count(usable, members, settings)
-    persons = history.select("person_id").distinct()
-    return persons.join(counts, "person_id", "left").fillna(0, subset=["cci_count"])

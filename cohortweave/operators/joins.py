@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortweave.session import materialize
+
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 HOT_KEY_ROWS = 1_000_000
-HOT_KEY_LIST = 10_000
 NULL_KEY_SALTS = 1 << 20
 
 
@@ -37,27 +38,23 @@ def fits_broadcast(df: DataFrame, limit_bytes: int | None = None) -> bool:
     return limit_bytes > 0 and measured_bytes(df) <= limit_bytes
 
 
-def hot_keys(
-    rows: DataFrame, key: str, min_rows: int | None = None, keep: int = HOT_KEY_LIST
-) -> DataFrame:
-    """Keys with more than ``min_rows`` rows and over how many tasks to spread
-    them (``_copies``, about ``min_rows`` rows each); the ``keep`` heaviest.
+def hot_keys(rows: DataFrame, key: str, min_rows: int | None = None) -> DataFrame:
+    """All keys with more than ``min_rows`` rows and over how many tasks to
+    spread them (``_copies``, about ``min_rows`` rows each).
 
-    The bound makes the list safe to broadcast.  Keys beyond it are not lost:
-    they merely take the ordinary unsalted way through ``skew_join``.  The list
-    is exact and ordered totally, so every evaluation of it agrees.
+    The list holds at most one key per ``min_rows`` rows.  It is counted once
+    and kept in the shared folder, since both sides of a join read it.
     """
     if min_rows is None:
         min_rows = HOT_KEY_ROWS
-    return (
+    counted = (
         rows.filter(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > min_rows)
-        .orderBy(F.col("_n").desc(), F.col(key))
-        .limit(keep)
         .select(key, F.ceil(F.col("_n") / F.lit(min_rows)).cast("int").alias("_copies"))
     )
+    return materialize(counted, "hot-keys")
 
 
 def skew_join(
@@ -82,7 +79,9 @@ def skew_join(
         raise ValueError(f"unsupported join type: {how}")
     if hot is None:
         hot = hot_keys(fact.select(key), key)
-    hot = F.broadcast(hot)
+    # a list too long to broadcast is joined by key like any other table
+    if fits_broadcast(hot):
+        hot = F.broadcast(hot)
     row_hash = F.xxhash64(*spread)
     salt = (
         F.when(F.col("_copies").isNotNull(), F.pmod(row_hash, F.col("_copies")))

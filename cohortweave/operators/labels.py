@@ -13,8 +13,6 @@ from cohortweave.operators.comorbidity import LABEL
 from cohortweave.operators.joins import lookup_join
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 
-MAX_LABELS = 10_000  # Spark's own default bound on pivot columns
-
 
 def label_frequency(rows: DataFrame) -> DataFrame:
     """Distinct persons per label.
@@ -71,17 +69,19 @@ def drop_rare_labels(
 def label_list(frequency: DataFrame, min_persons: int = 0) -> list[str]:
     """Sorted labels with at least ``min_persons`` persons.
 
-    These become column names, so they must reach the driver; more than
-    Spark's bound on pivot columns is an error, never a silent cut.
+    These become column names, so they must reach the driver.  More than
+    ``spark.sql.pivotMaxValues`` is an error, as in Spark's own pivot, never a
+    silent cut; raise that setting or the threshold.
     """
+    most = int(frequency.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     found = (
         frequency.filter(F.col("condition_count") >= min_persons)
         .select("condition")
-        .limit(MAX_LABELS + 1)
+        .limit(most + 1)
         .collect()
     )
-    if len(found) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels for a pivot; raise the threshold")
+    if len(found) > most:
+        raise ValueError(f"more labels than spark.sql.pivotMaxValues = {most}")
     return sorted(row[0] for row in found)
 
 

@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.operators.ordering import running_below, with_quantile_bucket
+from cohortweave.operators.ordering import RANGE_ROWS, running_below, with_range
 
 
 def stratified_split(
@@ -20,19 +20,26 @@ def stratified_split(
     """Mark a fixed share of every class as hold-out (``is_holdout``).
 
     Rows of a class are ordered by a hash of seed and key, and the first
-    ``fraction`` are held out.  Ranks are counted within 4096 hash ranges and
-    added up, so no task ever sees a whole class.
+    ``fraction`` are held out.  Ranks are counted within ranges of the hash,
+    whose number grows with the rows, and added up, so no task ever sees a
+    whole class.  Rows without label or key belong to no class and are never
+    held out.
     """
     share = Fraction(fraction).limit_denominator(10_000)
-    hashed = df.withColumns(
+    placed = F.col(label).isNotNull() & F.col(key).isNotNull()
+    n_rows, digits = df.count(), 1
+    while 16**digits * RANGE_ROWS < n_rows:
+        digits += 1
+    hashed = df.filter(placed).withColumns(
         {"_hash": F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))),
          "_one": F.lit(1).cast("long")}
-    ).withColumn("_range", F.substring("_hash", 1, 3))
+    ).withColumn("_range", F.substring("_hash", 1, digits))
     ranked = running_below(hashed, ["_hash", key], ["_one"], "_range", by=[label])
     held_out = (F.col("below__one") + 1) * share.denominator <= (
         F.col("total__one") * share.numerator
     )
-    return ranked.select(*df.columns, held_out.alias("is_holdout"))
+    rest = df.filter(~placed).withColumn("is_holdout", F.lit(False))
+    return ranked.select(*df.columns, held_out.alias("is_holdout")).unionByName(rest)
 
 
 def class_weight(df: DataFrame, label: str, ratio: float) -> DataFrame:
@@ -74,7 +81,9 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def rank_auc(df: DataFrame, actual: str, score: str) -> DataFrame:
+def rank_auc(
+    df: DataFrame, actual: str, score: str, rows_per_range: int = RANGE_ROWS
+) -> DataFrame:
     """Exact area under the ROC curve of a score, ties counted half.
 
     Rows shrink to class counts per distinct score; the negatives below each
@@ -86,7 +95,7 @@ def rank_auc(df: DataFrame, actual: str, score: str) -> DataFrame:
         .groupBy(F.col(score).alias("score"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
-    ranged = with_quantile_bucket(counts, "score", "_range")
+    ranged = with_range(counts, "score", "_range", rows_per_range)
     ranked = running_below(ranged, ["score"], ["neg"], "_range")
     # counted in halves as exact decimals: products outgrow bigint at scale
     wide = "decimal(38,0)"

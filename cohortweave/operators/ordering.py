@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortweave.session import materialize
+
+RANGE_ROWS = 1_000_000
+
 
 def running_below(
     rows: DataFrame,
@@ -18,9 +22,9 @@ def running_below(
     """Add ``below_<w>`` and ``total_<w>`` for each weight column.
 
     ``bucket`` cuts the order into consecutive ranges.  Each range is summed
-    within its own task; the range totals (one row per range and group, a
-    bounded number) are accumulated separately and added back.  ``bucket`` and
-    ``by`` must not be null.
+    within its own task; the range totals (one row per range and group) are
+    accumulated separately and joined back where the ranges already lie.
+    ``bucket`` and ``by`` must not be null.
     """
     group = [*by, bucket]
     earlier_ranges = (
@@ -39,7 +43,7 @@ def running_below(
     inside = rows.select(
         "*", *[F.coalesce(F.sum(w).over(earlier_rows), zero).alias(f"_inside_{w}") for w in weights]
     )
-    joined = inside.join(F.broadcast(offsets), group)
+    joined = inside.join(offsets, group)
     return joined.select(
         *rows.columns,
         *[(F.col(f"_before_{w}") + F.col(f"_inside_{w}")).alias(f"below_{w}") for w in weights],
@@ -47,15 +51,13 @@ def running_below(
     )
 
 
-def with_quantile_bucket(
-    rows: DataFrame, column: str, bucket: str, buckets: int = 256
-) -> DataFrame:
-    """Number ranges of ``column`` that hold about equally many ``rows``.
+def with_range(rows: DataFrame, column: str, bucket: str, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """Number consecutive ranges of ``column`` that hold about equally many ``rows``.
 
-    The cut points come from one bounded quantile sketch read as a scalar
-    subquery; they only balance the work and never change a result.
+    There are as many ranges as the rows need, one partition each.  The ranges are
+    written with the rows, so every reader sees the same ones; where they
+    are cut balances the work and never changes a result.
     """
-    fractions = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = rows.agg(F.percentile_approx(column, fractions, 10_000).alias("cuts")).scalar()
-    lower = F.filter("_cuts", lambda cut: cut < F.col(column))
-    return rows.withColumn("_cuts", cuts).withColumn(bucket, F.size(lower)).drop("_cuts")
+    ranges = max(1, -(-rows.count() // rows_per_range))
+    ranged = rows.repartitionByRange(ranges, column).withColumn(bucket, F.spark_partition_id())
+    return materialize(ranged, "ranges")

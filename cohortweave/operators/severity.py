@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortweave.operators.joins import (
@@ -15,12 +15,12 @@ from cohortweave.operators.joins import (
 )
 from cohortweave.operators.stacking import stack_rows, stack_splits
 from cohortweave.operators.vocabulary import codeset_concepts
+from cohortweave.session import materialize
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 from cohortweave.sources.schemas import EventColumns
 from cohortweave.sources.tables import Split
 
 SEVERE, MODERATE, MILD = "Severe", "Moderate", "Mild"
-NAMES_PER_PART = 100_000
 
 EventTables = Sequence[tuple[EventColumns, Split]]
 
@@ -106,7 +106,8 @@ def codeset_events(
         ]
         unique = stack_splits(*hits, key="event_id")
         events = unique if events is None else events.unionByName(unique)
-    return events_since_index(events, index, settings)
+    # few rows are left: written once, so that counting hot persons scans no event table
+    return events_since_index(materialize(events, "codeset-events"), index, settings)
 
 
 def codeset_usage(events: DataFrame, concept: DataFrame) -> DataFrame:
@@ -176,7 +177,9 @@ def severe_persons(
     )
 
 
-def exclude_persons(visits: DataFrame, persons: DataFrame) -> DataFrame:
+def exclude_persons(
+    visits: DataFrame, persons: DataFrame, *, hot: DataFrame | None = None
+) -> DataFrame:
     """Visits of everyone but the given persons; hot persons are spread."""
     return skew_join(
         visits,
@@ -184,6 +187,7 @@ def exclude_persons(visits: DataFrame, persons: DataFrame) -> DataFrame:
         "person_id",
         "left_anti",
         spread=["visit_occurrence_id"],
+        hot=hot,
     ).select(*visits.columns)
 
 
@@ -222,41 +226,40 @@ def visit_severity(visits: DataFrame) -> DataFrame:
     )
 
 
-def visit_name_list(visits: DataFrame, names_per_part: int = NAMES_PER_PART) -> DataFrame:
-    """All visit names of a person as sorted text.
+def visit_name_list(visits: DataFrame) -> DataFrame:
+    """Every visit name of a person with its number of visits.
 
-    Names are counted per person first, so only the distinct names of a person
-    meet in one task.  A text takes up to ``names_per_part`` repeats of each
-    name; a person with more gets further parts (1, 2, ...), so nothing is cut
-    and no single value grows without bound.  Missing names add nothing.
+    One row per person and name at any size; a person whose visits have no name
+    has one row with a null name.  ``visit_name_text`` writes the list out.
     """
+    named = F.col("visit_concept_name").isNotNull()
     counts = visits.groupBy("person_id", "visit_concept_name").agg(
-        F.count(F.lit(1)).alias("_n")
+        F.count(F.lit(1)).alias("n_visits")
     )
-    size = F.lit(names_per_part).cast("long")
-    last_part = F.when(
-        F.col("visit_concept_name").isNull(), F.lit(0).cast("long")
-    ).otherwise(F.floor((F.col("_n") - 1) / size).cast("long"))
-    parts = counts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last_part)))
-    repeats = F.least(F.col("_n") - F.col("part") * size, size).cast("int")
-    texts = parts.select(
-        "person_id",
-        "part",
-        F.when(
-            F.col("visit_concept_name").isNotNull(),
-            F.struct(
-                F.col("visit_concept_name").alias("name"),
-                F.array_join(F.array_repeat(F.col("visit_concept_name"), repeats), ", ").alias(
-                    "text"
-                ),
-            ),
-        ).alias("_entry"),
+    some = Window.partitionBy("person_id")
+    return (
+        counts.withColumn("_named", F.max(named).over(some))
+        .filter(named | ~F.col("_named"))
+        .select("person_id", "visit_concept_name", "n_visits")
+    )
+
+
+def visit_name_text(names: DataFrame) -> DataFrame:
+    """The list of a person as one sorted text, each name as often as it was visited.
+
+    A reader for persons of interest: a text is as long as the person's list.
+    """
+    entry = F.when(
+        F.col("visit_concept_name").isNotNull(), F.struct("visit_concept_name", "n_visits")
+    )
+    texts = F.transform(
+        F.array_sort(F.collect_list(entry)),
+        lambda e: F.array_join(
+            F.array_repeat(e["visit_concept_name"], e["n_visits"].cast("int")), ", "
+        ),
     )
-    # collect_list skips the null entries of missing names
-    return texts.groupBy("person_id", "part").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list("_entry")), lambda entry: entry["text"]), ", "
-        ).alias("concat_visit_concept_name")
+    return names.groupBy("person_id").agg(
+        F.array_join(texts, ", ").alias("concat_visit_concept_name")
     )
 
 

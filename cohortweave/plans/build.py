@@ -158,13 +158,7 @@ class CohortBuild:
 
     @cached_property
     def conditions_only(self) -> DataFrame:
-        counts = comorbidity.person_counts(
-            self.history,
-            self.tables.condition_era,
-            self.mapped_concepts,
-            self.tables.concept_set_members,
-            self.settings,
-        )
+        counts = comorbidity.history_counts(self.history)
         return labels.conditions_only(self.person_labels, counts, self.kept_labels)
 
     @cached_property

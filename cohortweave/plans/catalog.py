@@ -285,7 +285,9 @@ def _qualifying(b: CohortBuild) -> DataFrame:
 
 @query
 def visits_not_severe(b: CohortBuild) -> DataFrame:
-    return severity.exclude_persons(_visits(b), _severe(b))
+    return severity.exclude_persons(
+        _visits(b), _severe(b), hot=severity.person_hot_keys(b.tables.visit)
+    )
 
 
 @query
@@ -293,8 +295,14 @@ def qualifying_visits(b: CohortBuild) -> DataFrame:
     return _qualifying(b)
 
 
+def _not_severe(b: CohortBuild) -> DataFrame:
+    return severity.exclude_persons(
+        _qualifying(b), _severe(b), hot=severity.person_hot_keys(b.tables.visit)
+    )
+
+
 def _visit_severity(b: CohortBuild) -> DataFrame:
-    return severity.visit_severity(severity.exclude_persons(_qualifying(b), _severe(b)))
+    return severity.visit_severity(_not_severe(b))
 
 
 @query
@@ -304,7 +312,7 @@ def visit_severity(b: CohortBuild) -> DataFrame:
 
 @query
 def visit_name_list(b: CohortBuild) -> DataFrame:
-    return severity.visit_name_list(severity.exclude_persons(_qualifying(b), _severe(b)))
+    return severity.visit_name_list(_not_severe(b))
 
 
 @query

@@ -237,11 +237,12 @@ _VIEWS: dict[str, str] = {
         WHERE visit_start_date >= covid_index - 7
           OR covid_index BETWEEN visit_start_date AND visit_end_date
           OR covid_index BETWEEN macrovisit_start_date AND macrovisit_end_date""",
+    "v_left": """
+        SELECT * FROM v_qualifying WHERE person_id NOT IN (SELECT person_id FROM v_severe)""",
     "v_names": """
         SELECT person_id, coalesce(
             string_agg(visit_concept_name, ', ' ORDER BY visit_concept_name), '') AS names
-        FROM v_qualifying WHERE person_id NOT IN (SELECT person_id FROM v_severe)
-        GROUP BY person_id""",
+        FROM v_left GROUP BY person_id""",
     "v_visit_severity": """
         SELECT person_id, CASE WHEN contains(names, 'Inpatient') THEN 'Moderate' ELSE 'Mild' END
           AS who_severity FROM v_names""",
@@ -388,8 +389,10 @@ _FINAL: dict[str, str] = {
     "qualifying_visits": "SELECT * FROM v_qualifying",
     "visit_severity": "SELECT * FROM v_visit_severity",
     "visit_name_list": """
-        SELECT person_id, CAST(0 AS BIGINT) AS part, names AS concat_visit_concept_name
-        FROM v_names""",
+        SELECT person_id, visit_concept_name, count(*) AS n_visits FROM v_left
+        GROUP BY person_id, visit_concept_name
+        HAVING visit_concept_name IS NOT NULL OR person_id NOT IN
+          (SELECT person_id FROM v_left WHERE visit_concept_name IS NOT NULL)""",
     "no_visit_persons": "SELECT * FROM v_no_visit",
     "covid_severity": "SELECT * FROM v_severity",
     "codeset_flags": "SELECT * FROM v_flags",

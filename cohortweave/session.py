@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
+_folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def build_session(
@@ -29,9 +30,14 @@ def build_session(
     return builder.getOrCreate()
 
 
-def size_shuffles(
-    spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20, most: int = 50_000
-) -> int:
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Size of all files below a folder, as its file system counts them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(path).getLength()
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, target_bytes: int = 128 << 20) -> int:
     """Set the number of shuffle partitions for inputs of a given size.
 
     Meant for a cluster run over large tables: enough partitions that each fits
@@ -39,7 +45,7 @@ def size_shuffles(
     execution to merge the small ones that the reductions leave.
     """
     wanted = -(-input_bytes // target_bytes)
-    partitions = max(spark.sparkContext.defaultParallelism, min(wanted, most))
+    partitions = max(spark.sparkContext.defaultParallelism, wanted)
     for name, value in {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.enabled": "true",
@@ -52,21 +58,34 @@ def size_shuffles(
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can reach, or None when the cluster names none.
+    """Folder every executor can reach, or None when nothing names one.
 
     The cluster's own ``spark.checkpoint.dir`` (or the directory already set on
-    the context) always wins.  A temporary folder is made only in local mode,
-    where driver and executors share one machine.
+    the context) always wins, then the folder given to ``use_folder``.  A
+    temporary folder is made only in local mode, where driver and executors
+    share one machine.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
-        return None
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="cohortweave-")
-    return _local_folders[context.applicationId]
+    if context.applicationId not in _folders:
+        if not context.master.startswith("local"):
+            return None
+        _folders[context.applicationId] = tempfile.mkdtemp(prefix="cohortweave-")
+    return _folders[context.applicationId]
+
+
+def use_folder(spark: SparkSession, folder: str) -> None:
+    """Name a folder that driver and executors share, for clusters that name none."""
+    _folders[spark.sparkContext.applicationId] = folder
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete what this application's ``materialize`` wrote; call it when all results are stored."""
+    for name in _written.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> bool:
@@ -84,12 +103,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     One write is cheaper than ``checkpoint()`` (which runs its last stage
     twice), stays columnar so later steps still prune columns, and survives the
-    loss of executors.  With no shared folder the plan is returned as it is and
-    Spark recomputes it, which is slower but equally right.
+    loss of executors.  A cluster without a shared folder is an error: the plan
+    would be computed again by every reader.
     """
-    folder = shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    folder = shared_folder(spark)
     if folder is None:
-        return df
+        raise RuntimeError(
+            "no folder that all executors share: set spark.checkpoint.dir or call use_folder()"
+        )
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)

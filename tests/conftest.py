@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+# Python workers import the package too
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
 from cohortweave.session import build_session  # noqa: E402
 

@@ -9,6 +9,8 @@ import __spark_entry__ as entry_module
 from cohortweave.operators import joins
 from cohortweave.operators.cohort import PERSON_COLUMNS
 from cohortweave.plans.build import CohortBuild
+from cohortweave.plans.catalog import all_queries
+from cohortweave.plans.oracle import all_oracles
 from cohortweave.settings import STANDIN_SETTINGS
 from cohortweave.sources.standin import standin_tables
 
@@ -23,8 +25,8 @@ LABEL_COLUMNS = {
     "model_matrix", "train_rows", "test_rows", "labelled_rows",
 }
 ROWS_ONLY = {"tuning_trials", "risk_scores", "feature_importance"}
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+QUERIES = all_queries()
+ORACLE = all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +43,8 @@ def canonical(columns, rows):
 
 
 def test_every_query_has_sql_or_is_a_model_step():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql())
     assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
     assert set(ORACLE) <= set(QUERIES)
 

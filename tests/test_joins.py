@@ -25,16 +25,17 @@ def test_skew_join_equals_plain_join(sides, how, min_rows):
     assert rows_of(salted, *plain.columns) == rows_of(plain)
 
 
-def test_hot_keys_keep_the_heaviest(sides):
-    fact, _ = sides
-    hot = joins.hot_keys(fact, "k", min_rows=2, keep=2).collect()
-    assert [tuple(r) for r in hot] == [(1, 20), (2, 3)]  # 40 and 5 rows, 2 per copy
-    assert [r["k"] for r in joins.hot_keys(fact, "k", min_rows=5).collect()] == [1]
+def test_every_hot_key_is_listed(frame):
+    rows = [(i, i % 12_000) for i in range(48_000)] + [(i, 7) for i in range(100)]
+    hot = joins.hot_keys(frame("id bigint, k bigint", rows), "k", min_rows=2)
+    assert hot.count() == 12_000
+    assert rows_of(hot.filter("k IN (7, 8)")) == [(7, 52), (8, 2)]
 
 
-def test_keys_beyond_the_hot_list_are_joined_too(sides):
+def test_a_hot_list_beyond_the_broadcast_is_joined_by_key(sides, monkeypatch):
     fact, dim = sides
-    hot = joins.hot_keys(fact, "k", min_rows=2, keep=1)
+    monkeypatch.setattr(joins, "BROADCAST_LIMIT_BYTES", 0)
+    hot = joins.hot_keys(fact, "k", min_rows=2)
     joined = joins.skew_join(fact, dim, "k", "left", spread=["id"], hot=hot)
     plain = fact.join(dim, "k", "left")
     assert rows_of(joined, *plain.columns) == rows_of(plain)

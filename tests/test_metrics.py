@@ -27,6 +27,14 @@ def test_split_ignores_partitioning(frame):
     assert one.filter("is_holdout").count() == 14  # floor(7.5) of each class
 
 
+def test_rows_without_label_or_key_are_kept(frame):
+    df = frame("person_id bigint, y int", [(i, i % 2) for i in range(20)] + [(None, 1), (30, None), (None, None)])
+    got = metrics.stratified_split(df, "y", fraction=0.5)
+    assert got.count() == 23
+    assert got.filter("(y IS NULL OR person_id IS NULL) AND is_holdout").count() == 0
+    assert got.filter("is_holdout").count() == 10
+
+
 def test_weights(frame):
     got = metrics.class_weight(frame("y int", [(0,), (1,)]), "y", 6)
     assert rows_of(got) == [(0, 1.0), (1, 6.0)]
@@ -59,7 +67,7 @@ def test_rank_auc_matches_pair_counting(frame, distinct):
     neg = [s for y, s in rows if y == 0]
     wins = sum(2 * (p > n) + (p == n) for p in pos for n in neg)
     df = frame("y int, s double", [*rows, (None, 1.0), (1, None)])
-    got = metrics.rank_auc(df, "y", "s").first()
+    got = metrics.rank_auc(df, "y", "s", rows_per_range=37).first()
     assert got["auc"] == wins / (2 * len(pos) * len(neg))
     assert (got["positives"], got["negatives"]) == (len(pos), len(neg))
 

@@ -122,9 +122,9 @@ def test_all_steps_match_brute_force(release):
         severity.exclude_persons(visits, got_severe), r["index"], SETTINGS
     )
     assert rows_of(severity.visit_severity(qualifying)) == sorted(visit.items())
-    texts = severity.visit_name_list(qualifying)
-    assert rows_of(texts, "person_id", "part", "concat_visit_concept_name") == sorted(
-        (p, 0, ", ".join(sorted(n for n in found if n))) for p, found in names.items()
+    texts = severity.visit_name_text(severity.visit_name_list(qualifying))
+    assert rows_of(texts, "person_id", "concat_visit_concept_name") == sorted(
+        (p, ", ".join(sorted(n for n in found if n))) for p, found in names.items()
     )
     rest = severity.persons_without_label(
         r["index"], got_severe, severity.visit_severity(qualifying)
@@ -167,12 +167,11 @@ def test_usage_and_person_reports(release, frame):
     assert rows_of(severity.codeset_persons(vent)) == sorted(persons.items())
 
 
-def test_long_name_lists_continue_in_parts(frame):
+def test_name_lists_have_a_row_per_name(frame):
     visits = frame(
         "person_id bigint, visit_concept_name string",
-        [(1, "A")] * 5 + [(1, "A B")] * 2 + [(2, None)],
+        [(1, "A")] * 5 + [(1, "A B")] * 2 + [(1, None), (2, None)],
     )
-    got = severity.visit_name_list(visits, names_per_part=2)
-    assert rows_of(got) == [
-        (1, 0, "A, A, A B, A B"), (1, 1, "A, A"), (1, 2, "A"), (2, 0, "")
-    ]
+    got = severity.visit_name_list(visits)
+    assert rows_of(got) == [(1, "A", 5), (1, "A B", 2), (2, None, 1)]
+    assert rows_of(severity.visit_name_text(got)) == [(1, "A, A, A, A, A, A B, A B"), (2, "")]
