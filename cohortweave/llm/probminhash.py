@@ -13,10 +13,11 @@ Documents are sets of five-word shingles, weighted 1 + ln(count).
 3. Stars.  In each band the members are paired with the least one only, compared by
    their registers, and verified by the Jaccard similarity of their shingle sets.
    Verified links give first components.
-4. The rest.  Where a band still holds several components, all pairs of members from
-   different components are compared, in blocks, and likely ones verified.  So the
-   final components are those of all verified candidate pairs, while a large group of
-   near copies, joined by its stars, never pairs its members.
+4. The rest.  Where a band still holds several components, its members are compared in
+   blocks, within the task: likely pairs of different components are verified there, and
+   links that join components are returned, fewer than members.  So the final components are
+   those of all verified candidate pairs, though no step emits the pairs of a group.
+Texts are read again once, for the classes that share a band.
 
 Cases: a text of one to four words is one shingle; a null or blank text is in a class of its own;
 repeated rows and equal ids are members like others; null ids stay and count as the greatest;
@@ -34,8 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.llm.common import bound_batches, digest_key, free_name, pick, words
+from cohortweave.llm.common import SPACE_CLASS, bound_batches, digest_key, free_name, pick
 from cohortweave.llm.components import connected_components
+from cohortweave.operators.joins import fits_broadcast
 from cohortweave.session import materialize
 
 SHINGLE_WORDS = 5
@@ -47,7 +49,9 @@ BANDS = 25
 #: five standard deviations under what a pair of similarity 0.8 shares.
 LEAST_SHARED = 80
 #: Members of one block where all pairs of a band are compared.
-BLOCK_MEMBERS = 2048
+BLOCK_MEMBERS = 512
+#: Measured size up to which the keys of candidates are broadcast.
+BROADCAST_KEYS_BYTES = 32 << 20
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _GROUP_SHINGLES = 1 << 19
@@ -121,7 +125,7 @@ def bands_of(registers: np.ndarray) -> np.ndarray:
 
 def class_key(text: Column) -> Column:
     """The same number for the same words: 120 bits of their md5; null without words."""
-    joined = F.array_join(words(text), " ")
+    joined = F.btrim(F.regexp_replace(text, SPACE_CLASS + "+", " "))
     return F.when(F.length(joined) > 0, digest_key(joined))
 
 
@@ -180,12 +184,17 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(enough("ra", "rb")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose shingle sets have the similarity; texts move only for classes in pairs."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text per wanted key.  The keys are broadcast if their measured size allows, else
+    the texts are shuffled once."""
+    if fits_broadcast(wanted, BROADCAST_KEYS_BYTES):
+        wanted = F.broadcast(wanted)
     keyed = docs.select(class_key(F.col("text")).alias("key"), "text")
-    texts = keyed.join(wanted, "key", "left_semi")
-    texts = materialize(texts.groupBy("key").agg(F.first("text").alias("text")), "candidate-texts")
+    return keyed.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs whose shingle sets have the similarity."""
 
     @F.pandas_udf("boolean")
     def similar(ta: pd.Series, tb: pd.Series) -> pd.Series:
@@ -206,62 +215,64 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(similar("ta", "tb")).select("a", "b")
 
 
-def _star_pairs(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bands of several classes with their least class, and the pairs of that with the others."""
-    shared = (
-        banded.groupBy("band")
-        .agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-    )
-    shared = materialize(shared, "shared-bands")
-    members = banded.join(shared, "band").filter("key <> least")
-    return shared, members.select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-
+def _compare_block(group: pd.DataFrame) -> pd.DataFrame:
+    """Verified links of one group (a band, or two blocks of its members) between components.
 
-def _rest_pairs(banded: DataFrame, shared: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Likely pairs from different components in one band, other than with its least class."""
-    rooted = classes.select("key", "registers").join(
+    A pair is compared in the first band that it shares, and only while the links found
+    here don't join its components already; so a group returns fewer links than it has members.
+    """
+    n = len(group)
+    registers = np.frombuffer(b"".join(group["registers"]), np.uint8).reshape(n, REGISTERS)
+    bands = np.stack(group["bands"].to_numpy())
+    here = int(np.flatnonzero(bands[0] == group["band"].iloc[0])[0])
+    keys, texts, own = group["key"].to_numpy(), group["text"].to_numpy(), group["own"].to_numpy()
+    component = pd.factorize(group["root"])[0]
+    crossing = group["i"].iloc[0] != group["j"].iloc[0]
+    sets: list[np.ndarray | None] = [None] * n
+
+    def distinct(i: int) -> np.ndarray:
+        if sets[i] is None:
+            sets[i] = np.unique(shingles(texts[i]))
+        return sets[i]
+
+    found = []
+    for x in range(n - 1):
+        others = np.arange(x + 1, n)
+        others = others[component[others] != component[x]]
+        if crossing:
+            others = others[own[others] != own[x]]
+        others = others[(registers[others] == registers[x]).sum(axis=1) >= LEAST_SHARED]
+        others = others[~(bands[others, :here] == bands[x, :here]).any(axis=1)]
+        for y in others:
+            if component[y] != component[x] and jaccard(distinct(x), distinct(y)) >= SIMILARITY:
+                found.append((keys[x], keys[y]))
+                component[component == component[y]] = component[x]
+    return pd.DataFrame(found, columns=["a", "b"])
+
+
+def _rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between different components in one band, other than with its least class."""
+    rooted = members.filter("n > 2 AND key <> least").select("band", "key").join(
         roots.select(F.col("node").alias("key"), "root"), "key", "left"
     )
-    rooted = rooted.withColumn("root", F.coalesce("root", "key"))
-    members = banded.join(shared.filter("n > 2"), "band").filter("key <> least").select("band", "key")
-    members = materialize(
-        members.join(rooted.select("key", "root"), "key").select("band", "key", "root"), "band-members"
-    )
+    rooted = materialize(rooted.select("band", "key", F.coalesce("root", "key").alias("root")), "band-roots")
     mixed = (
-        members.groupBy("band")
+        rooted.groupBy("band")
         .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
         .filter("low <> high")
         .select("band", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     )
     mixed = materialize(mixed, "mixed-bands")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # a member meets every block of its band; a pair of blocks is one group
+    # a member meets every block of its band; two blocks are one group
     spread = (
-        members.join(mixed, "band")
-        .select("band", "key", "root", block.alias("own"), "blocks")
-        .select("band", "key", "root", "own", other.alias("other"))
+        rooted.join(mixed, "band")
+        .select("band", "key", "root", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("band", "key", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .join(rooted.select("key", "registers"), "key")
+        .join(classes, "key")
+        .join(texts, "key")
     )
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        registers = np.frombuffer(b"".join(group["registers"]), np.uint8).reshape(-1, REGISTERS)
-        keys, roots_, own = group["key"].to_numpy(), pd.factorize(group["root"])[0], group["own"].to_numpy()
-        crossing = group["i"].iloc[0] != group["j"].iloc[0]
-        found: list[tuple] = []
-        for x in range(len(group)):
-            after = np.arange(x + 1, len(group))
-            after = after[roots_[after] != roots_[x]]
-            if crossing:
-                after = after[own[after] != own[x]]
-            likely = after[(registers[after] == registers[x]).sum(axis=1) >= LEAST_SHARED]
-            found += [(min(keys[x], keys[y]), max(keys[x], keys[y])) for y in likely]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    pairs = spread.groupBy("band", "i", "j").applyInPandas(compare, "a decimal(38,0), b decimal(38,0)")
-    return pairs.distinct()
+    return spread.groupBy("band", "i", "j").applyInPandas(_compare_block, "a decimal(38,0), b decimal(38,0)").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -277,21 +288,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = known.groupBy("key").agg(F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     classes = materialize(classes, "classes")
     banded = classes.select("key", F.explode("bands").alias("band"))
-    shared, stars = _star_pairs(banded)
-    likely = materialize(_likely(stars, classes), "star-pairs")
-    links = materialize(_verified(likely, docs), "star-links")
+    shared = banded.groupBy("band").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialize(banded.join(materialize(shared, "shared-bands"), "band"), "band-members")
+    texts = materialize(_texts(docs, members.select("key").distinct()), "candidate-texts")
+    stars = members.filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    links = materialize(_verified(_likely(stars, classes), texts), "star-links")
     roots = materialize(connected_components(links), "star-components")
-    rest = materialize(_rest_pairs(banded, shared, classes, roots), "rest-pairs")
-    more = materialize(_verified(rest, docs), "rest-links")
+    more = materialize(_rest_links(members, classes, texts, roots), "rest-links")
     if more.isEmpty():
         final = roots
     else:
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))
         final = materialize(connected_components(edges), "components")
-    members = sketched.select("doc_id", "key").join(final.select(F.col("node").alias("key"), "root"), "key", "left")
-    members = materialize(members.select("doc_id", "key", F.coalesce("root", "key").alias("root")), "members")
-    least = materialize(members.groupBy("root").agg(F.min("doc_id").alias("_least")), "class-ids")
-    return members.join(least.filter("root IS NOT NULL"), "root", "left").select(
+    rows = sketched.select("doc_id", "key").join(final.select(F.col("node").alias("key"), "root"), "key", "left")
+    rows = materialize(rows.select("doc_id", "key", F.coalesce("root", "key").alias("root")), "classed-rows")
+    least = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("_least")), "class-ids")
+    return rows.join(least.filter("root IS NOT NULL"), "root", "left").select(
         "doc_id", "key", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("class_id")
     )
 
