@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cohortweave.llm import license_scan
+from cohortweave.llm import secret_scan as ss
 from cohortweave.llm.url_reputation import DOUBLE_SUFFIXES, LOWER, RULES, UPPER
 
 QUALITY_SQL = r"""
@@ -147,8 +148,80 @@ SELECT doc_id, array_to_string(list_sort(list_distinct(names)), ',') AS licenses
 FROM r{len(license_scan.RULES)}
 """
 
+def _class_logs(name: str, label: str) -> str:
+    """Smoothed log chance of each pair in one class of samples."""
+    return f"""
+{name}_n AS (
+  SELECT a.c AS a, b.c AS b, coalesce(n, 0) AS n
+  FROM letters a CROSS JOIN letters b LEFT JOIN pair_counts p ON p.pair = a.c || b.c AND p.is_random = {label}
+), {name}_s AS (
+  SELECT b, sum(n) + 1 AS single, sum(sum(n) + 1) OVER () AS total FROM {name}_n GROUP BY b
+), {name}_w AS (
+  SELECT a, {name}_n.b, n + {ss.SMOOTHING} * (single / total) AS w FROM {name}_n JOIN {name}_s USING (b)
+), {name} AS (
+  SELECT a, b, ln(w / sum(w) OVER (PARTITION BY a)) AS l FROM {name}_w
+)"""
+
+
+def _kind_spans(place: int, pattern: str) -> str:
+    return f"""
+SELECT rid, {place} AS k, list_sum(list_transform(parts[1 : j - 1], lambda p: length(p))) AS s, parts[j] AS m
+FROM (SELECT rid, parts, unnest(range(2, len(parts) + 1, 2)) AS j
+  FROM (SELECT rid, string_split(regexp_replace(plain, {_quoted("(" + pattern + ")")}, chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts
+    FROM t))"""
+
+
+_KINDS = "[" + ", ".join(_quoted(k) for k in ss.KINDS) + "]"
+
+SECRET_SQL = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, replace(coalesce(text, ''), chr(1), chr(2)) AS plain FROM documents
+), sample AS (
+  SELECT rid, text FROM t WHERE text IS NOT NULL AND md5(CAST(doc_id AS VARCHAR)) <= (
+    SELECT max(k) FROM (SELECT md5(CAST(doc_id AS VARCHAR)) AS k FROM t
+      WHERE text IS NOT NULL AND doc_id IS NOT NULL ORDER BY k LIMIT {ss.TRAINING_DOCUMENTS}))
+), samples AS (
+  SELECT true AS is_random, unnest(list_distinct(
+    list_filter(regexp_extract_all(text, {_quoted(ss.ASSIGN)}, 1), lambda v: length(v) >= {ss.ASSIGN_LENGTH})
+    || regexp_extract_all(text, '{ss.ACCESS}') || regexp_extract_all(text, '{ss.HEX}'))) AS sample FROM sample
+  UNION ALL
+  SELECT false, unnest(list_distinct(regexp_extract_all(regexp_replace(
+    regexp_replace(text, {_quoted(ss.ASSIGN)}, ' ', 'g'), '{ss.ACCESS}|{ss.HEX}', ' ', 'g'), '{ss.IDENTIFIER}'))) FROM sample
+), pair_counts AS (
+  SELECT is_random, pair, count(*) AS n
+  FROM (SELECT is_random, substr(sample, unnest(range(1, length(sample))), 2) AS pair FROM samples)
+  GROUP BY is_random, pair
+), letters AS (
+  SELECT substr('{ss.ALPHABET}', i, 1) AS c FROM range(1, {len(ss.ALPHABET) + 1}) r(i)
+),{_class_logs("random", "true")},{_class_logs("ordinary", "false")}, ratios AS (
+  SELECT random.a || random.b AS pair, round(random.l - ordinary.l, 6) AS r
+  FROM random JOIN ordinary ON random.a = ordinary.a AND random.b = ordinary.b
+), raw AS (
+  {" UNION ALL ".join(_kind_spans(i, p) for i, p in enumerate((ss.ASSIGN, ss.ACCESS, ss.HEX, ss.CANDIDATE)))}
+), scores AS (
+  SELECT rid, s, sum(r) AS score
+  FROM (SELECT rid, s, substr(m, unnest(range(1, length(m))), 2) AS pair FROM raw WHERE k = 3) JOIN ratios USING (pair)
+  GROUP BY rid, s
+), spans AS (
+  SELECT rid, k, s, s + length(m) AS e FROM raw LEFT JOIN scores USING (rid, s)
+  WHERE CASE k
+    WHEN 0 THEN length(regexp_extract(m, {_quoted(ss.ASSIGN)}, 1)) >= {ss.ASSIGN_LENGTH}
+    WHEN 3 THEN score >= {ss.LEAST_RATIO} AND score >= {ss.LEAST_PER_PAIR} * (length(m) - 1)
+    ELSE true END
+), listed AS (
+  SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS fixed, string_agg(span, ',' ORDER BY s, k) AS spans
+  FROM (SELECT *, {_KINDS}[k + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM spans)
+  GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(fixed, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN listed USING (rid)
+"""
+
 ORACLES = {
     "op1_url_reputation": URL_SQL,
+    "op2_secret_scan": SECRET_SQL,
     "op3_license_scan": LICENSE_SQL,
     "op5_quality_rules": QUALITY_SQL,
 }
