@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortweave.functions.clinical import pre_or_post
 from cohortweave.operators.eras import CATEGORY, best_mapping, with_category
 from cohortweave.operators.joins import lookup_join, skew_join
-from cohortweave.operators.stacking import stack_rows
+from cohortweave.operators.stacking import stack_rows, stack_splits
 from cohortweave.operators.vocabulary import codeset_members
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 from cohortweave.sources.tables import Split
@@ -122,14 +122,22 @@ def condition_history(
     Holds the first and last start date, whether any era is undated, and the
     comorbidity bits.  A single scan and a single lookup feed it; rows combine
     map-side, so even a person with a third of all eras sends at most one row
-    per category from each task.  Copies of an era change none of the values,
-    so no shuffle by era id is needed.
+    per category from each task.  Copies of an era are settled first, over four
+    narrow columns; ``copies_agree`` in the settings saves that shuffle by era id.
     """
     masks, mask_columns = comorbidity_masks(members, settings)
     best = best_mapping(mapped, settings).drop("icd_length", "icd10cm_clean")
     lookup = best.join(masks, "condition_concept_id", "left")
     narrow = ["person_id", "condition_concept_id", "condition_era_start_date"]
-    eras = stack_rows(condition_era.train.select(*narrow), condition_era.test.select(*narrow))
+    if settings.copies_agree:
+        parts = [part.select(*narrow) for part in (condition_era.train, condition_era.test)]
+        eras = stack_rows(*parts)
+    else:
+        parts = [
+            part.select("condition_era_id", *narrow)
+            for part in (condition_era.train, condition_era.test)
+        ]
+        eras = stack_splits(*parts, key="condition_era_id").select(*narrow)
     day = F.col("condition_era_start_date")
     dated = eras.select(
         "person_id",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortweave.operators.joins import lookup_join, skew_join
-from cohortweave.operators.stacking import stack_rows
+from cohortweave.operators.stacking import stack_rows, stack_splits
 from cohortweave.operators.vocabulary import codeset_members
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 from cohortweave.sources.tables import Split
@@ -121,7 +121,8 @@ def drug_sums(
 ) -> DataFrame:
     """Sums per person of every medication flag and the two vaccine columns.
 
-    One scan.  Few eras carry a flag: those are made unique by era id, while
+    One scan.  Copies of an era are settled first, over four narrow columns, unless
+    the settings say that they agree.  Few eras carry a flag: those are made unique by era id, while
     all other eras of a person merge map-side into one row that only says the
     person is there.  Sums per person and vaccination day come next, so one
     person's rows are bounded by the calendar before they meet the index date.
@@ -130,7 +131,11 @@ def drug_sums(
     flags = list(settings.drug_codesets.values())
     meds = [n for n in flags if n != settings.vaccine_flag]
     narrow = ["drug_era_id", "person_id", "drug_concept_id", "drug_era_start_date"]
-    eras = stack_rows(drug_era.train.select(*narrow), drug_era.test.select(*narrow))
+    parts = [part.select(*narrow) for part in (drug_era.train, drug_era.test)]
+    if settings.copies_agree:
+        eras = stack_rows(*parts)
+    else:
+        eras = stack_splits(*parts, key="drug_era_id")
     flagged = lookup_join(
         eras,
         flag_table(members, settings.drug_codesets),

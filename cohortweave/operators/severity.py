@@ -13,7 +13,7 @@ from cohortweave.operators.joins import (
     lookup_join,
     skew_join,
 )
-from cohortweave.operators.stacking import stack_rows, stack_splits
+from cohortweave.operators.stacking import stack_rows, stacked_hits
 from cohortweave.operators.vocabulary import codeset_concepts
 from cohortweave.session import materialize
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
@@ -88,23 +88,24 @@ def codeset_events(
 ) -> DataFrame:
     """Events of several tables in one codeset since the look-back start.
 
-    The codeset filter runs first, on the raw scans, because it keeps little;
-    only the remaining rows are made unique by id and joined to persons.
+    The codeset filter runs on the raw scans, because it keeps little; only
+    records with a hit are made unique by id and joined to persons.
     """
     fits = fits_broadcast(codeset_concepts(members, [codeset], "concept_id"), limit_bytes)
+
+    def in_codeset(rows: DataFrame) -> DataFrame:
+        return events_in_codesets(rows, members, [codeset], fits=fits, limit_bytes=limit_bytes)
+
     events = None
     for columns, split in tables:
-        hits = [
-            events_in_codesets(
-                common_columns(part, columns),
-                members,
-                [codeset],
-                fits=fits,
-                limit_bytes=limit_bytes,
-            )
-            for part in (split.train, split.test)
-        ]
-        unique = stack_splits(*hits, key="event_id")
+        unique = stacked_hits(
+            common_columns(split.train, columns),
+            common_columns(split.test, columns),
+            "event_id",
+            in_codeset,
+            copies_agree=settings.copies_agree,
+            limit_bytes=limit_bytes,
+        )
         events = unique if events is None else events.unionByName(unique)
     # few rows are left: written once, so that counting hot persons scans no event table
     return events_since_index(materialize(events, "codeset-events"), index, settings)
@@ -147,9 +148,9 @@ def severe_persons(
     """Persons with ventilation or ECMO since the look-back start.
 
     Only the latest matching date of a person decides, so events shrink to one
-    row per person before they move, however many rows one person has.  Copies
-    of an event cannot change a maximum, hence no shuffle by event id either.
-    Each event table is scanned once for all codesets that apply to it.
+    row per person, however many rows one person has.  Each event table is
+    filtered once for all codesets that apply to it, and copies are settled among
+    the records with a hit.
     """
     wanted: dict[EventColumns, tuple[Split, list[int]]] = {}
     for tables, codeset in (
@@ -162,9 +163,15 @@ def severe_persons(
     fits = fits_broadcast(codeset_concepts(members, every, "concept_id"), limit_bytes)
     hits = None
     for columns, (split, codesets) in wanted.items():
-        rows = common_columns(stack_rows(split.train, split.test), columns)
-        part = events_in_codesets(
-            rows, members, codesets, fits=fits, limit_bytes=limit_bytes
+        part = stacked_hits(
+            common_columns(split.train, columns),
+            common_columns(split.test, columns),
+            "event_id",
+            lambda rows, wanted=codesets: events_in_codesets(
+                rows, members, wanted, fits=fits, limit_bytes=limit_bytes
+            ),
+            copies_agree=settings.copies_agree,
+            limit_bytes=limit_bytes,
         ).select("person_id", "event_date")
         hits = part if hits is None else hits.unionByName(part)
     latest = hits.groupBy("person_id").agg(F.max("event_date").alias("_latest"))
@@ -282,8 +289,16 @@ def inpatient_persons(
     answers the question exactly and bounds the rows of one person by the
     number of calendar days, before anything is shuffled.
     """
-    names = stack_rows(visit.train, visit.test).filter(
-        F.col("visit_concept_name").contains("Inpatient")
+    needed = [
+        "visit_occurrence_id", "person_id", "visit_start_date", "visit_end_date",
+        "macrovisit_start_date", "macrovisit_end_date", "visit_concept_name",
+    ]
+    names = stacked_hits(
+        visit.train.select(*needed),
+        visit.test.select(*needed),
+        "visit_occurrence_id",
+        lambda rows: rows.filter(is_inpatient(F.col("visit_concept_name"))),
+        copies_agree=settings.copies_agree,
     )
     ever = F.to_date(F.lit("0001-01-01"))
 

@@ -82,10 +82,23 @@ def use_folder(spark: SparkSession, folder: str) -> None:
 
 
 def drop_materialized(spark: SparkSession) -> None:
-    """Delete what this application's ``materialize`` wrote; call it when all results are stored."""
-    for name in _written.pop(spark.sparkContext.applicationId, []):
+    """Delete what this application's ``materialize`` wrote; call it when all results are stored.
+
+    The folder of ``use_folder`` is forgotten, and removed if nothing else lies there.
+    """
+    application = spark.sparkContext.applicationId
+
+    def files(name: str):
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    for name in _written.pop(application, []):
+        path, system = files(name)
+        system.delete(path, True)
+    if application in _folders:
+        path, system = files(_folders.pop(application))
+        if system.exists(path) and not len(system.listStatus(path)):
+            system.delete(path, False)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> bool:

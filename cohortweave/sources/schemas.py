@@ -68,6 +68,13 @@ OUTCOME_TRAIN = schema_of(
 OUTCOME_TEST = schema_of("person_id bigint, covid_index date")
 
 
+#: Columns that a file may lack, and then are null: the flag is newer than some releases, the
+#: blinded part has no outcome.  Any other absent column fails the read.
+OPTIONAL = {
+    "is_age_90_or_older", "pasc_code_after_four_weeks", "pasc_code_prior_four_weeks",
+}
+
+
 @dataclass(frozen=True)
 class EventColumns:
     """Where an event table keeps its id, concept and date."""

@@ -33,12 +33,20 @@ STANDIN_CODESETS = [
 # --- end of fixed values ---
 
 
-def halves(df: DataFrame) -> Split:
-    """Two overlapping parts by person; the overlap holds identical copies."""
+def halves(df: DataFrame, **changed: Column) -> Split:
+    """Two overlapping parts by person.
+
+    The records of every other held-out person are in both parts; the held-out
+    copy of those has the ``changed`` values, which must never count.
+    """
     person = F.col("person_id")
-    return Split(
-        train=df.filter((person % 5 != 0) | (person % 10 == 0)), test=df.filter(person % 5 == 0)
+    test = df.filter(person % 5 == 0).select(
+        *[
+            F.when(person % 10 == 0, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else c
+            for c in df.columns
+        ]
     )
+    return Split(train=df.filter((person % 5 != 0) | (person % 10 == 0)), test=test)
 
 
 def _person(customer: DataFrame) -> DataFrame:
@@ -199,7 +207,12 @@ def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
                 "person_id",
                 F.col("concept_id").alias(f"{prefix}_concept_id"),
                 F.col("event_date").alias(date_col),
-            )
+            ),
+            person_id=F.col("person_id") + F.col(id_col) % 3,
+            **{
+                f"{prefix}_concept_id": F.col(f"{prefix}_concept_id") + 1,
+                date_col: F.date_sub(F.col(date_col), 300),
+            },
         )
 
     return Tables(
@@ -219,7 +232,15 @@ def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
         condition=events(
             "kind = 2", "condition", "condition_occurrence_id", "condition_start_date"
         ),
-        visit=lambda: halves(_visits(given("orders"))),
-        person=lambda: halves(_person(given("customer"))),
+        visit=lambda: halves(
+            _visits(given("orders")),
+            visit_start_date=F.date_add("visit_start_date", 200),
+            visit_concept_name=F.lit("Inpatient Visit"),
+        ),
+        person=lambda: halves(
+            _person(given("customer")),
+            year_of_birth=F.lit(1900),
+            race_concept_name=F.lit("Asian"),
+        ),
         outcome=lambda: _outcome(given("customer")),
     )

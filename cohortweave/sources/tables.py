@@ -41,27 +41,39 @@ class Tables:
         return table
 
 
+def file_columns(spark: SparkSession, path: str, fmt: str = "parquet") -> list[str]:
+    """Names of the columns that a table's files hold."""
+    if fmt == "parquet":
+        return spark.read.parquet(path).columns
+    if fmt != "csv":
+        raise ValueError(f"unsupported format: {fmt}")
+    return spark.read.option("header", True).csv(path).columns
+
+
 def read_table(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet"
 ) -> DataFrame:
     """Read the declared columns of a table with their declared types.
 
-    CSV files carry a header and may hold further columns in any order.  The
-    header names decide which column is which; undeclared columns are read as
-    text and pruned.  A value that does not fit its type fails the read
-    instead of turning into null.  Declared columns that the file lacks are
-    null.
+    Files may hold further columns in any order; the header names of a CSV file
+    decide which column is which, and undeclared columns are read as text and
+    pruned.  A value that does not fit its type, a CSV file whose header differs
+    from the others of its folder and a declared column that is absent all
+    fail the read.  Only the columns in ``schemas.OPTIONAL`` may be absent; they
+    are null.
     """
+    found = file_columns(spark, path, fmt)
+    absent = [f.name for f in schema.fields if f.name not in found and f.name not in S.OPTIONAL]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
-    if fmt != "csv":
-        raise ValueError(f"unsupported format: {fmt}")
-    found = spark.read.option("header", True).csv(path).columns
     declared = {f.name: f.dataType for f in schema.fields}
     file_schema = T.StructType([T.StructField(c, declared.get(c, T.StringType())) for c in found])
     rows = (
         spark.read.schema(file_schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(path)
     )
@@ -118,7 +130,7 @@ def load_release(
     """Load a release folder: shared tables in ``root``, parts below it.
 
     The parts are ``root/training`` and ``root/testing``.  Persons and visits
-    get the concept names that later steps read.  Eras, procedures,
+    get the concept names that later steps read, unless the files hold them.  Eras, procedures,
     observations and conditions get theirs only with ``event_names``: no step
     needs them on every row, and reports look them up on their results.
     """
@@ -137,8 +149,16 @@ def load_release(
         names = {f"{column}_id": f"{column}_name" for column in named if wanted}
 
         def part(folder: str, columns: T.StructType) -> DataFrame:
-            rows = read_table(spark, f"{root}/{folder}/{name}{ending}", columns, fmt)
-            return add_concept_names(rows, tables.concept, names)
+            path = f"{root}/{folder}/{name}{ending}"
+            ready = {i: n for i, n in names.items() if n in file_columns(spark, path, fmt)}
+            # a ready name takes the place of its id and is not looked up
+            fields = [
+                T.StructField(ready[f.name], T.StringType()) if f.name in ready else f
+                for f in columns.fields
+            ]
+            rows = read_table(spark, path, T.StructType(fields), fmt)
+            looked_up = {i: n for i, n in names.items() if i not in ready}
+            return add_concept_names(rows, tables.concept, looked_up)
 
         return lambda: Split(part("training", schema), part("testing", test_schema or schema))
 
@@ -166,10 +186,21 @@ def load_release(
     return tables
 
 
-def stored_or(spark: SparkSession, path: str | None, build) -> DataFrame:
-    """A stored table if ``path`` is given and present, else ``build()``."""
+def stored_or(
+    spark: SparkSession,
+    path: str | None,
+    build: Callable[[], DataFrame],
+    fmt: str = "parquet",
+    schema: T.StructType | None = None,
+) -> DataFrame:
+    """A stored table if ``path`` is given and present, else ``build()``.
+
+    CSV needs the ``schema`` that the table was written with.
+    """
     if path is not None:
         try:
+            if fmt == "csv":
+                return read_table(spark, path, schema, fmt)
             return spark.read.parquet(path)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":

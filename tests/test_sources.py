@@ -115,7 +115,7 @@ def test_csv_columns_follow_the_header(spark, release):
     ]
 
 
-def test_absent_declared_column_is_null(spark, release):
+def test_absent_optional_column_is_null(spark, release):
     persons = read_table(spark, f"{release}/training/person.csv", schemas.PERSON, "csv")
     assert rows_of(persons, "person_id", "is_age_90_or_older", "year_of_birth") == [
         (1, None, 1960), (2, None, None)
@@ -125,6 +125,41 @@ def test_absent_declared_column_is_null(spark, release):
     assert rows_of(aged, "age_at_covid") == [(None,), (70.0,)]
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_absent_required_column_fails(spark, tmp_path, fmt):
+    path = str(tmp_path / "person")
+    write_table(spark.range(3).selectExpr("id AS person_id", "2000 AS year_of_birth"), path, fmt)
+    with pytest.raises(ValueError, match="month_of_birth, race_concept_id"):
+        read_table(spark, path, schemas.PERSON, fmt)
+
+
+def test_files_of_differing_headers_fail(spark, tmp_path):
+    (tmp_path / "links").mkdir()
+    (tmp_path / "links" / "a.csv").write_text("concept_id_1,concept_id_2,relationship_id\n1,2,Maps to\n")
+    (tmp_path / "links" / "b.csv").write_text("concept_id_2,concept_id_1,relationship_id\n9,8,Maps to\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, str(tmp_path / "links"), schemas.CONCEPT_RELATIONSHIP, "csv").collect()
+
+
+def test_ready_names_are_read(spark, release):
+    with open(f"{release}/training/person.csv", "w") as file:
+        file.write(
+            "person_id,year_of_birth,month_of_birth,race_concept_name,ethnicity_concept_id,"
+            "gender_concept_name\n1,1960,5,Black,402,MALE\n"
+        )
+    with open(f"{release}/training/microvisits_to_macrovisits.csv", "w") as file:
+        file.write(
+            "visit_occurrence_id,person_id,visit_concept_name,visit_start_date,visit_end_date,"
+            "macrovisit_start_date,macrovisit_end_date\n1,2,Inpatient Hospital,2021-03-02,2021-03-03,,\n"
+        )
+    tables = load_release(spark, release)
+    assert rows_of(
+        tables.person.train, "race_concept_name", "ethnicity_concept_name", "gender_concept_name"
+    ) == [("Black", "Not Hispanic or Latino", "MALE")]
+    assert rows_of(tables.visit.train, "visit_concept_name") == [("Inpatient Hospital",)]
+    assert rows_of(tables.person.test, "race_concept_name") == [("White",)]
+
+
 def test_malformed_value_fails(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("person_id,covid_index\nabc,2021-01-01\n")
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
