@@ -34,6 +34,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return by_place.select(*[F.col(f"_c{i}").alias(name) for i, name in zip(places, names)])
 
 
+def settled(**columns: Column) -> Column:
+    """A generator of one row with the named columns, for ``select``.
+
+    Filters on generated columns stay above the generator.  Without it, Spark moves a filter below
+    the projections and puts their expressions in place of their names, and what is
+    costly is computed again for every use, even for every element of an array.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores appended until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

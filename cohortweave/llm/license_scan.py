@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.llm.common import pick
+from cohortweave.llm.common import pick, settled
 
 #: Words of which every known sentence contains one.
 ANCHORS = (
@@ -189,7 +189,7 @@ def scan(docs: DataFrame) -> DataFrame:
         ),
         none,
     )
-    found = read.select("doc_id", sentences.alias("sentences"))
+    found = read.select("doc_id", settled(sentences=sentences))
     rules = F.array(
         *[F.struct(F.lit(r.license).alias("name"), F.lit(rule_pattern(r)).alias("pattern")) for r in RULES]
     )

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.llm.common import SPACE_CHARS, pick, words
+from cohortweave.llm.common import SPACE_CHARS, pick, settled, words
 
 SYMBOL_GAPS = "[^#*$%&|<>]+"
 
@@ -113,13 +113,15 @@ def measure(docs: DataFrame, text: str) -> DataFrame:
     )
     return ordered.select(
         *kept,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_text", SYMBOL_GAPS, "")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(_repeated_positions(F.col("_ordered")), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.length(F.regexp_replace("_text", "[^\\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        settled(
+            n_words=F.size("_words").cast("long"),
+            word_chars=F.length(F.array_join("_words", "")).cast("long"),
+            n_symbols=F.length(F.regexp_replace("_text", SYMBOL_GAPS, "")).cast("long"),
+            n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            n_repeat_words=F.coalesce(_repeated_positions(F.col("_ordered")), F.lit(0)).cast("long"),
+            n_lines=F.size("_lines").cast("long"),
+            n_upper=F.length(F.regexp_replace("_text", "[^\\p{Lu}]+", "")).cast("long"),
+        ),
     )
 
 

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortweave.llm.common import pick
+from cohortweave.llm.common import pick, settled
 
 #: The forms that are always secrets, and the least length of their value.
 ASSIGN = (
@@ -234,18 +234,13 @@ def find_spans(docs: DataFrame, model: PairModel, text: str = "text", to: str =
         score = ratio(s["match"], constant)
         return (score >= LEAST_RATIO) & (score >= LEAST_PER_PAIR * (F.length(s["match"]) - 1))
 
-    value_length = F.length
-    return lengths.select(
-        *kept,
-        F.array_sort(
-            F.concat(
-                spans("assign", lambda s: value_length(F.regexp_extract(s["match"], ASSIGN, 1)) >= ASSIGN_LENGTH),
-                spans("access", lambda s: F.lit(True)),
-                spans("hex", lambda s: F.lit(True)),
-                spans("model", random_looking),
-            )
-        ).alias(to),
+    found = F.concat(
+        spans("assign", lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 1)) >= ASSIGN_LENGTH),
+        spans("access", lambda s: F.lit(True)),
+        spans("hex", lambda s: F.lit(True)),
+        spans("model", random_looking),
     )
+    return lengths.select(*kept, settled(**{to: F.array_sort(found)}))
 
 
 def span_text(spans: Column, kinds: Sequence[str] = KINDS) -> Column:
