@@ -33,13 +33,13 @@ from cohortweave.llm.components import connected_components
 from cohortweave.session import materialize
 
 COSINE = 0.93
-DIRECTIONS = 40
+DIRECTIONS = 28
 #: Recall of the count for a pair exactly at the threshold; nearer pairs have more.
 RECALL = 0.9999
 TILE = 2048
 SEED = 20240229
 
-_CELLS = 1 << 21
+_CELLS = 1 << 18
 
 
 def window(cosine: float = COSINE) -> float:
