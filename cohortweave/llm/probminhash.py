@@ -1,11 +1,13 @@
 """Near-duplicate documents by ProbMinHash, banding and exact verification.
 
-Documents are sets of five-word shingles, weighted 1 + ln(count).
+Documents are sets of five-word shingles.  Every distinct shingle weighs the same, however often
+a text repeats it: so candidates follow the similarity by which links are verified.
 
 1. Sketch.  Each shingle is a Poisson process whose rate is its weight; each arrival
    falls on one of ``REGISTERS`` registers, and a register remembers the shingle that
    reaches it first.  Two documents agree in a register with the probability
-   Jaccard of their weights.  A process ends at the first arrival later than every register
+   Jaccard of their weights, which for equal weights is the Jaccard similarity of
+   their sets.  A process ends at the first arrival later than every register
    of its document, so long documents cost little more than one arrival per shingle.
    Equal texts have one class key and from here on are one class.
 2. Bands.  Runs of registers are hashed; classes that share a band are candidates
@@ -138,8 +140,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             start, size = 0, 0
             sets: list[tuple[np.ndarray, np.ndarray]] = []
             for text in batch["text"]:
-                distinct, counts = np.unique(shingles(text), return_counts=True)
-                sets.append((distinct, 1 + np.log(counts)))
+                distinct = np.unique(shingles(text))
+                sets.append((distinct, np.ones(len(distinct))))
                 size += len(distinct)
                 if size > _GROUP_SHINGLES:
                     yield batch.iloc[start : start + len(sets)], sets

@@ -62,6 +62,28 @@ def test_classes_match_brute_force(frame):
     assert sorted(repr((r.doc_id, r.class_id)) for r in found) == brute_classes(rows)
 
 
+def repeated_passages():
+    """Pairs with nearly the same shingles, of which one text repeats a passage or lines many times."""
+    random.seed(9)
+    words = [f"w{i}" for i in range(100_000)]
+    rows = []
+    for share, times, new in [(2, 100, 0), (3, 20, 24), (3, 5, 48), (2, 3, 48)] * 5:
+        base = random.choices(words, k=500)
+        passage, lines = base[: len(base) // share], [" ".join(base[i : i + 25]) for i in range(0, 250, 25)]
+        longer = " ".join(base + random.choices(words, k=new))
+        text = " ".join([longer, *passage * times]) if len(rows) % 4 else "\n".join([longer, *lines * times])
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, text)]
+    return rows
+
+
+def test_repetition_loses_no_pair(frame):
+    rows = repeated_passages()
+    found = pm.near_duplicates(frame("doc_id long, text string", rows)).collect()
+    wanted = brute_classes(rows)
+    assert sum(repr((i, i)) in wanted for i, _ in rows) == len(rows) // 2  # each pair is a class
+    assert sorted(repr((r.doc_id, r.class_id)) for r in found) == wanted
+
+
 def test_classes_of_documents(spark):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
