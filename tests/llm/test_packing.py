@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from cohortweave.llm import packing
+from cohortweave.llm import chunks, packing
 from cohortweave.llm.common import read_table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,6 +73,22 @@ def test_plan_size_does_not_follow_the_counts():
     assert used <= 1.02 * sum(k * n for k, n in counts.items()) / 1024
 
 
+def test_added_tokens_get_the_ids_of_the_library(monkeypatch):
+    loaded = Tokenizer.from_file(PATH)
+    with open(PATH, encoding="utf-8") as file:
+        encoder = packing._encoder(file.read())
+    token = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", token, token * 3, f" {token} ", f"a{token}b\n{token}\n", f"x  {token}  y", "<|endoftext|", ""]
+    random.seed(4)
+    texts.append("".join(random.choices([token, " ", "  ", "word", " and", "\n", "<|", "7"], k=3000)))
+    for size in (1 << 20, 1, 7):  # blocks end beside added tokens too
+        monkeypatch.setattr(chunks, "_BLOCK", size)
+        for text in texts:
+            ids = np.frombuffer(packing.encode(encoder, text), "<u4").tolist()
+            assert ids == loaded.encode(text, add_special_tokens=False).ids
+    assert loaded.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_documents_are_packed_whole(spark, frame, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "RANK_BUCKET_ROWS", 50)  # several rank buckets
     docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
