@@ -2,6 +2,9 @@
 
 1. Sentences are normalised (lower case, words and numbers only) and mapped to identifiers
    of known licence sentences; all others drop out.
+   A sentence surely ends with ``.!?`` and a space.  It may end at a line's end or ``;``, or go
+   on: of all readings the longest known sentence counts, from left to right.  So titles, copyright
+   lines, list marks and lines ending in ``:`` stick to no sentence, however a text is wrapped.
 2. The remaining sequence of identifiers is matched against licence rules in order.  A rule is
    a sequence of identifiers that must follow each other, others may stand between.  A rule
    that matches uses its sentences up, so a longer licence listed first isn't
@@ -126,12 +129,25 @@ RULES = (
     LicenseRule("Unlicense", ("unlicense",)),
 )
 
-ANCHOR = "(?i)" + "|".join(ANCHORS)
+ANCHOR = "(?i)" + "|".join(ANCHORS).replace(" ", "[^a-z0-9]+")
 SENTENCE_END = r"([.!?;])\s+"
 NOT_WORD = "[^a-z0-9.+]+"
 OUTER_DOTS = "(^[. ]+|[. ]+$)"
 
 
+#: What is replaced in turn in a text in lower case.  It holds no capitals, so ``E`` can stand for the end of a
+#: sentence and ``L`` for a place where one may end.  No pattern begins within a run that it could have begun before.
+MARKS = (
+    (r"[.!?]\s+", "E"),
+    (r"\n|;\s", "L"),
+    (r"(^|[EL])[^a-z0-9.+EL]*(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})\)", "$1"),
+    (r"[^a-z0-9.+EL]+", " "),
+    (r"(?<![. EL])[. L]*E[. EL]*", "E"),
+    (r"(?<![. L])[. ]*L[. L]*", "L"),
+    (r"^[. EL]+|(?<![. EL])[. EL]+$", ""),
+)
+
+
 def normal(sentence: str) -> str:
     """A sentence in its normal form, as the columns below make it."""
     return re.sub(OUTER_DOTS, "", re.sub(NOT_WORD, " ", sentence.lower()))
@@ -154,42 +170,28 @@ def rule_pattern(rule: LicenseRule) -> str:
     return "(?:<[^>]*>)*?".join(f"<{s}>" for s in rule.sentences)
 
 
-def _sentence_ids(text: Column, line_end: str) -> Column:
-    """Identifiers of the known sentences of a text, whose lines end sentences or don't."""
-    lines = F.regexp_replace(F.regexp_replace(text, r"\s*\n\s*", line_end), SENTENCE_END, "$1\n")
-    sentences = F.transform(
-        F.split(lines, "\n"),
-        lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), NOT_WORD, " "), OUTER_DOTS, ""),
-    )
+def sentence_pattern() -> str:
+    """Pattern of the known sentences in a marked text, longer ones first."""
+    longest = sorted((s for s, _ in known_sentences()), key=lambda s: (-len(s), s))
+    return "(?<![^EL])(?:" + "|".join(re.escape(s).replace(r"\ ", "[ L]") for s in longest) + ")(?![^EL])"
+
+
+def _sentence_ids(text: Column) -> Column:
+    """Identifiers of the known sentences of a text, in their order."""
+    marked = F.lower(text)
+    for pattern, mark in MARKS:
+        marked = F.regexp_replace(marked, pattern, mark)
     known = F.create_map(*[F.lit(x) for pair in known_sentences() for x in pair])
-    return F.filter(F.transform(sentences, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    sentences = F.regexp_extract_all(marked, F.lit(sentence_pattern()), F.lit(0))
+    return F.transform(sentences, lambda s: F.element_at(known, F.translate(s, "L", " ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, ``sentences`` (identifiers in order) and ``licenses`` of all documents (doc_id, text).
-
-    A sentence may end with its line or go on in the next: both readings are made, and
-    the one with more known sentences counts (the first at equality).
-    """
+    """doc_id, ``sentences`` (identifiers in order) and ``licenses`` of all documents (doc_id, text)."""
     rows = pick(docs, "doc_id", "text")
-    read = rows.select(
-        "doc_id",
-        F.when(
-            F.col("text").rlike(ANCHOR),
-            F.struct(
-                _sentence_ids(F.col("text"), "\n").alias("by_line"),
-                _sentence_ids(F.col("text"), " ").alias("across"),
-            ),
-        ).alias("_ids"),
-    )
     none = F.array().cast("array<string>")
-    sentences = F.coalesce(
-        F.when(F.size("_ids.by_line") >= F.size("_ids.across"), F.col("_ids.by_line")).otherwise(
-            F.col("_ids.across")
-        ),
-        none,
-    )
-    found = read.select("doc_id", settled(sentences=sentences))
+    sentences = F.coalesce(F.when(F.col("text").rlike(ANCHOR), _sentence_ids(F.col("text"))), none)
+    found = rows.select("doc_id", settled(sentences=sentences))
     rules = F.array(
         *[F.struct(F.lit(r.license).alias("name"), F.lit(rule_pattern(r)).alias("pattern")) for r in RULES]
     )
