@@ -4,7 +4,8 @@ Numbers and dates that pass their validation, and local parts of mail addresses,
 replaced by a keyed permutation of their own format: a Feistel network over the
 values of that format.  Separators, length, letter case and check digits stay valid, and equal
 values get equal pseudonyms in all documents, so records stay linked while the
-values are gone without the key.
+values are gone without the key.  Where a match fails its validation, its shorter ends at
+a border of groups are tried, then the search goes on from inside it.
 
 A text is read in its task; there is no shuffle and no shared table.  The scan is
 linear in the text.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import hmac
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 import pandas as pd
@@ -162,6 +163,8 @@ def _phone(f: Feistel, found: str) -> str | None:
 
 def _card(f: Feistel, found: str) -> str | None:
     digits = _digits(found)
+    if len(digits) < 13:
+        return None
     if luhn_digit(digits[:-1]) != digits[-1]:
         return None
     fresh = f.characters(digits[:-1], "card")
@@ -204,6 +207,27 @@ _RULES: dict[str, Callable[[Feistel, str], str | None]] = {
 }
 
 
+#: Kinds whose matches may run on into the groups that follow a value.
+_OPEN_ENDED = ("iban", "phone", "card")
+
+
+def _valid(kind: str, text: str, feistel: Feistel) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the valid values of a kind, from left to right."""
+    at = 0
+    while match := _COMPILED[kind].search(text, at):
+        start, stop = match.span()
+        at = start + 1
+        ends = [stop]
+        if kind in _OPEN_ENDED:
+            ends += [e for e in range(stop - 1, start, -1) if text[e] in " -" and text[e - 1].isalnum()]
+        for end in ends:
+            fresh = _RULES[kind](feistel, text[start:end])
+            if fresh is not None:
+                yield start, end, fresh
+                at = end
+                break
+
+
 def pseudonymised(text: str | None, feistel: Feistel) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of what they replaced in the given text."""
     if not text or not ("@" in text or re.search("[0-9]", text)):
@@ -212,10 +236,7 @@ def pseudonymised(text: str | None, feistel: Feistel) -> tuple[str | None, list[
     for kind in KINDS:
         if kind == "email" and "@" not in text:
             continue
-        for match in _COMPILED[kind].finditer(text):
-            fresh = _RULES[kind](feistel, match.group())
-            if fresh is not None:
-                found.append((match.start(), match.end(), kind, fresh))
+        found += [(start, stop, kind, fresh) for start, stop, fresh in _valid(kind, text, feistel)]
     # where findings overlap, the one that begins first counts, then the one of the earlier kind
     found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     out, spans, end = [], [], 0

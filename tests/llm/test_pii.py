@@ -63,6 +63,28 @@ def test_neighbours_are_told_apart():
     assert "555-4081" not in out and "190.137.223.204" not in out
 
 
+@pytest.mark.parametrize(
+    "text, value, kind",
+    [
+        ("card 4111111111111111 12/25", "4111111111111111", "card"),
+        ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"),
+        ("4111-1111-1111-1111-123 ok", "4111-1111-1111-1111", "card"),
+        ("order 12 4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"),
+        ("no 7 4111111111111111 12 25", "4111111111111111", "card"),
+        ("DE89370400440532013000 BIC", "DE89370400440532013000", "iban"),
+        ("DE89 3704 0044 0532 0130 00 12 EUR", "DE89 3704 0044 0532 0130 00", "iban"),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00", "iban"),
+        ("AB12 DE89370400440532013000 EUR", "DE89370400440532013000", "iban"),
+        ("+49 30 1234567890 2024", "+49 30 1234567890", "phone"),
+    ],
+)
+def test_values_are_found_within_longer_matches(text, value, kind):
+    out, spans = swap(text)
+    at = text.index(value)
+    assert spans == [(kind, at, at + len(value))]
+    assert value not in out and out[:at] == text[:at] and out.endswith(text[at + len(value) :])
+
+
 def test_long_runs_are_linear():
     assert swap("a1" * 200_000)[1] == []
     assert swap("1 " * 100_000 + "x@y.zz")[1][-1][0] == "email"
