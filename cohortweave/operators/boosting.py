@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave.operators.cohort import OUTCOME, labelled_rows
@@ -21,7 +25,7 @@ from cohortweave.operators.metrics import (
     confusion,
     stratified_split,
 )
-from cohortweave.session import ensure_checkpoint_dir, materialize
+from cohortweave.session import ensure_checkpoint_dir, materialize, shared_folder
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 
 # --- Fixed values: the search space (inclusive ranges and choices) ---
@@ -36,6 +40,14 @@ N_TREES = 180
 MODEL_SEED = 0
 DEEPEST = 30  # levels that Spark can number the nodes of
 # --- end of fixed values ---
+#: Trials fitted at a time; each is many small jobs that leave most cores idle.
+TRIALS_AT_ONCE = 4
+TRIAL_SCHEMA = (
+    "trial int, max_depth int, gamma double, reg_alpha int, reg_lambda double, "
+    "colsample_bytree double, min_child_weight int, scale_pos_weight int, "
+    "n_estimators int, seed int, accuracy double, f1 double, precision double, "
+    "recall double, auc_hard double, trees int, loss double"
+)
 
 
 @dataclass(frozen=True)
@@ -146,16 +158,31 @@ def evaluate(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     return binary_metrics(confusion(model.transform(rows), "label", "prediction"))
 
 
+def _stored_trial(spark: SparkSession, path: str, params: TreeParams) -> dict | None:
+    """The finished trial in a folder, if it is one of these parameters."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return None
+    row = spark.read.schema(TRIAL_SCHEMA).parquet(path).first().asDict()
+    return row if asdict(params).items() <= row.items() else None
+
+
 def tune(
     matrix: DataFrame,
     grid: Sequence[TreeParams],
     settings: CohortSettings = DEFAULT_SETTINGS,
+    store: str | None = None,
 ) -> DataFrame:
     """One row per trial, best first (``rank`` 1): parameters and metrics.
 
     Every trial is a distributed fit on the same stored split.  The loss is
     one minus the AUC of the hard predictions on the hold-out.
+
+    ``TRIALS_AT_ONCE`` trials run side by side, and each is written below ``store`` as it
+    finishes.  Trials that an earlier search of the same matrix left there are not fitted again;
+    without ``store`` they go to a new folder beside what ``materialize`` writes.
     """
+    spark = matrix.sparkSession
     labelled = labelled_rows(matrix)
     split = stratified_split(
         labelled, OUTCOME, "person_id", settings.holdout_fraction, settings.split_seed
@@ -163,24 +190,26 @@ def tune(
     rows = materialize(with_features(split, feature_columns(matrix)), "tuning-rows")
     n_train = rows.filter(~F.col("is_holdout")).count()
     held_out = rows.filter("is_holdout")
-    results = []
-    for number, params in enumerate(grid):
+    folder = (store or f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}").rstrip("/")
+
+    def run(number: int, params: TreeParams) -> dict:
+        path = f"{folder}/trial-{number}"
+        known = _stored_trial(spark, path, params)
+        if known is not None:
+            return known
         model = fit_boosted_trees(rows, params, n_rows=n_train, holdout="is_holdout")
         metrics = evaluate(model, held_out).first().asDict()
         loss = 1.0 - (metrics["auc_hard"] if metrics["auc_hard"] is not None else 0.0)
-        results.append(
-            {"trial": number, **asdict(params), **metrics, "trees": model.getNumTrees,
-             "loss": loss}
-        )
+        row = {"trial": number, **asdict(params), **metrics, "trees": model.getNumTrees, "loss": loss}
+        spark.createDataFrame([row], TRIAL_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+        return row
+
+    with ThreadPool(max(1, min(TRIALS_AT_ONCE, len(grid)))) as pool:
+        kept = inheritable_thread_target(spark)
+        results = list(pool.imap_unordered(lambda trial: kept(run)(*trial), enumerate(grid)))
     results.sort(key=lambda r: (r["loss"], r["trial"]))
     ranked = [{"rank": i + 1, **r} for i, r in enumerate(results)]
-    schema = (
-        "rank int, trial int, max_depth int, gamma double, reg_alpha int, reg_lambda double, "
-        "colsample_bytree double, min_child_weight int, scale_pos_weight int, "
-        "n_estimators int, seed int, accuracy double, f1 double, precision double, "
-        "recall double, auc_hard double, trees int, loss double"
-    )
-    return matrix.sparkSession.createDataFrame(ranked, schema)
+    return spark.createDataFrame(ranked, "rank int, " + TRIAL_SCHEMA)
 
 
 def best_params(trials: DataFrame) -> TreeParams:

@@ -21,7 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 LABELS_SCHEMA = schema_of("doc_id bigint, quality int, toxic int")
-TRIAL_TREES = 5
 
 
 def query(fn: Callable[[CohortBuild], DataFrame]) -> Callable[[CohortBuild], DataFrame]:
@@ -483,26 +482,19 @@ def rank_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _final_fit(b: CohortBuild):
-    matrix = materialize(b.model_matrix, "model-matrix")
-    return matrix, b.fit_final(
-        matrix, boosting.TreeParams(max_depth=4, n_estimators=TRIAL_TREES)
-    )
-
-
 @query
 def tuning_trials(b: CohortBuild) -> DataFrame:
-    grid = boosting.sample_param_grid(SETTINGS.trials, n_estimators=TRIAL_TREES)
+    grid = boosting.sample_param_grid(SETTINGS.trials)
     return boosting.tune(materialize(b.model_matrix, "model-matrix"), grid, SETTINGS)
 
 
 @query
 def risk_scores(b: CohortBuild) -> DataFrame:
-    _, (model, features, test) = _final_fit(b)
-    return boosting.score(model, boosting.with_features(test, features))
+    """Scores by the refit of the winning trial."""
+    return b.predict().scores
 
 
 @query
 def feature_importance(b: CohortBuild) -> DataFrame:
-    matrix, (model, features, _) = _final_fit(b)
-    return boosting.feature_importance(model, features, matrix.sparkSession)
+    """Features of the refit of the winning trial."""
+    return b.predict().importance

@@ -80,5 +80,4 @@ DEFAULT_SETTINGS = CohortSettings()
 STANDIN_SETTINGS = CohortSettings(
     category_by_concept={1: "MBD005", 2: "SYM013"},
     rare_fraction=0.10,
-    trials=3,
 )

@@ -1,10 +1,13 @@
 import random
+from dataclasses import asdict
 
 import pytest
 from conftest import rows_of
 
 from cohortweave.operators import boosting
 from cohortweave.operators.cohort import OUTCOME
+from cohortweave.plans.build import CohortBuild
+from cohortweave.plans.catalog import all_queries
 from cohortweave.settings import CohortSettings
 
 
@@ -70,3 +73,46 @@ def test_scores_and_importance(matrix):
     splits = sum(t.numNodes // 2 for t in model.trees)  # every inner node has two children
     assert sum(r["weight"] for r in importance.collect()) == splits
     assert boosting.feature_importance(model, features, matrix.sparkSession, top=1).count() == 1
+
+
+def test_trials_are_stored_and_not_repeated(matrix, tmp_path, monkeypatch):
+    grid = [boosting.TreeParams(max_depth=2, n_estimators=2, scale_pos_weight=w) for w in (4, 5, 6)]
+    fit, fitted = boosting.fit_boosted_trees, []
+
+    def fail_at_6(rows, params, **more):
+        fitted.append(params.scale_pos_weight)
+        if params.scale_pos_weight == 6 and fitted.count(6) == 1:
+            raise RuntimeError("lost")
+        return fit(rows, params, **more)
+
+    monkeypatch.setattr(boosting, "fit_boosted_trees", fail_at_6)
+    monkeypatch.setattr(boosting, "TRIALS_AT_ONCE", 1)
+    with pytest.raises(RuntimeError, match="lost"):
+        boosting.tune(matrix, grid, CohortSettings(), store=str(tmp_path))
+    monkeypatch.setattr(boosting, "TRIALS_AT_ONCE", 3)
+    again = rows_of(boosting.tune(matrix, grid, CohortSettings(), store=str(tmp_path)))
+    assert fitted == [4, 5, 6, 6]
+    assert again == rows_of(boosting.tune(matrix, grid, CohortSettings()))
+    other = [boosting.TreeParams(max_depth=2, n_estimators=1)]
+    assert boosting.best_params(boosting.tune(matrix, other, CohortSettings(), store=str(tmp_path))) == other[0]
+
+
+@pytest.mark.parametrize("name", ["tuning_trials", "risk_scores", "feature_importance"])
+def test_model_queries_do_the_whole_search(spark, matrix, monkeypatch, name):
+    seen = {}
+
+    def searched(matrix, grid, settings):
+        seen["grid"] = grid
+        return spark.createDataFrame([{"rank": 1, **asdict(grid[7])}])
+
+    def fitted(self, matrix, params):
+        seen["params"] = params
+        rows = boosting.with_features(matrix.filter("person_id < 350"), ["signal", "noise", "age"])
+        return boosting.fit_boosted_trees(rows, boosting.TreeParams(n_estimators=1)), ["signal", "noise", "age"], matrix
+
+    monkeypatch.setattr(CohortBuild, "model_matrix", property(lambda self: matrix))
+    monkeypatch.setattr(CohortBuild, "fit_final", fitted)
+    monkeypatch.setattr(boosting, "tune", searched)
+    assert all_queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen["grid"] == boosting.sample_param_grid(100, n_estimators=180)
+    assert name == "tuning_trials" or seen["params"] == seen["grid"][7]
