@@ -16,6 +16,7 @@ from cohortweave.llm import (
     probminhash,
     quality_ledger,
     secret_scan,
+    turn_repair,
     url_reputation,
 )
 from cohortweave.llm.common import pick, read_table
@@ -125,10 +126,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest edits of every damaged conversation."""
+    return turn_repair.repair(turn_repair.damage(read_table(spark, sf_dir, "conversations")), live="live")
+
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_secret_scan": op2_secret_scan,
-
     "op3_license_scan": op3_license_scan,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality_rules": op5_quality_rules,
@@ -137,4 +142,5 @@ QUERIES = {
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op11_turn_repair": op11_turn_repair,
 }

@@ -14,13 +14,13 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "embeddings"):
+    for t in ("documents", "pages", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return con
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {q.partition("_")[0] + "_" for q in QUERIES}
+    assert {f"op{n}_" for n in range(1, 12)} == {q.partition("_")[0] + "_" for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
 
