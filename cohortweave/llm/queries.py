@@ -13,6 +13,7 @@ from cohortweave.llm import (
     license_scan,
     packing,
     pii,
+    prefix_trie,
     probminhash,
     quality_ledger,
     secret_scan,
@@ -131,6 +132,11 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(read_table(spark, sf_dir, "conversations")), live="live")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.nodes(prefix_trie.rebuild(prefix_trie.turns(read_table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_secret_scan": op2_secret_scan,
@@ -143,4 +149,5 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
     "op11_turn_repair": op11_turn_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cohortweave.llm import license_scan
 from cohortweave.llm import secret_scan as ss
-from cohortweave.llm.conversation_sql import REPAIR_SQL
+from cohortweave.llm.conversation_sql import REPAIR_SQL, TRIE_SQL
 from cohortweave.llm.url_reputation import DOUBLE_SUFFIXES, LOWER, RULES, UPPER
 
 QUALITY_SQL = r"""
@@ -226,4 +226,5 @@ ORACLES = {
     "op3_license_scan": LICENSE_SQL,
     "op5_quality_rules": QUALITY_SQL,
     "op11_turn_repair": REPAIR_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }

@@ -20,7 +20,7 @@ def duck():
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in range(1, 12)} == {q.partition("_")[0] + "_" for q in QUERIES}
+    assert {f"op{n}_" for n in (*range(1, 12), 13)} == {q.partition("_")[0] + "_" for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
 
