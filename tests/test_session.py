@@ -34,6 +34,18 @@ def test_materialize_reads_from_the_shared_folder(spark, tmp_path, monkeypatch):
     assert all(f"{tmp_path}/numbers-" in f for f in stored.inputFiles())
 
 
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    left = spark.range(50).selectExpr("id % 7 AS k", "id AS a")
+    right = spark.range(20).selectExpr("id AS k", "id * 2 AS b")
+    stored = [session.materialize_bucketed(df, "side-by-side", ["k"], 3) for df in (left, right)]
+    joined = stored[0].hint("merge").join(stored[1], "k", "left")
+    assert rows_of(joined) == rows_of(left.join(right, "k", "left"))
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    one = stored[0].hint("merge").join(right, "k")
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 class Cluster:
     """Stands for a session on a cluster that names no checkpoint directory."""
 
