@@ -149,7 +149,8 @@ def locate(lines: DataFrame, ends: DataFrame, trie: DataFrame | None) -> DataFra
         state = state.withColumn("f", F.expr(f"shiftleft(shiftright(r, {level}), {level})"))
         asks = state.filter("f > l")
         found = (
-            asks.join(_at(lines, "conv_id", "f", "fp", "fq"), ["conv_id", "f"])
+            # only these depths are asked for at this level
+            asks.join(_at(lines.filter(F.col("depth") % (1 << level) == 0), "conv_id", "f", "fp", "fq"), ["conv_id", "f"])
             .join(nodes, ["f", "fp", "fq"], "left")
             .join(_at(lines, "conv_id", "end", "xp", "xq"), ["conv_id", "end"], "left")
         )

@@ -11,6 +11,7 @@ from cohortweave.llm import (
     embedding_dedup,
     language_id,
     license_scan,
+    ngram_model,
     packing,
     pii,
     prefix_trie,
@@ -132,6 +133,11 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(read_table(spark, sf_dir, "conversations")), live="live")
 
 
+def op12_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a trigram model of the documents outside fold 0."""
+    return ngram_model.score(read_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations."""
     return prefix_trie.nodes(prefix_trie.rebuild(prefix_trie.turns(read_table(spark, sf_dir, "conversations"))))
@@ -149,5 +155,6 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
     "op11_turn_repair": op11_turn_repair,
+    "op12_ngram_scores": op12_ngram_scores,
     "op13_prefix_trie": op13_prefix_trie,
 }

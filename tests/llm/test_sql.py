@@ -20,7 +20,7 @@ def duck():
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in (*range(1, 12), 13)} == {q.partition("_")[0] + "_" for q in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.partition("_")[0] + "_" for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
 
@@ -44,6 +44,7 @@ def test_query_equals_sql(spark, duck, name):
         ("op6_byte_bpe", "doc_id n_tokens ids_sha256 decoded_sha256"),
         ("op9_best_fit_packing", "doc_id piece start length ids_crc32 sequence_id offset"),
         ("op10_language_id", "doc_id held_out lang_pred score"),
+        ("op12_ngram_scores", "doc_id held_out n_tokens n_known train_tokens base_score score"),
     ],
 )
 def test_columns(spark, name, columns):
