@@ -44,8 +44,8 @@ from cohortweave.llm.elias_fano import Trie
 from cohortweave.session import materialize, materialize_bucketed
 
 ORDER = 3
-BLOCK_TOKENS = 2 << 20
-SHARD_WORDS, SHARD_GRAMS = 1 << 20, 2 << 20
+BLOCK_TOKENS = 1 << 20
+SHARD_WORDS, SHARD_GRAMS = 1 << 20, 1 << 20
 #: Pseudocounts: of a word, and of the shorter context's estimate in that of two and of more words.
 WORD_PSEUDOCOUNT = 0.1
 CONTEXT_PSEUDOCOUNT = 2.0
@@ -74,7 +74,7 @@ def packed(*arrays: np.ndarray) -> bytes:
         width = max(1, -(-int(a.max() if len(a) else 0).bit_length() // 8))
         planes = a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]
         parts.append(bytes([width]) + np.ascontiguousarray(planes).tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpacked(data: bytes, n: int) -> list[np.ndarray]:
@@ -135,7 +135,7 @@ class _Block:
             counts += np.bincount(np.concatenate(self._trained), minlength=len(counts))
         row, doc_id, held, train, skip, length = (list(c) for c in zip(*self._segments))
         # no word holds a line feed, and the end token is the empty one
-        words = zstandard.ZstdCompressor(level=3).compress(b"\n".join(self._numbers))
+        words = zstandard.ZstdCompressor(level=1).compress(b"\n".join(self._numbers))
         scored = self.size - sum(skip)
         return (
             self.number, scored, len(counts), self.n_train, row, doc_id, held, train, skip, length,
@@ -201,8 +201,10 @@ def _sharded(words: list[bytes], shards: int) -> np.ndarray:
 
 def _of_shards(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard and the ascending places that belong to it."""
+    # short numbers are sorted digit by digit
+    shard = shard.astype(np.uint16 if shards <= 1 << 16 else np.uint64)
     order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in range(shards):
         if edges[s] < edges[s + 1]:
             yield s, order[edges[s] : edges[s + 1]]
@@ -256,19 +258,22 @@ DECODED = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / STEPS)])
 
 
 def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first of each distinct row of ids, ascending by row, and each row's number among them."""
+    """A place of each distinct row of ids, ascending by row, and each row's number among them."""
     widths = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    new = np.ones(len(columns[0]), bool)
     if sum(widths) <= 64:
         key = np.zeros(len(columns[0]), np.uint64)
         for c, w in zip(columns, widths):
             key = (key << np.uint64(w)) | c
-        _, first, number = np.unique(key, return_index=True, return_inverse=True)
-        return first, number
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
+        order = np.argsort(key)
+        key = key[order]
+        new[1:] = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(columns[::-1])
+        new[1:] = False
+        for c in columns:
+            ranked = c[order]
+            new[1:] |= ranked[1:] != ranked[:-1]
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     return order[new], number
@@ -277,9 +282,11 @@ def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _answer_grams(level: int):
     def answer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         asked = [unpacked(data, level + 2) for data in group["data"]]
+        lengths = [len(parts[0]) for parts in asked]
         for parts in asked:
             parts[0] = np.cumsum(parts[0])
         columns = [np.concatenate([a[i] for a in asked]) for i in range(level + 2)]
+        del asked
         first, number = _distinct(columns[:level])
         grams = np.stack([c[first] for c in columns[:level]], axis=1)
         counts = np.bincount(number, weights=columns[level].astype(np.float64), minlength=len(first)).astype(np.int64)
@@ -295,9 +302,9 @@ def _answer_grams(level: int):
             codes[here], told[here] = trie.codes[node[here]], trie.counts[node[here]]
             del trie
         rows, at = [], 0
-        for block, parts in zip(group["block"], asked):
-            mine = number[at : at + len(parts[0])]
-            at += len(mine)
+        for block, length in zip(group["block"], lengths):
+            mine = number[at : at + length]
+            at += length
             rows.append((block, level, key[0], packed(codes[mine], told[mine]), 0, 0))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _ANSWERS.split(", ")])
 
