@@ -13,7 +13,7 @@ with nothing pruned, and grows with them, so it is held in shards that no task s
 3. Shards.  A shard of words adds counts and numbers the words.  A shard of n-grams adds counts, divides them
    by the smoothed counts of their contexts (which the requests bring), quantises the logarithms to one byte
    and builds the trie of ``elias_fano.py`` in a mapped scratch file.  It answers all requests by searching it.
-4. Answers return to their blocks, which ask for the next order and in the end add up the logarithms.
+4. Answers return to their blocks, bucketed like them, so that later joins move nothing; the blocks ask for the next order and in the end add up the logarithms.
 
 Shards, blocks and answers hold bounded numbers of n-grams; their number grows with the corpus.  All stages
 are shuffles and written tables, so lost executors cost the tasks that they ran.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.llm.common import bound_batches, pick
 from cohortweave.llm.elias_fano import Trie
-from cohortweave.session import materialize, materialize_bucketed
+from cohortweave.session import materialize_bucketed
 
 ORDER = 3
 BLOCK_TOKENS = 1 << 20
@@ -406,13 +406,21 @@ def _asked_grams(told: DataFrame, level: int, shards: dict[int, int], begin_coun
     return told.mapInPandas(ask, _REQUESTS)
 
 
+def _kept(answers: DataFrame, level: int) -> DataFrame:
+    """Answers dealt and written once by block, like the blocks."""
+    buckets = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize_bucketed(answers.repartition(buckets, "block"), f"answers-{level}", ["block"], buckets)
+
+
 def _joined(found: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """Blocks with their answers; the blocks lie bucketed and don't move."""
-    every = answers[0]
-    for more in answers[1:]:
-        every = every.unionByName(more)
-    told = every.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "data")).alias("answers"))
-    return found.join(told, "block")
+    """Blocks with their answers; all lie bucketed by block and nothing moves."""
+    told = found
+    for level, each in enumerate(answers, 1):
+        listed = F.collect_list(F.struct("level", "shard", "data")).alias(f"answers_{level}")
+        told = told.join(each.groupBy("block").agg(listed).hint("merge"), "block", "left")
+    names = [f"answers_{level}" for level in range(1, len(answers) + 1)]
+    # a block of unknown words asks for nothing but its words
+    return told.withColumn("answers", F.flatten(F.array_compact(F.array(*names)))).drop(*names)
 
 
 def score(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -431,13 +439,11 @@ def score(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS)
     shards = {1: max(1, -(-n_words // SHARD_WORDS))}
     shards |= {level: max(1, -(-n_tokens // SHARD_GRAMS)) for level in range(2, order + 1)}
     words = _asked_words(found, shards[1]).groupBy("shard").applyInPandas(_answer_words(shards[1]), _ANSWERS)
-    answers = [materialize(words, "word-answers")]
+    answers = [_kept(words, 1)]
     trained, types = answers[0].agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     for level in range(2, order + 1):
         asked = _asked_grams(_joined(found, answers), level, shards, begins)
-        answers.append(
-            materialize(asked.groupBy("shard").applyInPandas(_answer_grams(level), _ANSWERS), f"{level}-gram-answers")
-        )
+        answers.append(_kept(asked.groupBy("shard").applyInPandas(_answer_grams(level), _ANSWERS), level))
     whole = trained + WORD_PSEUDOCOUNT * (types + 1)
 
     def add_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
