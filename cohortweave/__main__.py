@@ -7,7 +7,7 @@ import dataclasses
 
 from pyspark.sql import SparkSession
 
-from cohortweave.operators.boosting import N_TREES, sample_param_grid
+from cohortweave.operators.boosting import N_TREES
 from cohortweave.plans.build import STEPS, CohortBuild
 from cohortweave.session import drop_materialized, folder_bytes, size_shuffles, use_folder
 from cohortweave.settings import DEFAULT_SETTINGS
@@ -31,13 +31,13 @@ def main(arguments: list[str] | None = None) -> None:
     size_shuffles(spark, options.input_bytes or folder_bytes(spark, options.release))
     use_folder(spark, f"{options.output.rstrip('/')}/_work")
     settings = dataclasses.replace(
-        DEFAULT_SETTINGS, rare_min_persons=options.rare_persons, trials=options.trials
+        DEFAULT_SETTINGS, rare_min_persons=options.rare_persons, trials=options.trials, trees=options.trees
     )
     build = CohortBuild(load_release(spark, options.release, options.format), settings)
     build.save(options.output, options.steps)
     if not options.features_only:
-        result = build.predict(sample_param_grid(options.trials, n_estimators=options.trees))
-        for name in ("trials", "scores", "importance"):
+        result = build.predict()
+        for name in ("trials", "model", "scores", "importance"):
             write_table(getattr(result, name), f"{options.output.rstrip('/')}/{name}")
     drop_materialized(spark)
 

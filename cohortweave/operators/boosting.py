@@ -1,31 +1,23 @@
-"""Class-weighted boosted trees: search, fit, score and explain on Spark ML."""
+"""Search for the settings of the boosted trees, final fit, scores and importance."""
 
 from __future__ import annotations
 
-import random
-import re
-import uuid
-from collections import Counter
+import hashlib
+import math
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
-from multiprocessing.pool import ThreadPool
+from dataclasses import asdict
+from statistics import NormalDist
 
-from pyspark import inheritable_thread_target
+import uuid
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortweave.operators import gradient_trees
 from cohortweave.operators.cohort import OUTCOME, labelled_rows
-from cohortweave.operators.metrics import (
-    binary_metrics,
-    class_weight,
-    confusion,
-    stratified_split,
-)
-from cohortweave.session import ensure_checkpoint_dir, materialize, shared_folder
+from cohortweave.operators.gradient_trees import TreeParams
+from cohortweave.operators.metrics import binary_metrics, stratified_split
+from cohortweave.session import materialize, shared_folder
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 
 # --- Fixed values: the search space (inclusive ranges and choices) ---
@@ -38,178 +30,208 @@ MIN_CHILD_WEIGHT = (0, 10)
 POS_WEIGHTS = (4, 5, 6, 7, 8)
 N_TREES = 180
 MODEL_SEED = 0
-DEEPEST = 30  # levels that Spark can number the nodes of
 # --- end of fixed values ---
-#: Trials fitted at a time; each is many small jobs that leave most cores idle.
-TRIALS_AT_ONCE = 4
+#: Ranges of whole and of real numbers, by name.
+WHOLE = {"max_depth": MAX_DEPTH, "reg_alpha": REG_ALPHA, "min_child_weight": MIN_CHILD_WEIGHT}
+REAL = {"gamma": GAMMA, "reg_lambda": REG_LAMBDA, "colsample_bytree": COLSAMPLE}
+#: Trials fitted side by side, in the same jobs; also the steps in which the search looks back.
+TRIALS_AT_ONCE = 50
+#: Trials drawn at random before the search looks back, candidates per proposal, share of good trials.
+STARTUP_TRIALS, CANDIDATES, GOOD_SHARE = 20, 24, 0.25
 TRIAL_SCHEMA = (
     "trial int, max_depth int, gamma double, reg_alpha int, reg_lambda double, "
     "colsample_bytree double, min_child_weight int, scale_pos_weight int, "
     "n_estimators int, seed int, accuracy double, f1 double, precision double, "
-    "recall double, auc_hard double, trees int, loss double"
+    "recall double, auc_hard double, auc_score double, best_round int, trees int, loss double"
 )
 
 
-@dataclass(frozen=True)
-class TreeParams:
-    """One point of the search space.
+def uniform(seed: int, trial: int, name: str) -> float:
+    """A number in [0, 1): the first 52 bits of the md5 of seed, trial and name."""
+    return int(hashlib.md5(f"{seed}:{trial}:{name}".encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
+def _at(name: str, u: float) -> int | float:
+    """The value of a dimension at a share of its range."""
+    if name in WHOLE:
+        low, high = WHOLE[name]
+        return low + int(u * (high - low + 1))
+    if name in REAL:
+        low, high = REAL[name]
+        return low + u * (high - low)
+    return POS_WEIGHTS[int(u * len(POS_WEIGHTS))]
+
+
+DIMENSIONS = (*WHOLE, *REAL, "scale_pos_weight")
 
-    ``reg_alpha`` and ``reg_lambda`` (leaf penalties) are kept with the trial
-    but have no counterpart in Spark's trees and no effect there.
-    """
 
-    max_depth: int = 5
-    gamma: float = 0.0
-    reg_alpha: int = 0
-    reg_lambda: float = 0.0
-    colsample_bytree: float = 1.0
-    min_child_weight: int = 1
-    scale_pos_weight: int = 4
-    n_estimators: int = N_TREES
-    seed: int = MODEL_SEED
+def random_point(trial: int, seed: int = 0, n_estimators: int = N_TREES) -> TreeParams:
+    """The random point of a trial, whatever other trials there are."""
+    values = {name: _at(name, uniform(seed, trial, name)) for name in DIMENSIONS}
+    return TreeParams(n_estimators=n_estimators, seed=MODEL_SEED, **values)
 
 
 def sample_param_grid(
     n: int = DEFAULT_SETTINGS.trials, seed: int = 0, n_estimators: int = N_TREES
 ) -> list[TreeParams]:
     """``n`` seeded random points of the search space."""
-    draw = random.Random(seed)
-    return [
-        TreeParams(
-            max_depth=draw.randint(*MAX_DEPTH),
-            gamma=draw.uniform(*GAMMA),
-            reg_alpha=draw.randint(*REG_ALPHA),
-            reg_lambda=draw.uniform(*REG_LAMBDA),
-            colsample_bytree=draw.uniform(*COLSAMPLE),
-            min_child_weight=draw.randint(*MIN_CHILD_WEIGHT),
-            scale_pos_weight=draw.choice(POS_WEIGHTS),
-            n_estimators=n_estimators,
-        )
-        for _ in range(n)
-    ]
+    return [random_point(trial, seed, n_estimators) for trial in range(n)]
+
+
+class Parzen:
+    """Density of a dimension: a bell around every value seen and a wide one around the middle.
+
+    Bells are as wide as the gap to the farther neighbour, within bounds, and cut off at the range's ends.
+    """
+
+    def __init__(self, values: Sequence[float], low: float, high: float):
+        self._low, self._high = low, high
+        centres = sorted([*values, (low + high) / 2])
+        least = (high - low) / min(100.0, 1.0 + len(centres))
+        ends = [low, *centres, high]
+        self._bells = []
+        wide = False
+        for i, c in enumerate(centres):
+            width = min(max(c - ends[i], ends[i + 2] - c, least), high - low)
+            if c == (low + high) / 2 and not wide:
+                width, wide = high - low, True
+            bell = NormalDist(c, width)
+            self._bells.append((bell, bell.cdf(low), bell.cdf(high)))
+
+    def draw(self, which: float, u: float) -> float:
+        bell, below, upto = self._bells[min(int(which * len(self._bells)), len(self._bells) - 1)]
+        share = min(max(below + u * (upto - below), 1e-12), 1 - 1e-12)
+        return min(max(bell.inv_cdf(share), self._low), self._high)
+
+    def density(self, x: float) -> float:
+        return sum(b.pdf(x) / (upto - below) for b, below, upto in self._bells) / len(self._bells)
+
+
+def propose(trial: int, history: Sequence[dict], seed: int = 0, n_estimators: int = N_TREES) -> TreeParams:
+    """The point to try next, by tree-structured Parzen estimation over the finished trials.
+
+    The best quarter (by loss, then trial) are good.  In every dimension, candidates are drawn from the density of
+    good values; the one whose density among good values most exceeds that among the others is
+    taken.  Depends on the trials alone, so a resumed search proposes the same points.
+    """
+    if len(history) < STARTUP_TRIALS:
+        return random_point(trial, seed, n_estimators)
+    ranked = sorted(history, key=lambda r: (r["loss"], r["trial"]))
+    n_good = math.ceil(GOOD_SHARE * len(ranked))
+    good, rest = ranked[:n_good], ranked[n_good:]
+    values: dict[str, int | float] = {}
+    for name in DIMENSIONS:
+        draws = [
+            (uniform(seed, trial, f"{name}:{i}:which"), uniform(seed, trial, f"{name}:{i}")) for i in range(CANDIDATES)
+        ]
+        seen = [r[name] for r in good], [r[name] for r in rest]
+        if name == "scale_pos_weight":
+            share = [[(v.count(c) + 1) / (len(v) + len(POS_WEIGHTS)) for c in POS_WEIGHTS] for v in seen]
+            values[name] = max(POS_WEIGHTS, key=lambda c: (share[0][POS_WEIGHTS.index(c)] / share[1][POS_WEIGHTS.index(c)] * (0.5 + uniform(seed, trial, f"{name}:{c}")), -c))
+            continue
+        low, high = WHOLE[name] if name in WHOLE else REAL[name]
+        # whole numbers are the middles of ranges of length one
+        margin = 0.5 if name in WHOLE else 0.0
+        inside, outside = (Parzen(v, low - margin, high + margin) for v in seen)
+        found = [inside.draw(*d) for d in draws]
+        best = max(found, key=lambda x: (inside.density(x) / outside.density(x), -x))
+        values[name] = min(max(math.floor(best + 0.5), low), high) if name in WHOLE else best
+    return TreeParams(n_estimators=n_estimators, seed=MODEL_SEED, **values)
 
 
 def feature_columns(matrix: DataFrame) -> list[str]:
     return [c for c in matrix.columns if c not in ("person_id", OUTCOME)]
 
 
-def with_features(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(person_id, label, features vector); sparse rows stay sparse."""
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(matrix)
-    extra = [c for c in ("is_holdout",) if c in matrix.columns]
-    return vectors.select(
-        "person_id", F.col(OUTCOME).cast("double").alias("label"), "features", *extra
-    )
+def training_rows(labelled: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[list[float]]]:
+    """Binned rows for ``gradient_trees.Boosting``, written once, and the bins' edges.
 
+    ``labelled`` may have ``is_holdout``; held-out rows don't shape the bins.
+    """
+    if "is_holdout" not in labelled.columns:
+        labelled = labelled.withColumn("is_holdout", F.lit(False))
+    edges = gradient_trees.bin_edges(labelled.filter("NOT is_holdout"), features)
+    named = labelled.withColumn("label", F.col(OUTCOME).cast("int"))
+    rows = gradient_trees.binned(named, features, edges, "person_id", "label", "is_holdout")
+    return materialize(rows, "training-rows"), edges
 
-def fit_boosted_trees(
-    rows: DataFrame,
-    params: TreeParams,
-    *,
-    n_rows: int | None = None,
-    holdout: str | None = None,
-) -> GBTClassificationModel:
-    """Fit on assembled rows; ``holdout`` rows stop the boosting early.
 
-    ``gamma`` bounds the summed gain of a split while Spark bounds the gain per
-    row, hence the division by the number of rows.
-    """
-    if params.max_depth > DEEPEST:
-        raise ValueError(f"max_depth {params.max_depth} is beyond Spark's {DEEPEST}")
-    if n_rows is None:
-        n_rows = rows.count()
-    checkpointed = ensure_checkpoint_dir(rows.sparkSession)
-    trees = GBTClassifier(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="class_weight",
-        maxDepth=params.max_depth,
-        maxIter=params.n_estimators,
-        minInfoGain=params.gamma / max(n_rows, 1),
-        # 0 and 1 mean the same: a node always holds a row
-        minInstancesPerNode=params.min_child_weight or 1,
-        featureSubsetStrategy=(
-            "all" if params.colsample_bytree >= 1 else f"{params.colsample_bytree:.4f}"
-        ),
-        stepSize=0.3,
-        maxMemoryInMB=512,
-        cacheNodeIds=checkpointed,
-        checkpointInterval=10 if checkpointed else -1,
-        seed=params.seed,
-    )
-    if holdout is not None:
-        # stop as soon as the hold-out loss no longer falls
-        trees = trees.setValidationIndicatorCol(holdout).setParams(validationTol=0.0)
-    return trees.fit(class_weight(rows, "label", params.scale_pos_weight))
-
-
-def score(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
-    """Probability of the positive class and its rounding, with the person."""
-    probability = vector_to_array(F.col("probability"))[1]
-    return model.transform(rows).select(
-        "person_id",
-        probability.alias("predictions"),
-        F.round(probability).cast("int").alias("predicted_class"),
-    )
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a completely written table."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
-def evaluate(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
-    """Metrics of the hard predictions on labelled rows, one row."""
-    return binary_metrics(confusion(model.transform(rows), "label", "prediction"))
+def _stored_trials(spark: SparkSession, path: str, points: dict[int, TreeParams]) -> dict[int, dict]:
+    """Finished trials in a folder that have these parameters."""
+    if not _finished(spark, path):
+        return {}
+    rows = [r.asDict() for r in spark.read.schema(TRIAL_SCHEMA).parquet(path).collect()]
+    return {
+        r["trial"]: r for r in rows if r["trial"] in points and asdict(points[r["trial"]]).items() <= r.items()
+    }
 
 
-def _stored_trial(spark: SparkSession, path: str, params: TreeParams) -> dict | None:
-    """The finished trial in a folder, if it is one of these parameters."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        return None
-    row = spark.read.schema(TRIAL_SCHEMA).parquet(path).first().asDict()
-    return row if asdict(params).items() <= row.items() else None
+def _trial_rows(spark: SparkSession, fits: Sequence[gradient_trees.Fit]) -> dict[int, dict]:
+    """Finished trials: settings, best round, and metrics of the hold-out in that round."""
+    counts = gradient_trees.local_frame(
+        spark, [(f.number, *(f.confusion or (0, 0, 0, 0))) for f in fits], "trial int, tn long, fp long, fn long, tp long"
+    )
+    metrics = {r["trial"]: r.asDict() for r in binary_metrics(counts, "trial").collect()}
+    rows = {}
+    for fit in fits:
+        hard = metrics[fit.number]["auc_hard"]
+        rows[fit.number] = {
+            **metrics[fit.number], **asdict(fit.params), "auc_score": fit.best_auc, "best_round": fit.best_round,
+            "trees": fit.rounds, "loss": 1.0 - (hard if hard is not None else 0.0),
+        }
+    return rows
+
+
+def _trials_frame(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return gradient_trees.local_frame(spark, [tuple(r[n] for n in names) for r in rows], schema)
 
 
 def tune(
     matrix: DataFrame,
-    grid: Sequence[TreeParams],
+    grid: Sequence[TreeParams] | None = None,
     settings: CohortSettings = DEFAULT_SETTINGS,
     store: str | None = None,
+    at_once: int | None = None,
 ) -> DataFrame:
     """One row per trial, best first (``rank`` 1): parameters and metrics.
 
-    Every trial is a distributed fit on the same stored split.  The loss is
-    one minus the AUC of the hard predictions on the hold-out.
+    The trials are the points of ``grid``, else ``settings.trials`` points that ``propose`` finds,
+    looking back after every ``at_once`` trials, which are fitted side by side.  Each boosts until the rank
+    AUC of the hold-out has not risen for ten rounds and counts with its best round; the loss is one minus
+    the AUC of the hard predictions.
 
-    ``TRIALS_AT_ONCE`` trials run side by side, and each is written below ``store`` as it
-    finishes.  Trials that an earlier search of the same matrix left there are not fitted again;
-    without ``store`` they go to a new folder beside what ``materialize`` writes.
+    Trials are written below ``store`` as the fits that run side by side finish.  Those that an earlier search of the
+    same matrix left there are not fitted again; without ``store`` they go to a new folder beside what
+    ``materialize`` writes.
     """
     spark = matrix.sparkSession
-    labelled = labelled_rows(matrix)
+    at_once = at_once or TRIALS_AT_ONCE
     split = stratified_split(
-        labelled, OUTCOME, "person_id", settings.holdout_fraction, settings.split_seed
+        labelled_rows(matrix), OUTCOME, "person_id", settings.holdout_fraction, settings.split_seed
     )
-    rows = materialize(with_features(split, feature_columns(matrix)), "tuning-rows")
-    n_train = rows.filter(~F.col("is_holdout")).count()
-    held_out = rows.filter("is_holdout")
+    rows, edges = training_rows(split, feature_columns(matrix))
     folder = (store or f"{shared_folder(spark)}/trials-{uuid.uuid4().hex}").rstrip("/")
-
-    def run(number: int, params: TreeParams) -> dict:
-        path = f"{folder}/trial-{number}"
-        known = _stored_trial(spark, path, params)
-        if known is not None:
-            return known
-        model = fit_boosted_trees(rows, params, n_rows=n_train, holdout="is_holdout")
-        metrics = evaluate(model, held_out).first().asDict()
-        loss = 1.0 - (metrics["auc_hard"] if metrics["auc_hard"] is not None else 0.0)
-        row = {"trial": number, **asdict(params), **metrics, "trees": model.getNumTrees, "loss": loss}
-        spark.createDataFrame([row], TRIAL_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
-        return row
-
-    with ThreadPool(max(1, min(TRIALS_AT_ONCE, len(grid)))) as pool:
-        kept = inheritable_thread_target(spark)
-        results = list(pool.imap_unordered(lambda trial: kept(run)(*trial), enumerate(grid)))
+    results: list[dict] = []
+    n_trials = settings.trials if grid is None else len(grid)
+    while len(results) < n_trials:
+        numbers = range(len(results), min(len(results) + at_once, n_trials))
+        points = {i: propose(i, results, n_estimators=settings.trees) if grid is None else grid[i] for i in numbers}
+        path = f"{folder}/trials-{numbers[0]}"
+        found = _stored_trials(spark, path, points)
+        missing = {i: p for i, p in points.items() if i not in found}
+        if missing:
+            found |= _trial_rows(spark, gradient_trees.Boosting(rows, edges, missing).run())
+            _trials_frame(spark, list(found.values()), TRIAL_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+        results += [found[i] for i in numbers]
     results.sort(key=lambda r: (r["loss"], r["trial"]))
-    ranked = [{"rank": i + 1, **r} for i, r in enumerate(results)]
-    return spark.createDataFrame(ranked, "rank int, " + TRIAL_SCHEMA)
+    return _trials_frame(spark, [{"rank": i + 1, **r} for i, r in enumerate(results)], "rank int, " + TRIAL_SCHEMA)
 
 
 def best_params(trials: DataFrame) -> TreeParams:
@@ -218,22 +240,28 @@ def best_params(trials: DataFrame) -> TreeParams:
     return TreeParams(**{name: row[name] for name in TreeParams.__dataclass_fields__})
 
 
-def feature_importance(
-    model: GBTClassificationModel, features: Sequence[str], spark, top: int = 100
-) -> DataFrame:
-    """The ``top`` features by gain, with how many splits use each.
+def fit_boosted_trees(labelled: DataFrame, params: TreeParams, features: Sequence[str]) -> DataFrame:
+    """The model of all labelled rows as a written table of nodes; ``is_holdout`` rows, if any, end the fit."""
+    rows, edges = training_rows(labelled, features)
+    (fit,) = gradient_trees.Boosting(rows, edges, {0: params}).run()
+    return materialize(gradient_trees.model_table(rows.sparkSession, fit), "risk-model")
 
-    Works on the model, whose size the tree parameters bound, one tree at a
-    time.
-    """
-    splits: Counter[int] = Counter()
-    for tree in model.trees:
-        splits.update(int(k) for k in re.findall(r"If \(feature (\d+) ", tree.toDebugString))
-    gains = model.featureImportances.toArray()
-    rows = [
-        (name, float(gains[i]), int(splits[i])) for i, name in enumerate(features) if splits[i]
-    ]
-    rows.sort(key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame(
-        rows[:top], "feature string, gain double, weight int"
-    )
+
+def stored_model(
+    labelled: DataFrame, params: TreeParams, features: Sequence[str], store: str | None = None
+) -> DataFrame:
+    """The model of these settings from ``store``, else fitted and, with ``store``, written there."""
+    if store is None:
+        return fit_boosted_trees(labelled, params, features)
+    spark = labelled.sparkSession
+    path = f"{store.rstrip('/')}/model-{hashlib.md5(repr((params, list(features))).encode()).hexdigest()}"
+    if not _finished(spark, path):
+        fit_boosted_trees(labelled, params, features).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def matrix_key(matrix: DataFrame) -> str:
+    """A digest of a matrix: its columns, number of rows and the exclusive or of its rows' hashes."""
+    names = [F.col(f"`{c}`") for c in matrix.columns]
+    sums = matrix.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*names)), F.sum(F.xxhash64(*names).cast("decimal(38,0)"))).first()
+    return hashlib.md5(repr((matrix.dtypes, tuple(sums))).encode()).hexdigest()

@@ -59,8 +59,8 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     )
 
 
-def binary_metrics(counts: DataFrame) -> DataFrame:
-    """Metrics of hard 0/1 predictions from the confusion counts.
+def binary_metrics(counts: DataFrame, *kept: str) -> DataFrame:
+    """Metrics of hard 0/1 predictions from the confusion counts, beside the columns ``kept``.
 
     A ratio without denominator is 0; the AUC of hard predictions is the mean
     of both recall values and unknown when a class is absent.
@@ -71,6 +71,7 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
         return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
     return counts.select(
+        *kept,
         ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         ratio(tp, tp + fp).alias("precision"),

@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from cohortweave.operators import boosting, cohort, comorbidity, eras, labels
+from cohortweave.operators import boosting, cohort, comorbidity, eras, gradient_trees, labels
 from cohortweave.operators import medications, persons, severity, vocabulary
 from cohortweave.operators.stacking import stack_splits
 from cohortweave.session import materialize
@@ -35,6 +35,7 @@ STEPS = (
 @dataclass(frozen=True)
 class Predictions:
     trials: DataFrame
+    model: DataFrame
     scores: DataFrame
     importance: DataFrame
 
@@ -193,24 +194,25 @@ class CohortBuild:
             write_table(plan, path, mode=mode)
             self.__dict__[step] = plan.sparkSession.read.schema(plan.schema).parquet(path)
 
-    def predict(self, grid: list[boosting.TreeParams] | None = None) -> Predictions:
-        """Search, refit on all labelled training persons and score the rest."""
-        if grid is None:
-            grid = boosting.sample_param_grid(self.settings.trials)
+    def predict(self, grid: list[boosting.TreeParams] | None = None, store: str | None = None) -> Predictions:
+        """Search, refit on all labelled training persons and score the rest.
+
+        Without ``grid`` the search proposes its own points.  Trials and the model go below ``store`` and are
+        taken from there if an earlier call left them.
+        """
         matrix = materialize(self.model_matrix, "model-matrix")
-        trials = boosting.tune(matrix, grid, self.settings)
-        model, features, test = self.fit_final(matrix, boosting.best_params(trials))
+        trials = boosting.tune(matrix, grid, self.settings, store and f"{store}/trials")
+        model, features, test = self.fit_final(matrix, boosting.best_params(trials), store)
         return Predictions(
             trials,
-            boosting.score(model, boosting.with_features(test, features)),
-            boosting.feature_importance(model, features, matrix.sparkSession),
+            model,
+            gradient_trees.scores(test, model, features),
+            gradient_trees.importance(model, features),
         )
 
-    def fit_final(self, matrix: DataFrame, params: boosting.TreeParams):
-        """(model, feature names, held-out rows) for one parameter set."""
+    def fit_final(self, matrix: DataFrame, params: boosting.TreeParams, store: str | None = None):
+        """(table of the model's nodes, feature names, held-out rows) for one parameter set."""
         train, test = cohort.split_blinded(matrix, self.tables.person.test)
         features = boosting.feature_columns(matrix)
-        rows = materialize(
-            boosting.with_features(cohort.labelled_rows(train), features), "training-rows"
-        )
-        return boosting.fit_boosted_trees(rows, params), features, test
+        labelled = cohort.labelled_rows(train)
+        return boosting.stored_model(labelled, params, features, store), features, test

@@ -11,7 +11,7 @@ from cohortweave.operators import boosting, cohort, comorbidity, eras, labels
 from cohortweave.operators import medications, metrics, persons, severity, vocabulary
 from cohortweave.operators.stacking import stack_splits
 from cohortweave.plans.build import CohortBuild
-from cohortweave.session import materialize
+from cohortweave.session import materialize, shared_folder
 from cohortweave.settings import STANDIN_SETTINGS as SETTINGS
 from cohortweave.sources.schemas import schema_of
 from cohortweave.sources.standin import standin_tables
@@ -482,19 +482,32 @@ def rank_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _store(b: CohortBuild) -> str:
+    """Where this session's model queries over the same matrix share their trials and model."""
+    spark = b.model_matrix.sparkSession
+    key = boosting.matrix_key(b.model_matrix)
+    return f"{shared_folder(spark)}/search-{spark.sparkContext.applicationId}-{key}"
+
+
 @query
 def tuning_trials(b: CohortBuild) -> DataFrame:
-    grid = boosting.sample_param_grid(SETTINGS.trials)
-    return boosting.tune(materialize(b.model_matrix, "model-matrix"), grid, SETTINGS)
+    matrix = materialize(b.model_matrix, "model-matrix")
+    b.__dict__["model_matrix"] = matrix
+    return boosting.tune(matrix, None, SETTINGS, f"{_store(b)}/trials")
+
+
+def _predictions(b: CohortBuild):
+    b.__dict__["model_matrix"] = materialize(b.model_matrix, "model-matrix")
+    return b.predict(store=_store(b))
 
 
 @query
 def risk_scores(b: CohortBuild) -> DataFrame:
-    """Scores by the refit of the winning trial."""
-    return b.predict().scores
+    """Scores by the refit of the winning trial, walked down the stored nodes."""
+    return _predictions(b).scores
 
 
 @query
 def feature_importance(b: CohortBuild) -> DataFrame:
-    """Features of the refit of the winning trial."""
-    return b.predict().importance
+    """Features of the refit of the winning trial, from the stored nodes."""
+    return _predictions(b).importance

@@ -68,6 +68,7 @@ class CohortSettings:
     holdout_fraction: float = 0.2
     split_seed: int = 123
     trials: int = 100
+    trees: int = 180
     # Copies of a record in both parts normally count by their training copy.
     # Where it is known that copies never differ, saying so saves work.
     copies_agree: bool = False
