@@ -8,8 +8,9 @@
    are one range of sequence numbers, so a step places a whole range of pieces.
    The plan's size depends on the capacity, not on the number of documents.
 4. A piece takes the planned slot of its rank among the pieces of its length.
-   Ranks are counted in hash buckets whose number grows with the pieces, so a
-   length that a third of all pieces share is spread like any other.
+   The task that writes a piece numbers it among its own pieces of that length; the
+   pieces of earlier tasks are a sum over one row per task and length.  So ids don't
+   move, and a length that a third of all pieces share is ranked like any other.
 
 Cases: a null or empty text is the end id alone; repeated rows and equal ids are
 packed row by row; ids may be null; an empty table packs into nothing; other columns
@@ -20,25 +21,28 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import tiktoken
 from public_tokenizers import PATTERN
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortweave.llm.chunks import blocks
 from cohortweave.llm.common import bound_batches, pick
+from cohortweave.operators.joins import lookup_join
 from cohortweave.session import materialize
 
 CAPACITY = 1024
 END_ID = 2
-RANK_BUCKET_ROWS = 100_000
 
 _OUT_BYTES = 4 << 20
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, writer long, nth long"
+_RANK = ["writer", "nth"]
 _loaded: dict[int, tiktoken.Encoding] = {}
 
 
@@ -108,9 +112,10 @@ def cut(n_ids: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID
 ) -> DataFrame:
-    """Pieces of all documents (doc_id, text): doc_id, piece, start, length, ids_crc32, ids.
+    """Pieces of all documents (doc_id, text): doc_id, piece, start, length, ids_crc32, ids, writer, nth.
 
-    ``ids`` holds little-endian unsigned 32-bit numbers.  The tokenizer file is
+    ``ids`` holds little-endian unsigned 32-bit numbers; ``nth`` counts from 0 the pieces of a length that the task
+    ``writer`` makes, so both hold for the rows as they are written once.  The tokenizer file is
     read by the driver and sent to the executors (a vocabulary: a few MB).
     """
     spark = docs.sparkSession
@@ -121,7 +126,8 @@ def token_pieces(
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(model.value)
-        columns = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        columns = [c.split()[0] for c in _PIECES.split(", ")]
+        writer, made = TaskContext.get().partitionId(), defaultdict(int)
         held, size = [], 0
         for batch in batches:
             doc_ids = batch["doc_id"].astype(object)
@@ -130,7 +136,8 @@ def token_pieces(
                 packed = encode(encoder, text) + end
                 for number, (start, length) in enumerate(cut(len(packed) // 4, capacity)):
                     ids = packed[4 * start : 4 * (start + length)]
-                    held.append((doc_id, number, start, length, zlib.crc32(ids), ids))
+                    held.append((doc_id, number, start, length, zlib.crc32(ids), ids, writer, made[length]))
+                    made[length] += 1
                     size += len(ids) + 64
                     if size > _OUT_BYTES:
                         yield pd.DataFrame(held, columns=columns).astype({"doc_id": "Int64"})
@@ -189,32 +196,16 @@ class SlotTable:
         return self.sequence[at] + rank - self.first_rank[at], self.offset[at]
 
 
-def rank_within_length(pieces: DataFrame, n_pieces: int) -> DataFrame:
-    """Add ``rank``, counted from 0 over all pieces of a length."""
-    buckets = max(1, -(-n_pieces // RANK_BUCKET_ROWS))
-    bucketed = pieces.withColumn(
-        "_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))
-    )
-    group = ["length", "_bucket"]
-    inside = Window.partitionBy(*group).orderBy("doc_id", "piece", "start", "ids_crc32")
-    earlier = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        bucketed.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    )
-    ranked = bucketed.withColumn("_inside", F.row_number().over(inside) - 1)
-    return ranked.join(before, group).select(
-        *pieces.columns, (F.col("_before") + F.col("_inside")).cast("long").alias("rank")
-    )
-
-
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, start, length, ids_crc32, ...)."""
+    """``sequence_id`` and ``offset`` in place of ``writer`` and ``nth`` of written pieces."""
     spark = pieces.sparkSession
-    counts = {
-        r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
+    earlier = Window.partitionBy("length").orderBy("writer").rowsBetween(Window.unboundedPreceding, -1)
+    made = pieces.groupBy("writer", "length").agg(F.count(F.lit(1)).alias("n"))
+    made = made.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # lengths are at most the capacity
+    place_of = (F.col("writer") * (capacity + 1) + F.col("length")).alias("_place")
+    made = materialize(made.select("*", place_of), "pieces-by-writer")
+    counts = {r.length: r.n for r in made.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(SlotTable(plan_slots(counts, capacity)))
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -222,10 +213,11 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         sequence, offset = table.value.find(length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    ranked = rank_within_length(pieces, sum(counts.values()))
-    return ranked.select(*pieces.columns, slot("length", "rank").alias("_slot")).select(
-        *pieces.columns, "_slot.sequence_id", "_slot.offset"
-    )
+    kept = [c for c in pieces.columns if c not in _RANK]
+    # by a broadcast if the measured size allows
+    ranked = lookup_join(pieces.select("*", place_of), made.select("_place", "_before"), "_place", spread=["doc_id", "piece"])
+    rank = F.col("_before") + F.col("nth")
+    return ranked.select(*kept, slot("length", rank).alias("_slot")).select(*kept, "_slot.sequence_id", "_slot.offset")
 
 
 def pack(

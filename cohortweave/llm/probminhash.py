@@ -34,7 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortweave.llm.common import SPACE_CLASS, bound_batches, digest_key, free_name, pick
@@ -311,28 +311,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (its columns as they are) with one row of each class: the one with the least id."""
+    """``docs`` (its columns as they are) with one row of each class: the one with the least id.
+
+    Of rows with equal id and text one stays.  What goes is decided on ids and keys; the documents are read once
+    and don't move, unless those marks are too many to broadcast.
+    """
     found = materialize(near_duplicates(docs).filter("root IS NOT NULL"), "classed")
     is_first = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    # an id may repeat with equal texts (then one row stays) or other texts (then one text stays)
-    firsts = (
-        found.filter(is_first)
-        .groupBy("root", "doc_id")
-        .agg(F.min("key").alias("_key"), F.count(F.lit(1)).alias("_n"))
-    )
-    firsts = materialize(firsts.select(F.col("doc_id").alias("_first"), "_key", "_n"), "class-firsts")
-    same = found["doc_id"].eqNullSafe(firsts["_first"]) & (found["key"] == firsts["_key"])
-    dropped = found.join(firsts, same, "left_anti").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    dropped = materialize(dropped.distinct(), "dropped")
-    key = free_name(docs, "class_key")
+    each = found.groupBy("root", "doc_id", "key").agg(F.first(is_first).alias("is_first"), F.count(F.lit(1)).alias("n"))
+    # an id may repeat with other texts: then the least key stays
+    least = F.min(F.when(F.col("is_first"), F.col("key"))).over(Window.partitionBy("root", "doc_id"))
+    goes = ~F.col("is_first") | (F.col("key") != least)
+    marks = each.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), goes.alias("_goes"), "n")
+    marks = materialize(marks.filter("_goes OR n > 1").drop("n"), "marks")
+    repeats = not marks.filter("NOT _goes").isEmpty()
+    if fits_broadcast(marks):
+        marks = F.broadcast(marks)
+    key, goes_ = free_name(docs, "class_key"), free_name(docs, "class_goes")
     keyed = docs.withColumn(key, class_key(F.col("text")))
-
-    def among(ids: DataFrame, id_: str) -> Column:
-        return keyed["doc_id"].eqNullSafe(ids[id_]) & (keyed[key] == ids["_key"])
-
-    repeated = firsts.filter("_n > 1")
-    kept = keyed.join(dropped, among(dropped, "_id"), "left_anti").join(
-        repeated, among(repeated, "_first"), "left_anti"
-    )
-    once = keyed.join(repeated, among(repeated, "_first"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(once).drop(key)
+    marks = marks.withColumnRenamed("_goes", goes_)
+    marked = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["_id"]) & (keyed[key] == marks["_key"]), "left").drop("_id", "_key")
+    kept = marked.filter(F.col(goes_).isNull())
+    if repeats:
+        # rows whose copies have the same id
+        kept = kept.unionByName(marked.filter(~F.col(goes_)).dropDuplicates([key]))
+    return kept.drop(key, goes_)

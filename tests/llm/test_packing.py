@@ -89,8 +89,7 @@ def test_added_tokens_get_the_ids_of_the_library(monkeypatch):
     assert loaded.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
 
 
-def test_documents_are_packed_whole(spark, frame, tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "RANK_BUCKET_ROWS", 50)  # several rank buckets
+def test_documents_are_packed_whole(spark, frame, tokenizer):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
     odd = frame(
         "doc_id long, text string",
