@@ -17,6 +17,7 @@ alone; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import hmac
 import re
 from collections.abc import Callable, Iterator
@@ -84,24 +85,23 @@ class Feistel:
         return value
 
     def characters(self, text: str, form: str) -> str:
-        """Letters to letters of their case and digits to digits; all else stays."""
+        """Letters to letters of their case and digits to digits; all else stays.
+
+        A Feistel network whose halves are characters: each character of one half moves by its own part of
+        a key stream drawn from the other half.  So values of any length change throughout, in linear time.
+        """
         sizes = [26 if "a" <= c.lower() <= "z" else 10 if "0" <= c <= "9" else 1 for c in text]
         bases = ["a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c for c in text]
+        places = [ord(c) - ord(base) for c, base in zip(text, bases)]
         half = len(text) // 2
-        a = b = 1
-        value = 0
-        for i, (c, size, base) in enumerate(zip(text, sizes, bases)):
-            value = value * size + ord(c) - ord(base)
-            if i < half:
-                a *= size
-            else:
-                b *= size
-        value = self.permute(value, a, b, form + ":" + "".join(bases))
-        out = []
-        for size, base in zip(reversed(sizes), reversed(bases)):
-            value, digit = divmod(value, size)
-            out.append(chr(ord(base) + digit))
-        return "".join(reversed(out))
+        form = form + ":" + "".join(bases)
+        for turn in range(ROUNDS):
+            moved, other = (range(half, len(text)), places[:half]) if turn % 2 else (range(half), places[half:])
+            seed = hmac.digest(self._key, f"{form}:{turn}:".encode() + bytes(other), "sha256")
+            stream = hashlib.shake_256(seed).digest(8 * len(moved))
+            for k, i in enumerate(moved):
+                places[i] = (places[i] + int.from_bytes(stream[8 * k : 8 * k + 8], "big")) % sizes[i]
+        return "".join(chr(ord(base) + place) for base, place in zip(bases, places))
 
 
 def luhn_digit(digits: str) -> str:

@@ -121,13 +121,12 @@ def pair_ratios(random: dict[str, int], ordinary: dict[str, int]) -> PairModel:
 def train(samples: DataFrame) -> PairModel:
     """Model from labelled strings: ``sample`` and ``is_random``."""
     chars = pick(samples, "sample", "is_random").filter("sample IS NOT NULL AND is_random IS NOT NULL")
-    pairs = chars.filter(F.length("sample") > 1).select(
-        "is_random",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.substring("sample", i, F.lit(2))
-            )
-        ).alias("pair"),
+    # split once: taking each pair out of the string would read it from its start
+    split = chars.select("is_random", settled(letters=F.array_remove(F.split("sample", ""), "")))
+    n = F.size("letters")
+    firsts, seconds = F.slice("letters", F.lit(1), n - 1), F.slice("letters", F.lit(2), n - 1)
+    pairs = split.filter(n > 1).select(
+        "is_random", F.explode(F.zip_with(firsts, seconds, lambda a, b: F.concat(a, b))).alias("pair")
     )
     known = pairs.filter(F.col("pair").rlike("^[A-Za-z0-9+/_.=-]{2}$"))
     counts = known.groupBy("is_random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()

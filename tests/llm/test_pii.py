@@ -101,3 +101,27 @@ def test_frame(frame):
     ]
     assert [(r.doc_id, r.found) for r in rows if r.text is None] == [(None, [])]
     assert pii.pseudonymise(docs.limit(0), b"key").count() == 0
+
+
+def test_no_place_of_a_long_value_stays_in_clear():
+    for length in (1, 2, 3, 7, 40, 117, 198, 396, 1000):
+        kept = [True] * length
+        for i in range(12):
+            name = "".join("abcdefghijklmnopqrstuvwxyz"[(i * 7 + k * (i + 3)) % 26] for k in range(length))
+            out = F.characters(name, "email:x")
+            assert len(out) == length and out.isalpha() and out.islower()
+            kept = [k and a == b for k, a, b in zip(kept, name, out)]
+        assert not any(kept)
+
+
+def test_every_part_depends_on_every_other():
+    a, b = ("x" * 400 + last for last in "yz")
+    assert sum(c != d for c, d in zip(F.characters(a, "t"), F.characters(b, "t"))) > 350
+
+
+def test_long_values_take_linear_time():
+    import time
+
+    begin = time.perf_counter()
+    assert len(F.characters("ab" * 200_000, "t")) == 400_000
+    assert time.perf_counter() - begin < 20

@@ -91,3 +91,13 @@ def test_hide_keeps_columns(frame):
         map(repr, [(1, 1, "[SECRET] x", 10, "r"), (1, None, None, None, "r"), (2, 2, "fine", 4, "r")])
     )
     assert ss.hide(docs.limit(0), sample_model(frame)).count() == 0
+
+
+def test_training_on_a_run_of_a_million_characters(frame):
+    """One long run is split once; its pairs are counted like those of short ones."""
+    long = "aB3" * 333_334
+    rows = [(long, True), ("hello_world", False), ("x", True), ("", True), (None, True)]
+    model = ss.train(frame("sample string, is_random boolean", rows))
+    random = {"aB": 333_334, "B3": 333_334, "3a": 333_333}
+    ordinary = {"he": 1, "el": 1, "ll": 1, "lo": 1, "o_": 1, "_w": 1, "wo": 1, "or": 1, "rl": 1, "ld": 1}
+    assert model == ss.pair_ratios(random, ordinary)
