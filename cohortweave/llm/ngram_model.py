@@ -44,7 +44,7 @@ from cohortweave.llm.elias_fano import Trie
 from cohortweave.session import materialize_bucketed
 
 ORDER = 3
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 3 << 18
 SHARD_WORDS, SHARD_GRAMS = 1 << 20, 1 << 20
 #: Pseudocounts: of a word, and of the shorter context's estimate in that of two and of more words.
 WORD_PSEUDOCOUNT = 0.1
