@@ -123,30 +123,44 @@ def _sentence_ids(line_end: str) -> str:
       lambda i: i IS NOT NULL)"""
 
 
-def _license_steps() -> str:
-    """One step per rule: whether it matches what the earlier rules left, and what it leaves."""
-    steps = []
-    for i, rule in enumerate(license_scan.RULES):
-        pattern = _quoted(license_scan.rule_pattern(rule))
-        steps.append(
-            f"r{i + 1} AS (SELECT rid, doc_id, ids, regexp_replace(seq, {pattern}, '', 'g') AS seq, "
-            f"CASE WHEN regexp_matches(seq, {pattern}) THEN list_append(names, '{rule.license}') ELSE names END AS names "
-            f"FROM r{i})"
-        )
-    return ", ".join(steps)
-
-
+def _license_names() -> str:
+    """(rid, name) of every chain of rules: a queue per place, served by the next sentence of the chain.
+
+    What has been served up to a position is all services so far less the most that had found the queue empty.
+    """
+    found = []
+    for whole, rules in license_scan.chains():
+        steps = f"SELECT *, count(*) FILTER (id = '{whole[0]}') OVER w AS a1 FROM x WHERE id IN ({_listed(whole)}) {_W}"
+        for i, sentence in enumerate(whole[1:], 2):
+            steps = f"SELECT *, count(*) FILTER (id = '{sentence}') OVER w AS s{i} FROM ({steps}) {_W}"
+            steps = f"SELECT *, s{i} + least(0, min(a{i - 1} - s{i}) OVER w) AS a{i} FROM ({steps}) {_W}"
+        longer = "0"
+        for rule in rules:
+            held = f"max(a{len(rule.sentences)})"
+            found.append(f"SELECT rid, '{rule.license}' AS name FROM ({steps}) GROUP BY rid HAVING {held} > {longer}")
+            longer = held
+    return " UNION ALL ".join(found)
+
+
+def _listed(values) -> str:
+    return ", ".join(_quoted(v) for v in values)
+
+
+_W = "WINDOW w AS (PARTITION BY rid ORDER BY pos)"
 LICENSE_SQL = rf"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), b AS (
   SELECT rid, doc_id, {_sentence_ids("chr(10)")} AS by_line, {_sentence_ids("' '")} AS across FROM t
-), r0 AS (
-  SELECT rid, doc_id, ids, '<' || array_to_string(ids, '><') || '>' AS seq, CAST([] AS VARCHAR[]) AS names
-  FROM (SELECT rid, doc_id, CASE WHEN len(by_line) >= len(across) THEN by_line ELSE across END AS ids FROM b)
-), {_license_steps()}
-SELECT doc_id, array_to_string(list_sort(list_distinct(names)), ',') AS licenses, array_to_string(ids, ',') AS sentences
-FROM r{len(license_scan.RULES)}
+), r AS (
+  SELECT rid, doc_id, CASE WHEN len(by_line) >= len(across) THEN by_line ELSE across END AS ids FROM b
+), x AS (
+  SELECT rid, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pos FROM r
+), named AS (
+  SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM ({_license_names()}) GROUP BY rid
+)
+SELECT doc_id, coalesce(licenses, '') AS licenses, array_to_string(ids, ',') AS sentences
+FROM r LEFT JOIN named USING (rid)
 """
 
 def _class_logs(name: str, label: str) -> str:

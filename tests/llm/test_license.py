@@ -1,8 +1,12 @@
+import random
 import re
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from cohortweave.llm import license_scan as ls
+from cohortweave.llm.sql import LICENSE_SQL
 
 BSD = [ls.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")]
 
@@ -148,3 +152,70 @@ def test_lines_and_wrapped_sentences_in_one_text(frame):
     assert found(frame, [text, "public\ndomain. Released into the public\ndomain under CC0 1.0"]) == [
         (["isc-name", "mit-grant", "mit-grant-2", "as-is", "cc0-name"], ["CC0-1.0", "ISC", "MIT"]), (["cc0-name"], ["CC0-1.0"]),
     ]
+
+
+NOTICES = [
+    (BSD_3, MIT, BSD_3.split("3. Neither")[0]),
+    (BSD_3.split("3. Neither")[0], MIT, BSD_3),
+    (BSD_3.replace("2. Red", "Licensed under the Apache License, Version 2.0\n\n2. Red"), GPL_3),
+    (APACHE, APACHE, MIT, BSD_3, BSD_3, GPL_2),
+]
+
+
+def test_notices_of_several_licences(frame):
+    got = found(frame, ["\n".join(parts) for parts in NOTICES])
+    assert [g[1] for g in got] == [
+        ["BSD-2-Clause", "BSD-3-Clause", "MIT"],
+        ["BSD-2-Clause", "BSD-3-Clause", "MIT"],
+        ["Apache-2.0", "BSD-3-Clause", "GPL-3.0"],
+        ["Apache-2.0", "BSD-3-Clause", "GPL-2.0", "MIT"],
+    ]
+
+
+def by_removal(sentences):
+    """Rules from long to short, each taking its own sentences out until it fits no more."""
+    left, names = list(sentences), set()
+    for rule in sorted(ls.RULES, key=lambda r: -len(r.sentences)):
+        while True:
+            places, start = [], 0
+            for s in rule.sentences:
+                if s not in left[start:]:
+                    break
+                places.append(left.index(s, start))
+                start = places[-1] + 1
+            if len(places) < len(rule.sentences):
+                break
+            names.add(rule.license)
+            for place in reversed(places):
+                del left[place]
+    return sorted(names)
+
+
+def test_mixed_sentences_against_removal_one_by_one_and_sql(frame):
+    rng = random.Random(4)
+    shared = sorted({s for whole, rules in ls.chains() if len(whole) > 1 for s in whole})
+    texts = []
+    for _ in range(300):
+        some = rng.sample(shared, rng.randint(1, 6)) + rng.sample(sorted(ls.SENTENCES), 1)
+        texts.append(". ".join(ls.SENTENCES[rng.choice(some)] for _ in range(rng.randint(0, 16))) + ".")
+    got = found(frame, texts)
+    assert [names for _, names in got] == [by_removal(sentences) for sentences, _ in got]
+    assert len({tuple(names) for _, names in got}) > 30
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    with duckdb.connect() as con:
+        con.register("documents", table)
+        rows = con.execute(f"SELECT licenses FROM ({LICENSE_SQL}) ORDER BY doc_id").fetchall()
+    assert [r[0] for r in rows] == [",".join(names) for _, names in got]
+
+
+def test_rules_must_form_chains():
+    rules = [ls.LicenseRule("a", ("x", "y")), ls.LicenseRule("b", ("y", "x"))]
+    with pytest.raises(ValueError, match="doesn't begin"):
+        ls.chains(rules)
+    with pytest.raises(ValueError, match="repeats"):
+        ls.chains([ls.LicenseRule("a", ("x", "x"))])
+
+
+def test_thousands_of_licences_in_one_text(frame):
+    text = ". ".join(BSD[:3] * 3000) + ". " + ". ".join(BSD) + "."
+    assert found(frame, [text])[0][1] == ["BSD-2-Clause", "BSD-3-Clause"]
