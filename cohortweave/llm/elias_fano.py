@@ -90,6 +90,17 @@ class Sequence:
             found[part] = self.block(i)[positions[part] - i * BLOCK]
         return found
 
+    def spans(self, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at ascending positions and those after them."""
+        here, after = np.empty(len(positions), np.uint64), np.empty(len(positions), np.uint64)
+        for i, part in self._blocks(positions // BLOCK):
+            numbers = self.block(i)
+            if i + 1 < len(self._first):
+                numbers = np.append(numbers, self._first[i + 1])
+            inside = positions[part] - i * BLOCK
+            here[part], after[part] = numbers[inside], numbers[inside + 1]
+        return here, after
+
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position and value of the first number that is no less, for ascending values.
 
@@ -183,8 +194,7 @@ class Trie:
         rows, positions = rows[keep], positions[keep]
         for level in range(1, self.order):
             ids = self._ids[level]
-            begin = self._children[level - 1].access(positions).astype(np.int64)
-            end = self._children[level - 1].access(positions + 1).astype(np.int64)
+            begin, end = (p.astype(np.int64) for p in self._children[level - 1].spans(positions))
             offset = np.zeros(len(rows), np.uint64)
             inner = begin > 0
             offset[inner] = ids.access(begin[inner] - 1)

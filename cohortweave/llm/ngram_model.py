@@ -260,6 +260,12 @@ DECODED = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / STEPS)])
 def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A place of each distinct row of ids, ascending by row, and each row's number among them."""
     widths = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
+    columns, rank_width = list(columns), (len(columns[0]) - 1).bit_length()
+    while sum(widths) > 64 and max(widths) > rank_width:
+        # ids give way to their ranks, which are in the same order and narrower: one number sorts much faster
+        widest = widths.index(max(widths))
+        columns[widest] = np.unique(columns[widest], return_inverse=True)[1].astype(np.uint64)
+        widths[widest] = rank_width
     new = np.ones(len(columns[0]), bool)
     if sum(widths) <= 64:
         key = np.zeros(len(columns[0]), np.uint64)
@@ -336,46 +342,69 @@ class _Told:
         self.inside, self.segment = inside, segment
         self.scored = inside >= self.skip[segment]
         self.counted = self.scored & train[segment]
-        self.ids, self.counts = ids[tokens], counts[tokens]
+        #: the block's ids in order; ranks among them are narrow and sort alike, and 0 stays 0
+        known = np.flatnonzero(ids)
+        known = known[np.argsort(ids[known])]
+        self._ids = np.append(np.uint64(0), ids[known])
+        rank = np.zeros(len(ids), np.uint64)
+        rank[known] = np.arange(1, len(known) + 1, dtype=np.uint64)
+        self.ranks = rank[tokens]
+        self.counts = counts[tokens]
         self._shards = shards
 
     def _before(self, back: int) -> np.ndarray:
-        """Id of the word that stands ``back`` before each token of its stretch, else 0."""
-        found = np.zeros(len(self.ids), np.uint64)
-        found[back:] = self.ids[: len(self.ids) - back] if back else self.ids
+        """Rank of the word that stands ``back`` before each token of its stretch, else 0."""
+        found = np.zeros(len(self.ranks), np.uint64)
+        found[back:] = self.ranks[: len(self.ranks) - back] if back else self.ranks
         found[self.inside < back] = 0
         return found
 
-    def grams(self, level: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """(places of tokens with a whole n-gram, its distinct rows of ids, each place's number among them,
-        training counts of the rows)."""
+    def grams(self, level: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(places of tokens with a whole n-gram, its distinct rows of ids, each place's number among them)."""
         columns = [self._before(back) for back in reversed(range(level))]
         # also of words ahead of the stretch: they are contexts
         places = np.flatnonzero(np.logical_and.reduce([c > 0 for c in columns]))
         columns = [c[places] for c in columns]
         first, number = _distinct(columns)
-        counts = np.bincount(number[self.counted[places]], minlength=len(first)).astype(np.uint64)
-        return places, [c[first] for c in columns], number, counts
+        return places, [self._ids[c[first]] for c in columns], number
+
+    def training_counts(self, places: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
+        """How often this block's training texts hold each of ``n`` n-grams."""
+        return np.bincount(number[self.counted[places]], minlength=n).astype(np.uint64)
+
+    def _answered(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places of tokens with a whole n-gram, each place's number, codes and counts of the numbers)."""
+        places, rows, number = self.grams(level)
+        codes, counts = np.zeros(len(rows[0]), np.uint64), np.zeros(len(rows[0]), np.uint64)
+        shards = self._shards[level]
+        for s, mine in _of_shards(_mixed(rows) % np.uint64(shards), shards):
+            codes[mine], counts[mine] = unpacked(self._answers[level][s], 2)
+        return places, number, codes, counts
+
+    def gram_counts(self, level: int) -> np.ndarray:
+        """Training count of the n-gram that ends at each token, 0 where there is none."""
+        if level == 1:
+            return self.counts
+        places, number, _, counts = self._answered(level)
+        found = np.zeros(len(self.ranks), np.uint64)
+        found[places] = counts[number]
+        return found
 
-    def estimates(self, upto: int, smallest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of every token by contexts of up to ``upto`` - 1 words, and the count of its n-gram."""
+    def estimates(self, upto: int, smallest: np.ndarray) -> np.ndarray:
+        """Probability of every token by contexts of up to ``upto`` - 1 words."""
         probability = smallest
         context = self.context_counts(self.counts)
-        count = self.counts
         for level in range(2, upto + 1):
-            places, rows, number, _ = self.grams(level)
-            codes, counts = np.zeros(len(rows[0]), np.uint64), np.zeros(len(rows[0]), np.uint64)
-            shards = self._shards[level]
-            for s, mine in _of_shards(_mixed(rows) % np.uint64(shards), shards):
-                codes[mine], counts[mine] = unpacked(self._answers[level][s], 2)
-            stored = np.zeros(len(self.ids))
-            stored[places] = DECODED[codes[number].astype(np.int64)]
-            count = np.zeros(len(self.ids), np.uint64)
-            count[places] = counts[number]
+            places, number, codes, counts = self._answered(level)
             backoff = CONTEXT_PSEUDOCOUNT / (context + CONTEXT_PSEUDOCOUNT)
-            probability = np.minimum(stored + backoff * probability, 1.0)
-            context = self.context_counts(count)
-        return probability, count
+            probability = backoff * probability
+            probability[places] += DECODED[codes.astype(np.int64)][number]
+            probability = np.minimum(probability, 1.0)
+            if level < upto:
+                count = np.zeros(len(self.ranks), np.uint64)
+                count[places] = counts[number]
+                context = self.context_counts(count)
+        return probability
 
     def context_counts(self, count: np.ndarray) -> np.ndarray:
         """Training count of the n-gram that ends before each token, as the context of one more word."""
@@ -390,9 +419,9 @@ def _asked_grams(told: DataFrame, level: int, shards: dict[int, int], begin_coun
         for batch in batches:
             for row in batch.to_dict("records"):
                 block = _Told(row, shards, begin_count)
-                context = block.counts if level == 2 else block.estimates(level - 1, np.ones(len(block.ids)))[1]
-                before = block.context_counts(context)
-                places, rows, number, counts = block.grams(level)
+                before = block.context_counts(block.gram_counts(level - 1))
+                places, rows, number = block.grams(level)
+                counts = block.training_counts(places, number, len(rows[0]))
                 of_row = np.zeros(len(counts), np.uint64)
                 of_row[number] = before[places].astype(np.uint64)
                 out = []
@@ -451,7 +480,7 @@ def score(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS)
             for row in batch.to_dict("records"):
                 block = _Told(row, shards, begins)
                 single = np.minimum((block.counts + WORD_PSEUDOCOUNT) / whole, 1.0)
-                probability, _ = block.estimates(order, single)
+                probability = block.estimates(order, single)
                 n = len(block.length)
 
                 def summed(values: np.ndarray) -> np.ndarray:

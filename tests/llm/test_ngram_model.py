@@ -134,3 +134,15 @@ def test_packed_arrays():
     arrays = [np.array([], np.int64), np.array([0, 255, 256]), np.array([1 << 63], np.uint64)]
     back = lm.unpacked(lm.packed(*arrays), 3)
     assert [b.tolist() for b in back] == [a.tolist() for a in arrays]
+
+
+def test_distinct_rows_of_wide_ids():
+    random = np.random.default_rng(6)
+    for top, n in [(50, 500), (1 << 40, 500), (1 << 23, 3000), (1 << 63, 1), (1 << 63, 0)]:
+        some = random.integers(0, top, 40).astype(np.uint64)
+        columns = [random.choice(some, n) for _ in range(3)]
+        first, number = lm._distinct(columns)
+        rows = list(zip(*[c.tolist() for c in columns]))
+        distinct = sorted(set(rows))
+        assert [rows[i] for i in first] == distinct
+        assert [distinct[i] for i in number] == rows
