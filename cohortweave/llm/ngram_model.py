@@ -26,6 +26,7 @@ empty result; other columns, also with clashing names, are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections import defaultdict
@@ -36,7 +37,7 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortweave.llm.common import bound_batches, pick
@@ -452,6 +453,12 @@ def _joined(found: DataFrame, answers: list[DataFrame]) -> DataFrame:
     return told.withColumn("answers", F.flatten(F.array_compact(F.array(*names)))).drop(*names)
 
 
+def _release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, here and in the driver's JVM."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def score(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Every document (doc_id, text) scored by the model of those outside fold 0.
 
@@ -467,12 +474,14 @@ def score(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS)
     ).first()
     shards = {1: max(1, -(-n_words // SHARD_WORDS))}
     shards |= {level: max(1, -(-n_tokens // SHARD_GRAMS)) for level in range(2, order + 1)}
-    words = _asked_words(found, shards[1]).groupBy("shard").applyInPandas(_answer_words(shards[1]), _ANSWERS)
-    answers = [_kept(words, 1)]
+    asked = _asked_words(found, shards[1])
+    answers = [_kept(asked.groupBy("shard").applyInPandas(_answer_words(shards[1]), _ANSWERS), 1)]
     trained, types = answers[0].agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     for level in range(2, order + 1):
         asked = _asked_grams(_joined(found, answers), level, shards, begins)
         answers.append(_kept(asked.groupBy("shard").applyInPandas(_answer_grams(level), _ANSWERS), level))
+        del asked
+        _release_shuffles(spark)
     whole = trained + WORD_PSEUDOCOUNT * (types + 1)
 
     def add_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
