@@ -66,6 +66,11 @@ def drop_rare_labels(
     ).select(*rows.columns)
 
 
+def kept_labels(frequency: DataFrame, min_persons: int) -> DataFrame:
+    """Labels with at least ``min_persons`` persons and their number of persons."""
+    return frequency.filter(F.col("condition_count") >= min_persons)
+
+
 def label_list(frequency: DataFrame, min_persons: int = 0) -> list[str]:
     """Sorted labels with at least ``min_persons`` persons.
 
@@ -75,7 +80,7 @@ def label_list(frequency: DataFrame, min_persons: int = 0) -> list[str]:
     """
     most = int(frequency.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     found = (
-        frequency.filter(F.col("condition_count") >= min_persons)
+        kept_labels(frequency, min_persons)
         .select("condition")
         .limit(most + 1)
         .collect()

@@ -270,6 +270,45 @@ def visit_name_text(names: DataFrame) -> DataFrame:
     )
 
 
+def visit_name_segments(names: DataFrame, segment_visits: int = 1000) -> DataFrame:
+    """The sorted list of every person as numbered texts of at most ``segment_visits`` names each.
+
+    Segment k holds the visits from ``k * segment_visits`` on, so the texts of a person, joined by
+    ``", "`` in their order, are the person's ``visit_name_text``.  No task holds more of a
+    list than its distinct names and one segment.  A person whose visits have no name has one empty text.
+    """
+    if segment_visits < 1:
+        raise ValueError("a segment holds at least one visit")
+    by_name = Window.partitionBy("person_id").orderBy("visit_concept_name")
+    end = F.sum("n_visits").over(by_name.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stretch = names.select(
+        "person_id", "visit_concept_name", (end - F.col("n_visits")).alias("_start"), end.alias("_end")
+    )
+
+    def segment_of(place: Column) -> Column:
+        return F.floor(place / segment_visits).cast("long")
+
+    pieces = stretch.select(
+        "*", F.explode(F.sequence(segment_of(F.col("_start")), segment_of(F.col("_end") - 1))).alias("segment")
+    )
+    inside = F.least("_end", (F.col("segment") + 1) * segment_visits) - F.greatest(
+        "_start", F.col("segment") * segment_visits
+    )
+    entry = F.when(
+        F.col("visit_concept_name").isNotNull(),
+        F.struct("visit_concept_name", inside.cast("int").alias("n")),
+    )
+    texts = F.transform(
+        F.array_sort(F.collect_list(entry)),
+        lambda e: F.array_join(F.array_repeat(e["visit_concept_name"], e["n"]), ", "),
+    )
+    # a person without names has one entry, however many the visits
+    named = pieces.filter(F.col("visit_concept_name").isNotNull() | (F.col("segment") == 0))
+    return named.groupBy("person_id", "segment").agg(
+        F.array_join(texts, ", ").alias("concat_visit_concept_name")
+    )
+
+
 def persons_without_label(persons: DataFrame, *labelled: DataFrame) -> DataFrame:
     """Person ids found in none of the labelled frames."""
     rest = persons.select("person_id")

@@ -11,16 +11,20 @@ from cohortweave.operators import boosting, cohort, comorbidity, eras, labels
 from cohortweave.operators import medications, metrics, persons, severity, vocabulary
 from cohortweave.operators.stacking import stack_splits
 from cohortweave.plans.build import CohortBuild
-from cohortweave.session import materialize, shared_folder
+from cohortweave.session import materialize, new_path, shared_folder
 from cohortweave.settings import STANDIN_SETTINGS as SETTINGS
 from cohortweave.sources.schemas import schema_of
 from cohortweave.sources.standin import standin_tables
-from cohortweave.sources.tables import add_concept_name, read_table
+from cohortweave.sources.tables import add_concept_name, read_table, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 LABELS_SCHEMA = schema_of("doc_id bigint, quality int, toxic int")
+ORDERS_SCHEMA = schema_of(
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate date, o_orderpriority string"
+)
 
 
 def query(fn: Callable[[CohortBuild], DataFrame]) -> Callable[[CohortBuild], DataFrame]:
@@ -49,6 +53,18 @@ def scan_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/labels.parquet", LABELS_SCHEMA)
 
 
+@table_query
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as CSV files with a header and read back with declared types."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    typed = orders.select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ORDERS_SCHEMA.fields]
+    )
+    path = new_path(spark, "orders-csv")
+    write_table(typed, path, "csv")
+    return read_table(spark, path, ORDERS_SCHEMA, "csv")
+
+
 @query
 def stack_splits_persons(b: CohortBuild) -> DataFrame:
     return stack_splits(b.tables.person.train, b.tables.person.test, "person_id")
@@ -314,6 +330,12 @@ def visit_name_list(b: CohortBuild) -> DataFrame:
     return severity.visit_name_list(_not_severe(b))
 
 
+@query
+def visit_name_text(b: CohortBuild) -> DataFrame:
+    """The visit names of every person as text, in numbered segments."""
+    return severity.visit_name_segments(severity.visit_name_list(_not_severe(b)))
+
+
 @query
 def no_visit_persons(b: CohortBuild) -> DataFrame:
     return severity.persons_without_label(b.index, _severe(b), _visit_severity(b))
@@ -394,6 +416,12 @@ def label_frequency_unpivot(b: CohortBuild) -> DataFrame:
     return labels.label_frequency_unpivot(b.person_labels, labels.label_list(b.label_frequency))
 
 
+@query
+def kept_labels(b: CohortBuild) -> DataFrame:
+    """The labels that become columns of the matrix, derived at any scale."""
+    return labels.kept_labels(b.label_frequency, b.minimum_persons)
+
+
 @query
 def drop_rare_labels(b: CohortBuild) -> DataFrame:
     rows = b.cci_count.select("condition_era_id", "person_id", comorbidity.LABEL)

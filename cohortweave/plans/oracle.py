@@ -337,6 +337,9 @@ _VIEWS: dict[str, str] = {
 
 _FINAL: dict[str, str] = {
     "scan_typed": "SELECT doc_id, quality, toxic FROM labels",
+    "csv_round_trip": """
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+          CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders""",
     "stack_splits_persons": "SELECT * FROM v_person",
     "stack_outcomes_missing_cols": "SELECT * FROM v_outcome",
     "enrich_concept_name": """
@@ -393,6 +396,15 @@ _FINAL: dict[str, str] = {
         GROUP BY person_id, visit_concept_name
         HAVING visit_concept_name IS NOT NULL OR person_id NOT IN
           (SELECT person_id FROM v_left WHERE visit_concept_name IS NOT NULL)""",
+    "visit_name_text": """
+        SELECT person_id, place // 1000 AS segment,
+          string_agg(visit_concept_name, ', ' ORDER BY place) AS concat_visit_concept_name
+        FROM (SELECT person_id, visit_concept_name,
+            row_number() OVER (PARTITION BY person_id ORDER BY visit_concept_name) - 1 AS place
+          FROM v_left WHERE visit_concept_name IS NOT NULL)
+        GROUP BY person_id, segment
+        UNION ALL SELECT person_id, 0, '' FROM v_left GROUP BY person_id
+        HAVING count(visit_concept_name) = 0""",
     "no_visit_persons": "SELECT * FROM v_no_visit",
     "covid_severity": "SELECT * FROM v_severity",
     "codeset_flags": "SELECT * FROM v_flags",
@@ -412,6 +424,7 @@ _FINAL: dict[str, str] = {
     "cci_count": "SELECT * FROM v_cci",
     "label_frequency": "SELECT * FROM v_frequency",
     "label_frequency_unpivot": "SELECT * FROM v_frequency",
+    "kept_labels": "SELECT * FROM v_frequency WHERE condition IN (SELECT condition FROM v_kept)",
     "drop_rare_labels": "SELECT condition_era_id, person_id, pre_post_condition FROM v_kept_rows",
     "binary_pivot": "SELECT * FROM v_pivot",
     "conditions_only": "SELECT * FROM v_conditions",

@@ -111,6 +111,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> bool:
     return folder is not None
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted by ``drop_materialized``."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError(
+            "no folder that all executors share: set spark.checkpoint.dir or call use_folder()"
+        )
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
@@ -120,14 +132,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     would be computed again by every reader.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        raise RuntimeError(
-            "no folder that all executors share: set spark.checkpoint.dir or call use_folder()"
-        )
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

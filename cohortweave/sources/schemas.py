@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 _TYPES = {
     "bigint": T.LongType(),
+    "double": T.DoubleType(),
     "int": T.IntegerType(),
     "string": T.StringType(),
     "date": T.DateType(),

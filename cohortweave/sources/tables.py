@@ -88,7 +88,10 @@ def read_table(
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists"
 ) -> None:
-    """Write a result; by default an existing one is never replaced."""
+    """Write a result; by default an existing one is never replaced.
+
+    CSV files get a header; an empty text is read back from them as null.
+    """
     writer = df.write.mode(mode)
     if fmt == "csv":
         writer = writer.option("header", True)

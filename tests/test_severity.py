@@ -175,3 +175,19 @@ def test_name_lists_have_a_row_per_name(frame):
     got = severity.visit_name_list(visits)
     assert rows_of(got) == [(1, "A", 5), (1, "A B", 2), (2, None, 1)]
     assert rows_of(severity.visit_name_text(got)) == [(1, "A, A, A, A, A, A B, A B"), (2, "")]
+
+
+def test_long_name_lists_come_in_segments(frame):
+    visits = frame(
+        "person_id bigint, visit_concept_name string",
+        [(1, "A")] * 5 + [(1, "A B")] * 2 + [(1, None)] * 9 + [(2, None)] * 9 + [(3, "")],
+    )
+    names = severity.visit_name_list(visits)
+    assert rows_of(severity.visit_name_segments(names, 3)) == [
+        (1, 0, "A, A, A"), (1, 1, "A, A, A B"), (1, 2, "A B"), (2, 0, ""), (3, 0, ""),
+    ]
+    whole = [(p, 0, text) for p, text in rows_of(severity.visit_name_text(names))]
+    assert rows_of(severity.visit_name_segments(names)) == whole
+    assert severity.visit_name_segments(names.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="segment"):
+        severity.visit_name_segments(names, 0)
