@@ -90,11 +90,12 @@ def write_table(
 ) -> None:
     """Write a result; by default an existing one is never replaced.
 
-    CSV files get a header; an empty text is read back from them as null.
+    CSV files get a header and keep spaces around values; an empty text is read back from them as null.
     """
     writer = df.write.mode(mode)
     if fmt == "csv":
         writer = writer.option("header", True)
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.format(fmt).save(path)
 
 
