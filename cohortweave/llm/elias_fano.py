@@ -69,11 +69,14 @@ class Sequence:
         ones = np.flatnonzero(np.unpackbits(self._buffer[middle:end], bitorder="little"))
         width = int(self._width[i])
         values = (ones - np.arange(n)).astype(np.uint64) << np.uint64(width)
-        if width:
-            bits = np.unpackbits(self._buffer[begin:middle], count=n * width, bitorder="little").reshape(n, width)
-            weights = (1 << np.arange(width, dtype=np.int64)).astype(np.float64)
-            # exact: low parts are narrower than the 53 bits of a double
-            values += (bits @ weights).astype(np.uint64) if width <= 52 else _wide(bits)
+        if 0 < width <= 56:
+            # each low part lies within the eight bytes from its first one on
+            low = np.append(self._buffer[begin:middle], np.zeros(8, np.uint8))
+            bit = np.arange(n, dtype=np.int64) * width
+            eight = np.ndarray((middle - begin + 1,), "<u8", low, strides=(1,))[bit >> 3]
+            values += (eight >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
+        elif width:
+            values += _wide(np.unpackbits(self._buffer[begin:middle], count=n * width, bitorder="little").reshape(n, width))
         return values + self._first[i]
 
     def _blocks(self, wanted: np.ndarray) -> Iterator[tuple[int, slice]]:

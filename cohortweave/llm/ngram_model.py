@@ -34,6 +34,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -47,6 +49,8 @@ from cohortweave.session import materialize_bucketed
 ORDER = 3
 BLOCK_TOKENS = 3 << 18
 SHARD_WORDS, SHARD_GRAMS = 1 << 20, 1 << 20
+#: Bytes of text that are split into words at a time.
+PIECE_BYTES = 8 << 20
 #: Pseudocounts: of a word, and of the shorter context's estimate in that of two and of more words.
 WORD_PSEUDOCOUNT = 0.1
 CONTEXT_PSEUDOCOUNT = 2.0
@@ -57,8 +61,6 @@ BEGIN = 1
 #: Stand for the beginning and the end of a text among its words, which hold no spaces.
 BEGIN_WORD, END_WORD = b" ", b""
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_PIECE_BYTES = 8 << 20
 _GAP = re.compile(rb"[ \t-\r]")
 _BLOCKS = (
     "block long, n_tokens long, n_words long, n_train long, row array<long>, doc_id array<string>, held array<boolean>, "
@@ -92,17 +94,30 @@ def unpacked(data: bytes, n: int) -> list[np.ndarray]:
     return found
 
 
-def pieces(text: str | None) -> Iterator[list[bytes]]:
-    """The words of a text and its end token, a bounded number of bytes at a time."""
+def pieces(text: str | None, n_bytes: int) -> Iterator[tuple[bytes, bool]]:
+    """A text, about ``n_bytes`` at a time and cut at gaps between words; and whether it ends there."""
     data = (text or "").encode()
     start = 0
-    while start < len(data):
-        # on to the next gap, so that no word is cut
-        gap = _GAP.search(data, start + _PIECE_BYTES)
-        end = gap.start() if gap else len(data)
-        yield data[start:end].translate(_LOWER).split()
-        start = end
-    yield [END_WORD]
+    while True:
+        gap = _GAP.search(data, start + n_bytes)
+        if not gap:
+            yield data[start:], True
+            return
+        yield data[start : gap.start()], False
+        start = gap.start()
+
+
+def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of some texts in lower case: a code for each, how many each text has, and the words by code."""
+    # both kernels know ASCII only: A-Z, and the six characters that separate words
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    found = split.flatten()
+    whole = pc.greater(pc.binary_length(found), 0)
+    upto = np.concatenate([[0], np.cumsum(whole.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    ends = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+    names = found.filter(whole).dictionary_encode()
+    words = names.dictionary.cast(pa.large_binary()).to_pylist()
+    return names.indices.to_numpy().astype(np.int64), np.diff(upto[ends]), words
 
 
 class _Block:
@@ -114,33 +129,35 @@ class _Block:
         self._numbers.default_factory = self._numbers.__len__
         self._parts: list[np.ndarray] = []
         self._segments: list[tuple] = []
-        self._trained: list[np.ndarray] = []
         self.size = 0
         #: training texts that end here
         self.n_train = 0
 
-    def add(self, row: int, doc_id: str | None, held: bool, train: bool, before: list[bytes], words: list[bytes]) -> None:
-        """One stretch of a document; ``before`` are the words ahead of it, which are not scored."""
-        both = before + words
-        numbers = np.fromiter(map(self._numbers.__getitem__, both), np.int64, len(both))
-        self._parts.append(numbers)
-        if train:
-            self._trained.append(numbers[len(before) :])
-            self.n_train += words[-1] == END_WORD
-        self._segments.append((row, doc_id, held, train, len(before), len(both)))
-        self.size += len(both)
+    def add(self, row: int, doc_id: str | None, held: bool, train: bool, skip: int, length: int, ends: bool) -> None:
+        """One stretch of a document, whose first ``skip`` tokens are context and not scored."""
+        self._segments.append((row, doc_id, held, train, skip, length))
+        self.n_train += train and ends
+        self.size += length
+
+    def fill(self, codes: np.ndarray, words: list[bytes]) -> None:
+        """The tokens of the stretches added last, as codes of ``words``."""
+        used = np.flatnonzero(np.bincount(codes, minlength=len(words)))
+        numbers = np.zeros(len(words), np.int64)
+        numbers[used] = np.fromiter(map(self._numbers.__getitem__, map(words.__getitem__, used.tolist())), np.int64, len(used))
+        self._parts.append(numbers[codes])
 
     def row(self) -> tuple:
-        counts = np.zeros(len(self._numbers), np.int64)
-        if self._trained:
-            counts += np.bincount(np.concatenate(self._trained), minlength=len(counts))
         row, doc_id, held, train, skip, length = (list(c) for c in zip(*self._segments))
+        tokens = np.concatenate(self._parts)
+        inside = np.arange(len(tokens)) - np.repeat(np.cumsum(length) - length, length)
+        trained = np.repeat(train, length) & (inside >= np.repeat(skip, length))
+        counts = np.bincount(tokens[trained], minlength=len(self._numbers))
         # no word holds a line feed, and the end token is the empty one
         words = zstandard.ZstdCompressor(level=1).compress(b"\n".join(self._numbers))
         scored = self.size - sum(skip)
         return (
             self.number, scored, len(counts), self.n_train, row, doc_id, held, train, skip, length,
-            packed(np.concatenate(self._parts)), words, packed(counts),
+            packed(tokens), words, packed(counts),
         )
 
 
@@ -156,26 +173,57 @@ def blocks(docs: DataFrame, order: int = ORDER, block_tokens: int = BLOCK_TOKENS
     """Token blocks of documents (doc_id, text), in a table bucketed by block."""
     spark = docs.sparkSession
     bound_batches(spark)
-    names = [c.split()[0] for c in _BLOCKS.split(", ")]
+    columns = [c.split()[0] for c in _BLOCKS.split(", ")]
 
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, n_rows = TaskContext.get().partitionId() << 32, 0
-        block = _Block(base)
+    behind, piece_bytes = max(order - 1, 1), PIECE_BYTES
+
+    def stretches(batches: Iterable[pd.DataFrame]) -> Iterator[list[tuple]]:
+        """(row, doc_id, held, train, piece, whether the text ends there), a bounded number of bytes at a time."""
+        listed, size, row = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, held, train, text in zip(*[batch[c].tolist() for c in ("doc_id", "held", "train", "text")]):
-                before = [BEGIN_WORD]
-                for words in pieces(text):
-                    while words:
-                        part = words[: max(1, block_tokens - block.size)]
-                        words = words[len(part) :]
-                        block.add(base + n_rows, doc_id, held, train, before, part)
-                        before = (before + part)[-max(order - 1, 1) :]
-                        if block.size >= block_tokens:
-                            yield pd.DataFrame([block.row()], columns=names)
-                            block = _Block(block.number + 1)
-                n_rows += 1
+                for piece, ends in pieces(text, piece_bytes):
+                    listed.append((row, doc_id, held, train, piece, ends))
+                    size += len(piece)
+                    if size >= piece_bytes:
+                        yield listed
+                        listed, size = [], 0
+                row += 1
+        if listed:
+            yield listed
+
+    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = _Block(TaskContext.get().partitionId() << 32)
+        # the last words of a text that goes on
+        tail: list[bytes] = []
+        for listed in stretches(batches):
+            codes, lengths, words = coded([s[4] for s in listed])
+            names = [*words, BEGIN_WORD, END_WORD, *tail]
+            begin, end = np.array([len(words)]), np.array([len(words) + 1])
+            before = np.arange(len(words) + 2, len(names))
+            parts, at = [], 0
+            for (row, doc_id, held, train, _, ends), n in zip(listed, lengths.tolist()):
+                context = before if len(before) else begin
+                tokens = np.concatenate([context, codes[at : at + n], end] if ends else [context, codes[at : at + n]])
+                at += n
+                start = len(context)
+                while start < len(tokens):
+                    skip = min(start, behind)
+                    stop = start + max(1, block_tokens - block.size)
+                    part = tokens[start - skip : stop]
+                    parts.append(part)
+                    block.add(row, doc_id, held, train, skip, len(part), ends and stop >= len(tokens))
+                    start = stop
+                    if block.size >= block_tokens:
+                        block.fill(np.concatenate(parts), names)
+                        yield pd.DataFrame([block.row()], columns=columns)
+                        block, parts = _Block(block.number + 1), []
+                before = tokens[:0] if ends else tokens[-behind:]
+            if parts:
+                block.fill(np.concatenate(parts), names)
+            tail = [names[c] for c in before]
         if block.size:
-            yield pd.DataFrame([block.row()], columns=names)
+            yield pd.DataFrame([block.row()], columns=columns)
 
     held = F.coalesce(fold() == 0, F.lit(False))
     train = F.coalesce(fold() != 0, F.lit(False))
@@ -258,6 +306,23 @@ def quantised(probability: np.ndarray) -> np.ndarray:
 DECODED = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / STEPS)])
 
 
+def _distinct_keys(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key of so many bits, ascending by key, and each key's number among them."""
+    place_width = np.uint64(max(0, len(key) - 1).bit_length())
+    if width + place_width <= 64:
+        # key and place in one number: sorting numbers is faster than sorting places by them
+        both = np.sort((key << place_width) | np.arange(len(key), dtype=np.uint64))
+        order, ranked = (both & ((np.uint64(1) << place_width) - np.uint64(1))).astype(np.int64), both >> place_width
+    else:
+        order = np.argsort(key)
+        ranked = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A place of each distinct row of ids, ascending by row, and each row's number among them."""
     widths = [int(c.max()).bit_length() if len(c) else 0 for c in columns]
@@ -267,20 +332,17 @@ def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         widest = widths.index(max(widths))
         columns[widest] = np.unique(columns[widest], return_inverse=True)[1].astype(np.uint64)
         widths[widest] = rank_width
-    new = np.ones(len(columns[0]), bool)
     if sum(widths) <= 64:
         key = np.zeros(len(columns[0]), np.uint64)
         for c, w in zip(columns, widths):
             key = (key << np.uint64(w)) | c
-        order = np.argsort(key)
-        key = key[order]
-        new[1:] = key[1:] != key[:-1]
-    else:
-        order = np.lexsort(columns[::-1])
-        new[1:] = False
-        for c in columns:
-            ranked = c[order]
-            new[1:] |= ranked[1:] != ranked[:-1]
+        return _distinct_keys(key, sum(widths))
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for c in columns:
+        ranked = c[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     return order[new], number
@@ -352,22 +414,29 @@ class _Told:
         self.ranks = rank[tokens]
         self.counts = counts[tokens]
         self._shards = shards
-
-    def _before(self, back: int) -> np.ndarray:
-        """Rank of the word that stands ``back`` before each token of its stretch, else 0."""
-        found = np.zeros(len(self.ranks), np.uint64)
-        found[back:] = self.ranks[: len(self.ranks) - back] if back else self.ranks
-        found[self.inside < back] = 0
-        return found
+        self._grams: dict[int, tuple[np.ndarray, list[np.ndarray], np.ndarray]] = {}
 
     def grams(self, level: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """(places of tokens with a whole n-gram, its distinct rows of ids, each place's number among them)."""
-        columns = [self._before(back) for back in reversed(range(level))]
-        # also of words ahead of the stretch: they are contexts
-        places = np.flatnonzero(np.logical_and.reduce([c > 0 for c in columns]))
-        columns = [c[places] for c in columns]
-        first, number = _distinct(columns)
-        return places, [self._ids[c[first]] for c in columns], number
+        if level not in self._grams:
+            if level == 1:
+                places = np.flatnonzero(self.ranks)
+                self._grams[1] = places, [self._ids[1:]], (self.ranks[places] - np.uint64(1)).astype(np.int64)
+                return self._grams[1]
+            # an n-gram is the shorter one that ends before it, by its number, and one more word;
+            # words ahead of the stretch count too: they are contexts
+            earlier, rows, of_earlier = self.grams(level - 1)
+            shorter = np.zeros(len(self.ranks) + 1, np.uint64)
+            shorter[earlier + 1] = of_earlier + 1
+            shorter = shorter[:-1]
+            shorter[self.inside == 0] = 0
+            places = np.flatnonzero((shorter > 0) & (self.ranks > 0))
+            before, word = shorter[places], self.ranks[places]
+            width = len(self._ids).bit_length()
+            first, number = _distinct_keys((before << np.uint64(width)) | word, width + (len(rows[0]) + 1).bit_length())
+            at = before[first].astype(np.int64) - 1
+            self._grams[level] = places, [*[c[at] for c in rows], self._ids[word[first]]], number
+        return self._grams[level]
 
     def training_counts(self, places: np.ndarray, number: np.ndarray, n: int) -> np.ndarray:
         """How often this block's training texts hold each of ``n`` n-grams."""

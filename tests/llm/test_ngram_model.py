@@ -93,10 +93,21 @@ def test_clashing_names_no_rows_and_no_training(frame):
     assert lm.score(frame(schema, [])).collect() == []
 
 
-def test_pieces_of_long_texts_keep_words(monkeypatch):
-    monkeypatch.setattr(lm, "_PIECE_BYTES", 5)
-    text = "Aé bcdefghi\x0bj  k\r\nlmnopq\x1c r"
-    assert [w for p in lm.pieces(text) for w in p] == [w.encode() for w in tokens(text)[:-1]] + [lm.END_WORD]
+def test_pieces_of_long_texts_keep_words():
+    text = " Aé bcdefghi\x0bj  k\r\nlmnopq\x1c \x85\u2003İÀ r\x00 \t"
+    cut = list(lm.pieces(text, 5))
+    assert len(cut) > 3 and [ends for _, ends in cut] == [False] * (len(cut) - 1) + [True]
+    codes, lengths, words = lm.coded([*[p for p, _ in cut], b"", b" ", b"K"])
+    assert [words[c].decode() for c in codes] == [*tokens(text)[:-1], "k"]
+    assert lengths.sum() == len(codes) and lengths[-3:].tolist() == [0, 0, 1]
+    assert list(lm.pieces(None, 5)) == [(b"", True)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_texts_over_many_pieces_and_blocks(frame, texts, monkeypatch, order):
+    monkeypatch.setattr(lm, "PIECE_BYTES", 40)
+    got = lm.score(frame("doc_id bigint, text string", texts), order, 130)
+    same(got.collect(), plain(texts, order))
 
 
 @pytest.mark.parametrize("n, most, order", [(0, 5, 2), (1, 5, 3), (4096, 10**7, 1), (30_000, 60, 3), (20_000, 10**6, 4)])
