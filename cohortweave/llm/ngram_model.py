@@ -47,10 +47,10 @@ from cohortweave.llm.elias_fano import Trie
 from cohortweave.session import materialize_bucketed
 
 ORDER = 3
-BLOCK_TOKENS = 3 << 18
-SHARD_WORDS, SHARD_GRAMS = 1 << 20, 1 << 20
+BLOCK_TOKENS = 1 << 19
+SHARD_WORDS, SHARD_GRAMS = 3 << 18, 3 << 18
 #: Bytes of text that are split into words at a time.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 #: Pseudocounts: of a word, and of the shorter context's estimate in that of two and of more words.
 WORD_PSEUDOCOUNT = 0.1
 CONTEXT_PSEUDOCOUNT = 2.0
