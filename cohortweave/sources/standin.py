@@ -12,6 +12,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortweave.session import materialize
 from cohortweave.settings import (
     COMORBIDITY_CODESETS,
     ECMO_CODESET,
@@ -196,7 +197,8 @@ def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     @cache
     def lines() -> DataFrame:
-        return _event_lines(given("lineitem"), given("orders"))
+        """Written once: ten parts of event tables read them, most of them more than once."""
+        return materialize(_event_lines(given("lineitem"), given("orders")), "event-lines")
 
     def events(kept: str, prefix: str, id_col: str, date_col: str) -> Callable[[], Split]:
         return lambda: halves(

@@ -6,12 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from cohortweave.operators import joins
+from cohortweave.operators import joins, severity, stacking
 from cohortweave.operators.cohort import PERSON_COLUMNS
 from cohortweave.plans.build import CohortBuild
 from cohortweave.plans.catalog import all_queries
 from cohortweave.plans.oracle import all_oracles
+from cohortweave.session import materialize
 from cohortweave.settings import STANDIN_SETTINGS
+from cohortweave.sources import standin
 from cohortweave.sources.standin import standin_tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -116,3 +118,18 @@ def test_scans_read_only_needed_columns(spark):
     schemas = set(re.findall(r"ReadSchema: struct<([^>]*)>", text))
     read = {c.split(":")[0] for s in schemas for c in s.split(",")}
     assert not read & {"l_tax", "l_discount", "l_quantity", "c_name", "o_orderpriority"}
+
+
+@pytest.mark.parametrize("name", ["codeset_usage", "cohort_features", "no_visit_persons"])
+def test_event_lines_are_derived_once(spark, monkeypatch, name):
+    """All parts of the five event tables are filters of one written table."""
+    written = []
+
+    def noted(df, path_name):
+        written.append(any("lineitem" in f for f in df.inputFiles()))
+        return materialize(df, path_name)
+
+    for module in (joins, severity, stacking, standin):
+        monkeypatch.setattr(module, "materialize", noted, raising=False)
+    result = QUERIES[name](spark, SMALL)
+    assert sum(written) == 1 and not any("lineitem" in f for f in result.inputFiles())
