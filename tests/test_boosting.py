@@ -320,3 +320,41 @@ def test_model_queries_do_the_whole_search(spark, matrix, monkeypatch, name):
     assert all_queries()[name](spark, "/root/testdata/sf0.001").count() > 0
     assert seen["search"] == (None, 100, 180)
     assert name == "tuning_trials" or seen["params"] == replace(BASE, gamma=2.5)
+
+
+def test_rows_are_held_once_and_auc_is_counted_for_rounds_together(matrix, monkeypatch):
+    rows, edges = boosting.training_rows(labelled(matrix), FEATURES)
+    settings = {i: gt.TreeParams(max_depth=2, n_estimators=40, scale_pos_weight=3 + i) for i in range(3)}
+    boosted = gt.Boosting(rows, edges, settings)
+    assert boosted._state.count() == rows.count()
+    counted, held_out = [], gt.Boosting._held_out
+    monkeypatch.setattr(gt.Boosting, "_held_out", lambda self, *more: counted.append(1) or held_out(self, *more))
+    fits = boosted.run(patience=4)
+    # the first four rounds cannot end a fit
+    assert len(counted) <= max(f.rounds for f in fits) - 4
+    assert boosted._state.count() == rows.count()
+
+
+@pytest.mark.parametrize("waiting, batch", [(1, 10_000), (5, 7)])
+def test_written_scores_and_small_batches_give_the_same_trees(spark, matrix, fitted, monkeypatch, waiting, batch):
+    edges, fits = fitted
+    rows, _ = boosting.training_rows(labelled(matrix), FEATURES)
+    monkeypatch.setattr(gt, "WAITING_TREES", waiting)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        again = gt.Boosting(rows, edges, {n: f.params for n, f in fits.items()}).run()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {f.number: (f.nodes, f.best_round, f.best_auc, f.confusion) for f in again} == {
+        n: (f.nodes, f.best_round, f.best_auc, f.confusion) for n, f in fits.items()
+    }
+
+
+def test_fit_without_features_or_training_rows(spark, matrix):
+    rows, edges = boosting.training_rows(labelled(matrix, held_out=False), [])
+    (fit,) = gt.Boosting(rows, edges, {0: replace(BASE, n_estimators=2)}).run()
+    assert fit.rounds == 2 and [n[9] for n in fit.nodes] == [True, True]
+    none = labelled(matrix).filter("is_holdout")
+    rows, edges = boosting.training_rows(none, FEATURES)
+    (fit,) = gt.Boosting(rows, edges, {0: replace(BASE, n_estimators=2)}).run()
+    assert fit.nodes == [] and fit.best_auc == 0.5
