@@ -43,8 +43,8 @@ UNITS = 1 << 30
 #: Consecutive ranges of scores in which held-out rows are ranked.
 SCORE_RANGES = 4096
 LEAST_GAIN = 1e-6
-#: Trees, over all fits, that are walked at each use before the scores are written.
-WAITING_TREES = 64
+#: Rows times trees of all fits that are walked at each use before the scores are written.
+WAITING_ROWS = 5_000_000
 #: Rows of a task when the rows are dealt out.
 TASK_ROWS = 500_000
 #: Numbers of rounds within the key of a fit and round.
@@ -190,7 +190,7 @@ class Tree:
         slot = np.full(len(self.left), -1, np.int64)
         slot[self.alive] = np.arange(len(self.alive))
         return (
-            np.array(self.feature, np.int64), np.array(self.bin, np.int64), np.array(self.left, np.int64),
+            np.array(self.feature, np.int32), np.array(self.bin, np.uint8), np.array(self.left, np.int32),
             np.array(self.value), slot, self.depth if len(self.left) > 1 else 0,
         )
 
@@ -206,9 +206,9 @@ class Held:
     def places(self, tree: tuple) -> np.ndarray:
         """Where every row is in a packed tree."""
         feature, bin_, left, _, _, depth = tree
-        at = np.zeros(len(self.label), np.int64)
+        at = np.zeros(len(self.label), np.int32)
         flat = self.bins.reshape(-1)
-        start = np.arange(len(at)) * self.bins.shape[1]
+        start = np.arange(len(at), dtype=np.int32) * np.int32(self.bins.shape[1])
         for _ in range(depth):
             at = left[at] + (flat[start + feature[at]] >= bin_[at])
         return at
@@ -405,7 +405,7 @@ class Boosting:
         self.fits = [Fit(number, p) for number, p in settings.items()]
         self.tasks = self.spark.sparkContext.defaultParallelism
         n, held_out = rows.agg(F.count(F.lit(1)), F.max("is_holdout")).first()
-        self._holds_out = bool(held_out)
+        self._n, self._holds_out = n, bool(held_out)
         self._stored: dict[int, int] = {f.number: 0 for f in self.fits}
         #: trees not yet in the stored scores, by fit
         self._waiting: dict[int, list[tuple]] = {f.number: [] for f in self.fits}
@@ -555,7 +555,7 @@ class Boosting:
                 or (self._holds_out and tree - max(f.best_round, 1) >= patience)
                 for f in opened
             )
-            full = sum(len(self._waiting[f.number]) for f in opened) >= WAITING_TREES
+            full = self._n * sum(len(self._waiting[f.number]) for f in opened) >= WAITING_ROWS
             if due or full:
                 held_out = self._held_out(opened, tree) if self._holds_out else {}
                 for fit in opened:

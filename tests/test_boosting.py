@@ -335,11 +335,11 @@ def test_rows_are_held_once_and_auc_is_counted_for_rounds_together(matrix, monke
     assert boosted._state.count() == rows.count()
 
 
-@pytest.mark.parametrize("waiting, batch", [(1, 10_000), (5, 7)])
+@pytest.mark.parametrize("waiting, batch", [(1, 10_000), (5_000, 7)])
 def test_written_scores_and_small_batches_give_the_same_trees(spark, matrix, fitted, monkeypatch, waiting, batch):
     edges, fits = fitted
     rows, _ = boosting.training_rows(labelled(matrix), FEATURES)
-    monkeypatch.setattr(gt, "WAITING_TREES", waiting)
+    monkeypatch.setattr(gt, "WAITING_ROWS", waiting)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
         again = gt.Boosting(rows, edges, {n: f.params for n, f in fits.items()}).run()
