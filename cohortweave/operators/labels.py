@@ -14,14 +14,15 @@ from cohortweave.operators.joins import lookup_join
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 
 
-def label_frequency(rows: DataFrame) -> DataFrame:
+def label_frequency(rows: DataFrame, unique: bool = False) -> DataFrame:
     """Distinct persons per label.
 
-    Pairs are made distinct first, so a frequent label is counted map-side.
+    Pairs are made distinct first, so a frequent label is counted map-side;
+    ``unique`` says that they are.
     """
+    pairs = rows.select("person_id", LABEL)
     return (
-        rows.select("person_id", LABEL)
-        .distinct()
+        (pairs if unique else pairs.distinct())
         .groupBy(F.col(LABEL).alias("condition"))
         .agg(F.count("person_id").alias("condition_count"))
     )

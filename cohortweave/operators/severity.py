@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from cohortweave.operators.joins import (
     lookup_join,
     skew_join,
 )
-from cohortweave.operators.stacking import stack_rows, stacked_hits
+from cohortweave.operators.stacking import stack_rows, stack_splits, stacked_hits
 from cohortweave.operators.vocabulary import codeset_concepts
 from cohortweave.session import materialize
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
@@ -77,6 +78,60 @@ def events_in_codesets(
     ).select(*events.columns)
 
 
+def codeset_hits(
+    wanted: Sequence[tuple[EventTables, int]],
+    members: DataFrame,
+    settings: CohortSettings = DEFAULT_SETTINGS,
+    *,
+    limit_bytes: int | None = None,
+) -> DataFrame:
+    """Unique events (common shape) in any codeset that is wanted of their table, written once.
+
+    The codeset filter runs on the raw scans, because it keeps little.  Each
+    table is scanned once for all its codesets and once more for the copies of
+    the records found (not if ``copies_agree``); only these are made unique by id.
+    """
+    of_table: dict[EventColumns, tuple[Split, list[int]]] = {}
+    for tables, codeset in wanted:
+        for columns, split in tables:
+            of_table.setdefault(columns, (split, []))[1].append(codeset)
+    every = sorted({codeset for _, codeset in wanted})
+    fits = fits_broadcast(codeset_concepts(members, every, "concept_id"), limit_bytes)
+
+    def in_codesets(rows: DataFrame, codesets: list[int]) -> DataFrame:
+        return events_in_codesets(rows, members, codesets, fits=fits, limit_bytes=limit_bytes)
+
+    parts = {
+        columns: [common_columns(part, columns) for part in (split.train, split.test)]
+        for columns, (split, _) in of_table.items()
+    }
+    found = {
+        columns: [in_codesets(part, of_table[columns][1]) for part in both]
+        for columns, both in parts.items()
+    }
+    if not settings.copies_agree:
+        keys = [rows.select("source", "event_id") for both in found.values() for rows in both]
+        ids = materialize(reduce(DataFrame.unionByName, keys).distinct(), "hit-ids")
+        # if all ids may be broadcast, those of one table may
+        ids_fit = fits_broadcast(ids, limit_bytes) or None
+    events = []
+    for columns, both in parts.items():
+        if settings.copies_agree:
+            events.append(stack_splits(*found[columns], key="event_id"))
+            continue
+        mine = ids.filter(F.col("source") == columns.name).select("event_id")
+        copies = [
+            lookup_join(
+                part, mine, "event_id", "left_semi",
+                spread=part.columns, fits=ids_fit, limit_bytes=limit_bytes,
+            )
+            for part in both
+        ]
+        unique = stack_splits(*copies, key="event_id")
+        events.append(in_codesets(unique, of_table[columns][1]))
+    return materialize(reduce(DataFrame.unionByName, events), "codeset-events")
+
+
 def codeset_events(
     tables: EventTables,
     index: DataFrame,
@@ -84,31 +139,21 @@ def codeset_events(
     codeset: int,
     settings: CohortSettings = DEFAULT_SETTINGS,
     *,
+    hits: DataFrame | None = None,
+    hot: DataFrame | None = None,
     limit_bytes: int | None = None,
 ) -> DataFrame:
     """Events of several tables in one codeset since the look-back start.
 
-    The codeset filter runs on the raw scans, because it keeps little; only
-    records with a hit are made unique by id and joined to persons.
+    ``hits`` may name the ``codeset_hits`` of these tables and others, if this codeset was
+    wanted of these tables, and ``hot`` their hot persons.
     """
-    fits = fits_broadcast(codeset_concepts(members, [codeset], "concept_id"), limit_bytes)
-
-    def in_codeset(rows: DataFrame) -> DataFrame:
-        return events_in_codesets(rows, members, [codeset], fits=fits, limit_bytes=limit_bytes)
-
-    events = None
-    for columns, split in tables:
-        unique = stacked_hits(
-            common_columns(split.train, columns),
-            common_columns(split.test, columns),
-            "event_id",
-            in_codeset,
-            copies_agree=settings.copies_agree,
-            limit_bytes=limit_bytes,
-        )
-        events = unique if events is None else events.unionByName(unique)
-    # few rows are left: written once, so that counting hot persons scans no event table
-    return events_since_index(materialize(events, "codeset-events"), index, settings)
+    if hits is None:
+        found = codeset_hits([(tables, codeset)], members, settings, limit_bytes=limit_bytes)
+    else:
+        mine = hits.filter(F.col("source").isin(*[columns.name for columns, _ in tables]))
+        found = events_in_codesets(mine, members, [codeset], limit_bytes=limit_bytes)
+    return events_since_index(found, index, settings, hot=hot)
 
 
 def codeset_usage(events: DataFrame, concept: DataFrame) -> DataFrame:
@@ -143,37 +188,18 @@ def severe_persons(
     members: DataFrame,
     settings: CohortSettings = DEFAULT_SETTINGS,
     *,
+    hits: DataFrame | None = None,
     limit_bytes: int | None = None,
 ) -> DataFrame:
     """Persons with ventilation or ECMO since the look-back start.
 
     Only the latest matching date of a person decides, so events shrink to one
-    row per person, however many rows one person has.  Each event table is
-    filtered once for all codesets that apply to it, and copies are settled among
-    the records with a hit.
+    row per person, however many rows one person has.  ``hits`` may name the
+    ``codeset_hits`` of both codesets.
     """
-    wanted: dict[EventColumns, tuple[Split, list[int]]] = {}
-    for tables, codeset in (
-        (ventilation, settings.ventilation_codeset),
-        (ecmo, settings.ecmo_codeset),
-    ):
-        for columns, split in tables:
-            wanted.setdefault(columns, (split, []))[1].append(codeset)
-    every = sorted({c for _, codesets in wanted.values() for c in codesets})
-    fits = fits_broadcast(codeset_concepts(members, every, "concept_id"), limit_bytes)
-    hits = None
-    for columns, (split, codesets) in wanted.items():
-        part = stacked_hits(
-            common_columns(split.train, columns),
-            common_columns(split.test, columns),
-            "event_id",
-            lambda rows, wanted=codesets: events_in_codesets(
-                rows, members, wanted, fits=fits, limit_bytes=limit_bytes
-            ),
-            copies_agree=settings.copies_agree,
-            limit_bytes=limit_bytes,
-        ).select("person_id", "event_date")
-        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        wanted = [(ventilation, settings.ventilation_codeset), (ecmo, settings.ecmo_codeset)]
+        hits = codeset_hits(wanted, members, settings, limit_bytes=limit_bytes)
     latest = hits.groupBy("person_id").agg(F.max("event_date").alias("_latest"))
     return (
         latest.join(index, "person_id")
@@ -370,13 +396,15 @@ def covid_severity(
     index: DataFrame,
     members: DataFrame,
     settings: CohortSettings = DEFAULT_SETTINGS,
+    *,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """Exactly one label per person of ``index``: the most severe that applies.
 
     Severe wins over any visit and every other person is Mild, so two flags
     joined to the persons replace the exclude / label / refill cascade.
     """
-    severe = severe_persons(ventilation, ecmo, index, members, settings).select(
+    severe = severe_persons(ventilation, ecmo, index, members, settings, hits=hits).select(
         "person_id", F.lit(True).alias("_severe")
     )
     moderate = inpatient_persons(visit, index, settings).withColumn("_inpatient", F.lit(True))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from cohortweave.operators import boosting, cohort, comorbidity, eras, gradient_trees, labels
 from cohortweave.operators import medications, persons, severity, vocabulary
+from cohortweave.operators.joins import hot_keys
 from cohortweave.operators.stacking import stack_splits
 from cohortweave.session import materialize
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
@@ -96,7 +97,48 @@ class CohortBuild:
 
     @cached_property
     def index(self) -> DataFrame:
-        return persons.index_dates(self.tables.person, self.tables.outcome)
+        """Index date per person, written once: severity, drugs and labels all read it."""
+        return materialize(
+            persons.index_dates(self.tables.person, self.tables.outcome), "index-dates"
+        )
+
+    @cached_property
+    def severity_members(self) -> DataFrame:
+        """Members of the two severity codesets, written once: few of all."""
+        codesets = [self.settings.ventilation_codeset, self.settings.ecmo_codeset]
+        members = vocabulary.codeset_members(self.tables.concept_set_members, codesets)
+        return materialize(members.select("codeset_id", "concept_id").distinct(), "severity-members")
+
+    @cached_property
+    def codeset_hits(self) -> DataFrame:
+        """Events in the codesets of either kind, found in one go over the event tables."""
+        return severity.codeset_hits(
+            [
+                (self.ventilation_tables, self.settings.ventilation_codeset),
+                (self.ecmo_tables, self.settings.ecmo_codeset),
+            ],
+            self.severity_members,
+            self.settings,
+        )
+
+    @cached_property
+    def codeset_hits_hot(self) -> DataFrame:
+        return hot_keys(self.codeset_hits, "person_id")
+
+    @cached_property
+    def visit_hot(self) -> DataFrame:
+        return severity.person_hot_keys(self.tables.visit)
+
+    @cached_property
+    def severe_persons(self) -> DataFrame:
+        return severity.severe_persons(
+            self.ventilation_tables,
+            self.ecmo_tables,
+            self.index,
+            self.severity_members,
+            self.settings,
+            hits=self.codeset_hits,
+        )
 
     @cached_property
     def covid_severity(self) -> DataFrame:
@@ -105,8 +147,9 @@ class CohortBuild:
             self.ecmo_tables,
             self.tables.visit,
             self.index,
-            self.tables.concept_set_members,
+            self.severity_members,
             self.settings,
+            hits=self.codeset_hits,
         )
 
     @cached_property
@@ -143,11 +186,14 @@ class CohortBuild:
 
     @cached_property
     def person_labels(self) -> DataFrame:
-        return comorbidity.history_labels(self.history, self.index)
+        """Written once: the list of labels is collected before the matrix is built."""
+        return materialize(
+            comorbidity.history_labels(self.history, self.index), "person-labels"
+        )
 
     @cached_property
     def label_frequency(self) -> DataFrame:
-        return labels.label_frequency(self.person_labels)
+        return labels.label_frequency(self.person_labels, unique=True)
 
     @cached_property
     def minimum_persons(self) -> int:

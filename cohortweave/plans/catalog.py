@@ -239,14 +239,15 @@ def events_since_index(b: CohortBuild) -> DataFrame:
 
 def _vent(b: CohortBuild) -> DataFrame:
     return severity.codeset_events(
-        b.ventilation_tables, b.index, b.tables.concept_set_members,
-        SETTINGS.ventilation_codeset, SETTINGS,
+        b.ventilation_tables, b.index, b.severity_members,
+        SETTINGS.ventilation_codeset, SETTINGS, hits=b.codeset_hits, hot=b.codeset_hits_hot,
     )
 
 
 def _ecmo(b: CohortBuild) -> DataFrame:
     return severity.codeset_events(
-        b.ecmo_tables, b.index, b.tables.concept_set_members, SETTINGS.ecmo_codeset, SETTINGS
+        b.ecmo_tables, b.index, b.severity_members,
+        SETTINGS.ecmo_codeset, SETTINGS, hits=b.codeset_hits, hot=b.codeset_hits_hot,
     )
 
 
@@ -278,9 +279,7 @@ def codeset_persons(b: CohortBuild) -> DataFrame:
 
 
 def _severe(b: CohortBuild) -> DataFrame:
-    return severity.severe_persons(
-        b.ventilation_tables, b.ecmo_tables, b.index, b.tables.concept_set_members, SETTINGS
-    )
+    return b.severe_persons
 
 
 @query
@@ -294,14 +293,14 @@ def _visits(b: CohortBuild) -> DataFrame:
 
 def _qualifying(b: CohortBuild) -> DataFrame:
     return severity.qualifying_visits(
-        _visits(b), b.index, SETTINGS, hot=severity.person_hot_keys(b.tables.visit)
+        _visits(b), b.index, SETTINGS, hot=b.visit_hot
     )
 
 
 @query
 def visits_not_severe(b: CohortBuild) -> DataFrame:
     return severity.exclude_persons(
-        _visits(b), _severe(b), hot=severity.person_hot_keys(b.tables.visit)
+        _visits(b), _severe(b), hot=b.visit_hot
     )
 
 
@@ -312,7 +311,7 @@ def qualifying_visits(b: CohortBuild) -> DataFrame:
 
 def _not_severe(b: CohortBuild) -> DataFrame:
     return severity.exclude_persons(
-        _qualifying(b), _severe(b), hot=severity.person_hot_keys(b.tables.visit)
+        _qualifying(b), _severe(b), hot=b.visit_hot
     )
 
 

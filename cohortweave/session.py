@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _folders: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -123,6 +126,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def constant_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few fixed rows as a plan of literals; ``createDataFrame`` would start Python workers."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema, strict=True)])
+        for row in rows
+    ]
+    return spark.range(1, numPartitions=1).select(
+        F.inline(F.array(*structs).cast(T.ArrayType(schema)))
+    )
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 

@@ -12,7 +12,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortweave.session import materialize
+from cohortweave.session import constant_rows, materialize
 from cohortweave.settings import (
     COMORBIDITY_CODESETS,
     ECMO_CODESET,
@@ -128,7 +128,7 @@ def _grouper(part: DataFrame) -> DataFrame:
               WHEN 2 THEN 'XXX111' ELSE CONCAT('CIR00', CAST(p_size % 10 AS STRING)) END, "'")
               AS Default_CCSR_CATEGORY_OP""",
     )
-    extra = part.sparkSession.createDataFrame([("'Z99'", "'FAC001'")], rows.schema)
+    extra = constant_rows(part.sparkSession, [("'Z99'", "'FAC001'")], rows.schema)
     return rows.distinct().unionAll(extra)
 
 
@@ -144,9 +144,10 @@ def _codesets(part: DataFrame) -> DataFrame:
             for codeset, name, modulus, remainder in STANDIN_CODESETS
         ]
     )
-    mine = F.filter(sets, lambda s: F.col("p_partkey") % s["m"] == s["r"])
-    return part.select(F.explode(mine).alias("s"), F.col("p_partkey").alias("concept_id")).select(
-        "s.codeset_id", "s.concept_set_name", "concept_id"
+    return (
+        part.select(F.col("p_partkey").alias("concept_id"), F.inline(sets))
+        .filter(F.col("concept_id") % F.col("m") == F.col("r"))
+        .select("codeset_id", "concept_set_name", "concept_id")
     )
 
 
@@ -155,21 +156,30 @@ def _event_lines(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
     The one-letter flag is compared by its character code, which keeps the
     aggregate on fixed-width values (hash aggregation instead of sorting).
+    Lines meet their order first, so that they are merged where the join put them.
+    Rows are sorted within a task by what the parts of the event tables filter, so
+    that a reader of a part skips the pages of the others.
     """
-    lines = lineitem.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_partkey").alias("concept_id"),
-        F.min("l_shipdate").alias("shipped"),
-        F.min(F.ascii("l_returnflag")).alias("flag"),
-        F.min("l_suppkey").alias("supplier"),
-    )
     by_order = orders.groupBy("o_orderkey").agg(F.min("o_custkey").alias("person_id"))
-    return lines.join(by_order, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    lines = (
+        lineitem.join(by_order, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("l_orderkey", "l_linenumber")
+        .agg(
+            F.min("person_id").alias("person_id"),
+            F.min("l_partkey").alias("concept_id"),
+            F.min("l_shipdate").alias("shipped"),
+            F.min(F.ascii("l_returnflag")).alias("flag"),
+            F.min("l_suppkey").alias("supplier"),
+        )
+    )
+    kind = F.col("supplier") % 3
+    return lines.sortWithinPartitions(kind, "flag").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         "person_id",
         "concept_id",
         F.to_date("shipped").alias("event_date"),
         F.char("flag").alias("flag"),
-        (F.col("supplier") % 3).alias("kind"),
+        kind.alias("kind"),
     )
 
 
