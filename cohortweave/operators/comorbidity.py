@@ -12,6 +12,7 @@ from cohortweave.operators.eras import CATEGORY, best_mapping, with_category
 from cohortweave.operators.joins import lookup_join, skew_join
 from cohortweave.operators.stacking import stack_rows, stack_splits
 from cohortweave.operators.vocabulary import codeset_members
+from cohortweave.session import constant_rows, materialize
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 from cohortweave.sources.tables import Split
 
@@ -92,7 +93,8 @@ def comorbidity_masks(
     )
     names = sorted(row[0] for row in sets.select("concept_set_name").distinct().collect())
     columns = [f"cci_mask_{i}" for i in range(-(-len(names) // BITS) or 1)]
-    bit_of = sets.sparkSession.createDataFrame(
+    bit_of = constant_rows(
+        sets.sparkSession,
         [(name, i // BITS, 1 << (i % BITS)) for i, name in enumerate(names)],
         "concept_set_name string, word int, bit bigint",
     )
@@ -127,7 +129,8 @@ def condition_history(
     """
     masks, mask_columns = comorbidity_masks(members, settings)
     best = best_mapping(mapped, settings).drop("icd_length", "icd10cm_clean")
-    lookup = best.join(masks, "condition_concept_id", "left")
+    # written: it is measured before it is looked up
+    lookup = materialize(best.join(masks, "condition_concept_id", "left"), "concept-categories")
     narrow = ["person_id", "condition_concept_id", "condition_era_start_date"]
     if settings.copies_agree:
         parts = [part.select(*narrow) for part in (condition_era.train, condition_era.test)]
@@ -150,6 +153,7 @@ def condition_history(
         dated,
         lookup,
         spread=["person_id"],
+        key_rows=stack_rows(*[part.select("condition_concept_id") for part in parts]),
         combine=lambda rows: _merged_dates(rows, "person_id", "condition_concept_id"),
         limit_bytes=limit_bytes,
     )
@@ -178,11 +182,12 @@ def history_labels(history: DataFrame, index: DataFrame) -> DataFrame:
     def label(when: Column, prefix: str) -> Column:
         return F.when(when, F.concat(F.lit(prefix), F.col(CATEGORY)))
 
-    labels = F.array_compact(F.array(label(before, "pre_"), label(after, "post_")))
+    labels = F.array(label(before, "pre_"), label(after, "post_"))
     return (
         history.select("person_id", CATEGORY, "first_start", "last_start", "undated")
         .join(index, "person_id", "left")
         .select("person_id", F.explode(labels).alias(LABEL))
+        .filter(F.col(LABEL).isNotNull())
     )
 
 

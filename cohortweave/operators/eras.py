@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortweave.functions.clinical import recoded_category, usable_category
 from cohortweave.operators.joins import lookup_join
+from cohortweave.session import constant_rows
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 
 CATEGORY = "default_ccsr_category_op_clean"
@@ -77,7 +78,8 @@ def best_mapping(
         F.lit(0).alias("_manual"),
     )
     if settings.category_by_concept:
-        manual = mapped.sparkSession.createDataFrame(
+        manual = constant_rows(
+            mapped.sparkSession,
             [(c, None, None, 1) for c in settings.category_by_concept],
             f"condition_concept_id bigint, icd10cm_clean string, {CATEGORY} string, _manual int",
         )

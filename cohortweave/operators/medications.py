@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortweave.operators.joins import lookup_join, skew_join
 from cohortweave.operators.stacking import stack_rows, stack_splits
 from cohortweave.operators.vocabulary import codeset_members
+from cohortweave.session import materialize
 from cohortweave.settings import DEFAULT_SETTINGS, CohortSettings
 from cohortweave.sources.tables import Split
 
@@ -121,8 +122,8 @@ def drug_sums(
 ) -> DataFrame:
     """Sums per person of every medication flag and the two vaccine columns.
 
-    One scan.  Copies of an era are settled first, over four narrow columns, unless
-    the settings say that they agree.  Few eras carry a flag: those are made unique by era id, while
+    One scan.  Copies of an era are settled first, over four narrow columns.  If
+    the settings say that they agree, only the few eras that carry a flag are made unique by era id, while
     all other eras of a person merge map-side into one row that only says the
     person is there.  Sums per person and vaccination day come next, so one
     person's rows are bounded by the calendar before they meet the index date.
@@ -138,23 +139,26 @@ def drug_sums(
         eras = stack_splits(*parts, key="drug_era_id")
     flagged = lookup_join(
         eras,
-        flag_table(members, settings.drug_codesets),
+        # written: it is measured before it is looked up
+        materialize(flag_table(members, settings.drug_codesets), "drug-flags"),
         "drug_concept_id",
         "left",
         spread=["drug_era_id"],
+        key_rows=stack_rows(*[part.select("drug_concept_id") for part in parts]),
         combine=DataFrame.distinct,
         limit_bytes=limit_bytes,
     )
     # a concept of the flag table has at least one flag set
     marked = F.col(flags[0]).isNotNull()
-    unique = flagged.groupBy(
-        "person_id", F.when(marked, F.col("drug_era_id")).alias("_era")
-    ).agg(
-        F.max(F.when(F.col(settings.vaccine_flag) == 1, F.col("drug_era_start_date"))).alias(
-            "_day"
-        ),
-        *[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in flags],
-    )
+    day = F.when(F.col(settings.vaccine_flag) == 1, F.col("drug_era_start_date"))
+    if settings.copies_agree:
+        unique = flagged.groupBy(
+            "person_id", F.when(marked, F.col("drug_era_id")).alias("_era")
+        ).agg(F.max(day).alias("_day"), *[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in flags])
+    else:
+        unique = flagged.select(
+            "person_id", day.alias("_day"), *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in flags]
+        )
     by_day = unique.groupBy("person_id", "_day").agg(*[F.sum(n).alias(n) for n in flags])
     doses, index_date = F.col(settings.vaccine_flag), F.col("covid_index")
     dosed = by_day.join(index, "person_id", "left").withColumns(
